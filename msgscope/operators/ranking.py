@@ -45,7 +45,7 @@ def rank_within(
     # hex digits of hash prefix per stratum: 16**digits buckets of ~rows_per_bucket rows
     digits = F.greatest(
         F.lit(0),
-        F.ceil(F.log(F.lit(16.0), F.col(size_col) / F.lit(float(rows_per_bucket)))),
+        F.ceil(F.log(16.0, F.col(size_col) / F.lit(float(rows_per_bucket)))),
     ).cast("int")
     sizes = sizes.withColumn("__digits", F.least(digits, F.lit(8)))
     staged = with_h.join(sizes, keys).withColumn("__bucket", F.expr(f"substr({h}, 1, __digits)"))
@@ -112,13 +112,13 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
     )
     cum = ordered_prefix_sums(vc, "__v", ["__n"], descending=False, group_cols=gk)
     cum = cum.withColumn("__prev", F.col("cum___n") - F.col("__n"))
-    totals = vc.groupBy(*gk).agg(F.sum("__n").alias("__N"))  # one row per group
+    totals = vc.groupBy(*gk).agg(F.sum("__n").alias("__tot"))  # one row per group
     cum = cum.join(totals, gk)
     aggs = []
     for i, p in enumerate(probs):
-        h = (F.col("__N") - 1) * F.lit(float(p))
+        h = (F.col("__tot") - 1) * F.lit(float(p))
         lo_rank = F.floor(h) + 1
-        hi_rank = F.least(lo_rank + 1, F.col("__N"))
+        hi_rank = F.least(lo_rank + 1, F.col("__tot"))
         cum = cum.withColumn(f"__h{i}", h - F.floor(h))
         aggs += [
             F.max(F.when((F.col("__prev") < lo_rank) & (lo_rank <= F.col("cum___n")), F.col("__v"))).alias(f"__lo{i}"),

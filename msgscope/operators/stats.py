@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from msgscope.functions import patterns as P
 from msgscope.operators.ranking import exact_quantiles
@@ -107,14 +108,18 @@ def class_distributions(df: DataFrame, features: list[str], label: str = "label"
 def label_correlations(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """AGG-13/14: Pearson r of each feature with the label (0 for a constant
     feature), |r|, n and the t statistic t = r*sqrt((n-2)/(1-r^2))."""
-    aggs, items = [F.count(F.lit(1)).alias("__n")], []
+    y = F.col(label).cast("double")
+    aggs, items = [F.count(F.lit(1)).alias("__n"), F.stddev_pop(y).alias("__sy")], []
     for f in features:
         x = F.col(f).cast("double")
-        aggs += [F.corr(x, F.col(label).cast("double")).alias(f"r__{f}"), F.var_pop(x).alias(f"v__{f}")]
-        items.append((_q(f), f"`r__{f}`", f"`v__{f}`"))
-    wide = df.agg(*aggs, F.var_pop(F.col(label).cast("double")).alias("__vy"))
-    long = wide.select("__n", "__vy", F.expr(_stack_sql(items, ["feature", "r", "vx"])))
-    r = F.when((F.col("vx") == 0) | (F.col("__vy") == 0) | F.col("r").isNull(), F.lit(0.0)).otherwise(F.col("r"))
+        aggs += [F.covar_pop(x, y).alias(f"c__{f}"), F.stddev_pop(x).alias(f"s__{f}")]
+        items.append((_q(f), f"`c__{f}`", f"`s__{f}`"))
+    wide = df.agg(*aggs)
+    long = wide.select("__n", "__sy", F.expr(_stack_sql(items, ["feature", "cov", "sx"])))
+    # r = cov / (sx * sy); a constant feature (or label) has r = 0 (no ANSI divide-by-zero)
+    r = F.when((F.col("sx") > 0) & (F.col("__sy") > 0), F.col("cov") / (F.col("sx") * F.col("__sy"))).otherwise(
+        F.lit(0.0)
+    )
     long = long.select("feature", r.alias("correlation"), F.col("__n").cast("long").alias("n"))
     t = F.when(
         F.abs(F.col("correlation")) < 1,
@@ -193,7 +198,7 @@ def t_two_sided_p(t: float, dof: float) -> float:
     return _betainc_reg(dof / 2.0, 0.5, x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_value_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     out = []
     for rv, nv in zip(r.to_numpy(dtype=float), n.to_numpy(dtype=float)):
