@@ -137,7 +137,14 @@ def strip_accents(c) -> Column:
 
 
 def with_bigrams(tokens: Column) -> Column:
-    """Unigrams followed by space-joined bigrams of an array column."""
+    """Unigrams followed by space-joined bigrams of an array column.
+
+    ``tokens`` must be a plain column reference: it is read inside the
+    per-element lambda, so passing the tokenising expression itself would
+    re-tokenise the whole text for every bigram (quadratic).
+    """
+    if "(" in str(tokens).split("'", 1)[-1]:
+        raise ValueError("with_bigrams expects a column reference; project the tokens first")
     bigrams = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))),
         lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)),
