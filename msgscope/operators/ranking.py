@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,16 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 1 << 20  # rows sorted together in one task, at most ~1M
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """Persist an input that several branches (or an action plus the final
+    plan) read, unless the caller already did - like Spark ML's input
+    handling.  Memory-and-disk, so large inputs spill instead of failing;
+    lost blocks are recomputed from lineage."""
+    if df.storageLevel == StorageLevel.NONE:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
 def hash_order(seed: int, id_col: str) -> F.Column:
     """Deterministic pseudo-random order key (hex md5; equal in DuckDB)."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
@@ -40,7 +51,7 @@ def rank_within(
 ) -> DataFrame:
     """Exact rank of each row inside ``keys`` ordered by (md5(seed:id), id)."""
     h = "__h"
-    with_h = df.withColumn(h, hash_order(seed, id_col))
+    with_h = reused(df.withColumn(h, hash_order(seed, id_col)))
     sizes = with_h.groupBy(*keys).agg(F.count(F.lit(1)).alias(size_col))
     # hex digits of hash prefix per stratum: 16**digits buckets of ~rows_per_bucket rows
     digits = F.greatest(
@@ -73,6 +84,7 @@ def ordered_prefix_sums(
     (one row per distinct key expected, e.g. per distinct score).  Adds
     ``cum_<col>`` columns.  Bucket split points are shared by all groups."""
     g = list(group_cols or [])
+    df = reused(df)
     probs = [i / buckets for i in range(1, buckets)]
     qs = df.agg(F.percentile_approx(order_col, probs, 10 * buckets).alias("q")).first()["q"] or []
     splits = sorted(set(float(x) for x in qs))

@@ -9,7 +9,7 @@ from msgscope.functions import text as T
 from msgscope.functions.features import family_a
 from msgscope.operators import vectorize as V
 from msgscope.operators.cleaning import clean_messages
-from msgscope.operators.ranking import exact_quantiles
+from msgscope.operators.ranking import exact_quantiles, reused
 from msgscope.operators.sampling import stratified_split
 from msgscope.plans import sqlparts as S
 from msgscope.plans.frames import SQL_CLEANED, SQL_MESSAGES, cleaned, documents, messages, with_ctes
@@ -40,7 +40,7 @@ vocab AS (SELECT term, df, cf, ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)
 
 
 def _tfidf_inputs(spark, d):
-    c = clean_messages(documents(spark, d)).select("msg_id", "cleaned_text")
+    c = reused(clean_messages(documents(spark, d)).select("msg_id", "cleaned_text"))
     toks = c.select("msg_id", T.tfidf_tokens(F.col("cleaned_text"), True).alias("toks"))
     terms = toks.select("msg_id", T.with_bigrams(F.col("toks")).alias("terms"))
     tf = V.term_frequencies(terms, "msg_id", "terms").persist()
@@ -116,7 +116,7 @@ vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token ASC)
 
 def _seq_tokens(spark, d):
     c = clean_messages(documents(spark, d)).select("msg_id", "cleaned_text")
-    return c.select("msg_id", T.sequence_tokens(T.clean_for_sequence(F.col("cleaned_text"))).alias("toks"))
+    return reused(c.select("msg_id", T.sequence_tokens(T.clean_for_sequence(F.col("cleaned_text"))).alias("toks")))
 
 
 @query("vocab_build", "WITH " + SQL_SEQ_BASE + "\nSELECT token, idx, count FROM vocab")
