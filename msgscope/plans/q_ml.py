@@ -106,3 +106,67 @@ def pca_2d(spark, d):
         "msg_id", sc("px", "x0", "x1").alias("x_scaled"), sc("py", "y0", "y1").alias("y_scaled"),
         F.lit(var[0]).alias("explained_var_1"), F.lit(var[1]).alias("explained_var_2"),
     )
+
+
+@query("tfidf_cluster_vocab")
+def tfidf_cluster_vocab(spark, d):
+    """VEC-03/04, TXT-13/14/20: clustering TF-IDF - e-mail artefacts and source
+    artefact words removed, English stop words (Spark's StopWordsRemover
+    list; rows-only because the list is library-defined), uni+bigrams,
+    min_df 5, max_df 0.6, 500 terms.  ``artifact_leak`` counts artefact
+    tokens that reached the vocabulary (expected 0)."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    from msgscope.functions import patterns as P
+    from msgscope.functions import text as T
+    from msgscope.operators import vectorize as V
+    from msgscope.plans.frames import documents
+    from msgscope.operators.cleaning import clean_messages
+
+    c = reused(clean_messages(documents(spark, d)).select("msg_id", "cleaned_text"))
+    f = c.select("msg_id", T.filter_source_artifacts(clean_email_artifacts(F.col("cleaned_text"))).alias("f"))
+    toks = f.select("msg_id", T.tfidf_tokens(F.col("f")).alias("toks"))
+    kept = StopWordsRemover(inputCol="toks", outputCol="kept").transform(toks).select("msg_id", "kept")
+    terms = kept.select("msg_id", T.with_bigrams(F.col("kept")).alias("terms"))
+    tf = V.term_frequencies(terms, "msg_id", "terms").persist()
+    vocab = V.fit_tfidf_vocabulary(tf, c.count(), 500, 5, 0.6)
+    arts = F.array(*[F.lit(a) for a in P.SOURCE_ARTIFACTS])
+    return vocab.select(
+        "term", "df", "cf", F.round("idf", 6).alias("idf"), F.array_contains(arts, F.col("term")).alias("artifact_leak")
+    )
+
+
+@query("gbt_search")
+def gbt_search(spark, d):
+    """ML-09/10, TOP-05, SMP-04: grid search of boosted trees with
+    CrossValidator on the exact stratified folds (foldCol), scored by
+    average precision (area under PR), fits run in parallel."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from msgscope.operators.sampling import kfold_assign
+
+    f = _split_features(spark, d, "b")
+    train = f.where("split = 'train'")
+    folds = kfold_assign(train.select("msg_id", "label", "source"), k=5).select("msg_id", (F.col("fold") - 1).alias("fold"))
+    data = VectorAssembler(inputCols=FAMILY_B_NAMES, outputCol="features", handleInvalid="keep").transform(
+        train.join(folds, "msg_id")
+    )
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, seed=42)
+    grid = ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).addGrid(gbt.stepSize, [0.05, 0.1]).build()
+    cv = CrossValidator(
+        estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(metricName="areaUnderPR"),
+        foldCol="fold", numFolds=5, parallelism=4, seed=42,
+    )
+    m = cv.fit(data)
+    rows = [
+        (int(pm[gbt.maxDepth]), float(pm[gbt.stepSize]), float(mean), float(std))
+        for pm, mean, std in zip(grid, m.avgMetrics, m.stdMetrics)
+    ]
+    out = spark.createDataFrame(rows, "max_depth int, step_size double, mean_test_score double, std_test_score double")
+    from pyspark.sql import Window
+
+    w = Window.orderBy(F.col("mean_test_score").desc(), "max_depth", "step_size")  # one row per candidate
+    return out.withColumn("rank", F.row_number().over(w)).orderBy("rank").limit(10)
