@@ -206,3 +206,9 @@ DEFAULT_TEST_SIZE = 0.2
 DEFAULT_FOLDS = 5
 DEFAULT_SOFT_CAP = 0.42
 DEFAULT_SEED = 42
+
+# Feature-importance name fragments (fixed values); a feature may hit several
+IMPORTANCE_FRAGMENTS = [
+    "tfidf", "char_count", "word_count", "exclamation", "question", "upper", "url", "email", "phone", "money", "source",
+]
+IMPORTANCE_TYPES = ["tfidf", "exclamation", "question", "upper", "url", "source"]

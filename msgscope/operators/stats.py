@@ -221,3 +221,21 @@ def with_p_values(corr: DataFrame) -> DataFrame:
         .withColumn("feature_type", feature_type(F.col("feature")))
         .withColumn("significance", significance(F.col("p_value")))
     )
+
+
+def importance_by_fragment(imp: DataFrame, fragments: list[str], feature: str = "feature", value: str = "importance") -> DataFrame:
+    """AGG-32/33: total, mean and count of importance over the features whose
+    name contains each fragment (case-insensitive); fragments with no match
+    are omitted.  One conditional-aggregation pass, no join."""
+    low = F.lower(F.col(feature))
+    aggs, items = [], []
+    for i, frag in enumerate(fragments):
+        hit = low.contains(frag.lower())
+        aggs += [F.sum(F.when(hit, F.col(value))).alias(f"t{i}"), F.count(F.when(hit, 1)).alias(f"n{i}")]
+        items.append((_q(frag), f"t{i}", f"n{i}"))
+    wide = imp.agg(*aggs)
+    long = wide.select(F.expr(_stack_sql(items, ["fragment", "total_importance", "count"])))
+    return long.where(F.col("count") > 0).select(
+        "fragment", "total_importance", (F.col("total_importance") / F.col("count")).alias("avg_importance"),
+        F.col("count").cast("long"),
+    )

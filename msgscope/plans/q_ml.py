@@ -170,3 +170,14 @@ def gbt_search(spark, d):
 
     w = Window.orderBy(F.col("mean_test_score").desc(), "max_depth", "step_size")  # one row per candidate
     return out.withColumn("rank", F.row_number().over(w)).orderBy("rank").limit(10)
+
+
+@query("gbt_importance_types")
+def gbt_importance_types(spark, d):
+    """AGG-32/33: boosted-tree importance totals by name fragment."""
+    from msgscope.functions import patterns as P
+    from msgscope.operators.stats import importance_by_fragment
+
+    _f, model = _gbt(spark, d)
+    imp = ML.importances(spark, model, FAMILY_B_NAMES)
+    return importance_by_fragment(imp, P.IMPORTANCE_FRAGMENTS)

@@ -126,3 +126,12 @@ def test_family_c_counts(spark):
     assert r.sentence_count == 3 and r.incomplete_sentences == 3
     assert r.personal_pronouns == 2 and r.time_pressure == 2 and r.generic_greetings == 1 and r.free_count == 1
     assert r.spam_phrase_score == 3 + 2 + 3  # you have won, click here, act now
+
+
+def test_importance_by_fragment(spark):
+    imp = spark.createDataFrame(
+        [("url_count", 0.5), ("char_count", 0.2), ("exclamation_ratio", 0.2), ("Upper_ratio", 0.1)],
+        "feature string, importance double",
+    )
+    got = {r.fragment: (round(r.total_importance, 9), r["count"]) for r in ST.importance_by_fragment(imp, ["url", "char_count", "upper", "tfidf"]).collect()}
+    assert got == {"url": (0.5, 1), "char_count": (0.2, 1), "upper": (0.1, 1)}
