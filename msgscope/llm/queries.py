@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from msgscope.llm import bpe, rans
+from msgscope.llm import bpe, bwt, rans, substring
 from msgscope.sources.tables import read_table
 
 
@@ -21,5 +21,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_rans_tokens, op8_byte_bpe)}
+def op9_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.window_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.byte_digest(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_rans_tokens, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
 ORACLE: dict[str, str] = {}
