@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from msgscope.llm import bpe, bwt, rans, substring
+from msgscope.llm import bpe, bwt, ledger, rans, substring
 from msgscope.sources.tables import read_table
 
 
@@ -15,6 +15,10 @@ def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.rule_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -29,5 +33,5 @@ def op10_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.byte_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_rans_tokens, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_rans_tokens, op6_rule_ledger, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
+ORACLE: dict[str, str] = {"op6_rule_ledger": ledger.digest_sql()}
