@@ -7,10 +7,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from msgscope.llm import bpe, bwt, ledger, rans, substring
+from msgscope.llm import bpe, bwt, ledger, lines, rans, substring
 from msgscope.sources.tables import read_table
 
 
+def op1_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,5 +37,5 @@ def op10_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.byte_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_rans_tokens, op6_rule_ledger, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
-ORACLE: dict[str, str] = {"op6_rule_ledger": ledger.digest_sql()}
+QUERIES = {f.__name__: f for f in (op1_line_spread, op4_rans_tokens, op6_rule_ledger, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
+ORACLE: dict[str, str] = {"op1_line_spread": lines.digest_sql(), "op6_rule_ledger": ledger.digest_sql()}
