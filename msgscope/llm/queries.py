@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from msgscope.llm import bpe, bwt, ledger, lines, rans, substring
+from msgscope.llm import bpe, bwt, ledger, lines, quality, rans, substring
 from msgscope.sources.tables import read_table
 
 
@@ -19,6 +19,10 @@ def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.rule_digest(read_table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.byte_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_spread, op4_rans_tokens, op6_rule_ledger, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
+QUERIES = {f.__name__: f for f in (op1_line_spread, op4_rans_tokens, op5_pairwise_quality, op6_rule_ledger, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
 ORACLE: dict[str, str] = {"op1_line_spread": lines.digest_sql(), "op6_rule_ledger": ledger.digest_sql()}
