@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from msgscope.llm import bpe, bwt, ledger, lines, quality, rans, substring
+from msgscope.llm import bpe, bwt, langid, ledger, lines, quality, rans, substring
 from msgscope.sources.tables import read_table
 
 
@@ -27,6 +27,10 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.rule_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -41,5 +45,5 @@ def op10_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.byte_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_spread, op4_rans_tokens, op5_pairwise_quality, op6_rule_ledger, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
+QUERIES = {f.__name__: f for f in (op1_line_spread, op4_rans_tokens, op5_pairwise_quality, op6_rule_ledger, op7_byte_cnn_language, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
 ORACLE: dict[str, str] = {"op1_line_spread": lines.digest_sql(), "op6_rule_ledger": ledger.digest_sql()}
