@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from msgscope.llm import bpe, bwt, langid, ledger, lines, near, quality, rans, substring
+from msgscope.llm import bpe, bwt, langid, leaks, ledger, lines, near, quality, rans, substring
 from msgscope.sources.tables import read_table
 
 
@@ -19,6 +19,10 @@ def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op3_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,5 +53,5 @@ def op10_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.byte_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_spread, op2_probminhash, op4_rans_tokens, op5_pairwise_quality, op6_rule_ledger, op7_byte_cnn_language, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
+QUERIES = {f.__name__: f for f in (op1_line_spread, op2_probminhash, op3_cgk_leaks, op4_rans_tokens, op5_pairwise_quality, op6_rule_ledger, op7_byte_cnn_language, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
 ORACLE: dict[str, str] = {"op1_line_spread": lines.digest_sql(), "op6_rule_ledger": ledger.digest_sql()}
