@@ -1,7 +1,67 @@
-"""Stages of the corpus pipeline (filled in as operators arrive)."""
-STAGES: list = []
+"""From raw documents to token ids: five stages, each an operator of
+``msgscope.llm`` on all that the stage before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+it as Parquet in the shared folder and rereads it as the next one's docs.  All
+but the last return the columns of documents.  Nulls, empty texts, ties, repeated
+rows, empty tables and further columns are handled as the operators' docstrings
+say: a document without words is scored like any other, has no lines, is a class
+of its own, holds no item, and encodes to no ids.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from msgscope.llm import bpe, leaks, lines, near, quality
+from msgscope.llm.spill import stored
+from msgscope.sources.tables import read_table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more, by preferences among those with labels."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without boilerplate lines."""
+    return lines.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return leaks.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and the SHA-256 of
+    the bytes that they decode to."""
+    name, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    back = bpe.detokenize(bpe.tokenize(docs, name, pattern), name, pattern)
+    return back.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+#: SQL can't express the learned scores, the signatures or the encoding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
