@@ -86,8 +86,8 @@ def family_a(text_col) -> list[tuple[str, Column]]:
         ("punctuation_ratio", _ratio(punct, L)),
         ("upper_ratio", _ratio(count_class(t, r"\p{Lu}"), L)),
         ("consecutive_caps", F.regexp_count(t, F.lit(P.CAPS_RUN)).cast("int")),
-        ("digit_count", count_class(t, r"\p{Nd}")),
-        ("digit_ratio", _ratio(count_class(t, r"\p{Nd}"), L)),
+        ("digit_count", count_class(t, P.IS_DIGIT)),
+        ("digit_ratio", _ratio(count_class(t, P.IS_DIGIT), L)),
         ("special_char_count", count_class(t, f"[^\\p{{L}}\\p{{N}}{P.SPACE}]")),
         ("special_char_ratio", _ratio(count_class(t, f"[^\\p{{L}}\\p{{N}}{P.SPACE}]"), L)),
         ("space_ratio", _ratio(count_literal(t, " "), L)),
@@ -220,7 +220,7 @@ def family_c(text_col, with_repeated_chars: bool = True) -> list[tuple[str, Colu
         "generic_greetings": rc(low, word_pats["generic_greetings"]),
         "spam_phrase_score": phrase_score.cast("int"),
         "consecutive_capitals": rc(t, P.CAPS_RUN),
-        "digit_ratio": _safe_ratio(count_class(t, r"\p{Nd}"), n),
+        "digit_ratio": _safe_ratio(count_class(t, P.IS_DIGIT), n),
         "number_sequences": rc(t, P.NUMBER_RUN),
         "short_sentences": F.size(F.filter(part_words, lambda x: x < 5)).cast("int"),
         "long_sentences": F.size(F.filter(part_words, lambda x: x > 20)).cast("int"),

@@ -17,6 +17,9 @@ Unicode ``\\w`` / ``\\s`` on the multilingual test texts.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 # --------------------------------------------------------------------------
 # Character classes (fixed values)
 # --------------------------------------------------------------------------
@@ -26,6 +29,16 @@ SPACE = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 DIGIT = r"\p{Nd}"
+
+
+def _digit_class() -> str:
+    """Characters for which Python's ``str.isdigit`` holds, by rule: decimal
+    digits, and others such as superscripts and circled digits."""
+    more = [c for c in range(0x80, sys.maxunicode + 1) if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd"]
+    return "[" + DIGIT + "".join(f"\\x{{{c:x}}}" for c in more) + "]"
+
+
+IS_DIGIT = _digit_class()
 MARK = "\x01"  # word-run marker used only by the RE2 oracle
 
 # --------------------------------------------------------------------------
@@ -212,3 +225,19 @@ IMPORTANCE_FRAGMENTS = [
     "tfidf", "char_count", "word_count", "exclamation", "question", "upper", "url", "email", "phone", "money", "source",
 ]
 IMPORTANCE_TYPES = ["tfidf", "exclamation", "question", "upper", "url", "source"]
+
+# --------------------------------------------------------------------------
+# English stop words (fixed values, the library's list)
+# --------------------------------------------------------------------------
+ENGLISH_STOP_WORDS = """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+    herself it its itself they them their theirs themselves what which who whom this that these those am is are
+    was were be been being have has had having do does did doing a an the and but if or because as until while of
+    at by for with about against between into through during before after above below to from up down in out on
+    off over under again further then once here there when where why how all any both each few more most other
+    some such no nor not only own same so than too very s t can will just don should now i'll you'll he'll she'll
+    we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+    they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't
+    mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+    would
+""".split()

@@ -6,6 +6,7 @@ codegen.  Patterns come from :mod:`msgscope.functions.patterns`.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -87,7 +88,7 @@ def filter_source_artifacts(c) -> Column:
 
     def keep(w):
         core = F.regexp_replace(w, f"[^{P.WORD}]", "")
-        return (~F.array_contains(arts, core)) & (F.length(core) > 2) & ~core.rlike(f"^[{P.DIGIT}]+$")
+        return (~F.array_contains(arts, core)) & (F.length(core) > 2) & ~core.rlike(f"^{P.IS_DIGIT}+$")
 
     return F.array_join(F.filter(ws, keep), " ")
 
@@ -117,23 +118,26 @@ def tfidf_tokens(c, fold_accents: bool = False) -> Column:
 
 @lru_cache(maxsize=1)
 def accent_map() -> tuple[str, str]:
-    """Single-character accent folding table built by rule: every Latin
-    letter in U+00C0..U+024F whose NFKD form is one base letter followed by
-    combining marks maps to that base letter."""
-    src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+    """Single-character accent folding table built by rule: every character
+    whose NFKD form is one base character followed by combining marks maps to
+    that base; combining marks of their own map to nothing."""
+    src, dst, drop = [], [], []
+    for cp in range(0x00A0, sys.maxunicode + 1):
         ch = chr(cp)
-        decomposed = unicodedata.normalize("NFKD", ch)
-        base = "".join(x for x in decomposed if not unicodedata.combining(x))
-        if len(base) == 1 and base != ch:
+        if unicodedata.combining(ch):
+            drop.append(ch)
+            continue
+        base = [x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x)]
+        if len(base) == 1 and base[0] != ch:
             src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+            dst.append(base[0])
+    return "".join(src + drop), "".join(dst)
 
 
 def strip_accents(c) -> Column:
     src, dst = accent_map()
-    return F.translate(_c(c), src, dst)
+    c = _c(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, src, dst)).otherwise(c)
 
 
 def with_bigrams(tokens: Column) -> Column:

@@ -26,17 +26,15 @@ STEP_GUARDS = {
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work at least one task per core.
+#: Session setting: tasks that CPU-heavy text work is dealt out to where a table
+#: has fewer row groups than the machine has cores.  Unset (the default, and right
+#: for large tables), rows stay where the scan puts them.
+SPREAD_SETTING = "spark.msgscope.inputPartitions"
+
 
-    Only small inputs (fewer scan splits than ``defaultParallelism``) are
-    redistributed; a large scan already has thousands of splits and is left
-    untouched, so no shuffle is added at scale.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target * 2)
-    return df
+def spread(df: DataFrame) -> DataFrame:
+    n = df.sparkSession.conf.get(SPREAD_SETTING, "")
+    return df.repartition(int(n)) if n else df
 
 
 def with_clean_text(df: DataFrame, text_col: str = "text", out_col: str = "cleaned_text") -> DataFrame:

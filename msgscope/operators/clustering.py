@@ -14,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CLUSTERS = 64  # guard for the collected cluster parameters
+MAX_CLUSTERS = 4096  # rows of cluster parameters that a driver takes at most
 
 
 def attach_one_row(left: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -91,17 +91,20 @@ def ari_nmi(df: DataFrame, u: str, v: str) -> DataFrame:
     )
 
 
-def _collect_clusters(rows: list, what: str) -> list:
+def _collect_clusters(params: DataFrame, what: str) -> list:
+    """The parameters, a row for each cluster; never more than the bound plus one
+    reach the driver."""
+    rows = params.limit(MAX_CLUSTERS + 1).collect()
     if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"{what}: {len(rows)} clusters exceed the bound {MAX_CLUSTERS}")
+        raise ValueError(f"{what}: more than {MAX_CLUSTERS} clusters")
     return rows
 
 
 def centroids(df: DataFrame, x: str, c: str) -> list[tuple[int, list[float]]]:
     """Per-cluster mean vectors (Summarizer, JVM side), collected: k x dims."""
     m = df.groupBy(c).agg(Summarizer.mean(array_to_vector(F.col(x))).alias("m"))
-    rows = m.select(c, vector_to_array("m").alias("m")).orderBy(c).collect()
-    return [(int(r[c]), [float(v) for v in r["m"]]) for r in _collect_clusters(rows, "centroids")]
+    rows = _collect_clusters(m.select(c, vector_to_array("m").alias("m")).orderBy(c), "centroids")
+    return [(int(r[c]), [float(v) for v in r["m"]]) for r in rows]
 
 
 def _sq_dist(x: F.Column, center: list[float]) -> F.Column:
@@ -120,8 +123,8 @@ def distances_to_centroids(df: DataFrame, x: str, cents: list[tuple[int, list[fl
 
 
 def majority_clusters(df: DataFrame, c: str, y: str) -> list[int]:
-    rows = df.groupBy(c).agg(F.avg(y).alias("r")).where("r > 0.5").select(c).collect()
-    return sorted(int(r[c]) for r in _collect_clusters(rows, "majority"))
+    rows = _collect_clusters(df.groupBy(c).agg(F.avg(y).alias("r")).where("r > 0.5").select(c), "majority")
+    return sorted(int(r[c]) for r in rows)
 
 
 def distance_probability(dist: DataFrame, spam_clusters: list[int], k: int) -> DataFrame:
@@ -147,7 +150,7 @@ def silhouette_sq_euclidean(df: DataFrame, x: str, c: str) -> DataFrame:
         Summarizer.sum(array_to_vector(F.col(x))).alias("s"),
         F.sum(F.aggregate(F.col(x), F.lit(0.0), lambda acc, v: acc + v * v)).alias("q"),
     )
-    rows = _collect_clusters(stats.select(c, "n", vector_to_array("s").alias("s"), "q").collect(), "silhouette")
+    rows = _collect_clusters(stats.select(c, "n", vector_to_array("s").alias("s"), "q"), "silhouette")
     norm2 = F.aggregate(F.col(x), F.lit(0.0), lambda acc, v: acc + v * v)
     per = []
     for r in rows:

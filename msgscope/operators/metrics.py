@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgscope.operators.ranking import ordered_prefix_sums
+from msgscope.operators.ranking import join_null_safe, ordered_prefix_sums
+from msgscope.session import materialize
 
 
 def _div0(num, den):
@@ -54,13 +55,34 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score", group
     """Distinct scores with positive/negative counts and running totals in
     descending score order (``cum_pos``, ``cum_neg``) plus group totals."""
     g = list(group_cols or [])
-    d = df.groupBy(*g, F.col(score).cast("double").alias("score")).agg(
-        F.sum(F.col(label)).cast("long").alias("pos"),
-        F.sum(1 - F.col(label)).cast("long").alias("neg"),
+    d = distinct_scores(df, label, score, g)
+    return with_running_totals(d, g)
+
+
+def distinct_scores(df: DataFrame, label: str = "label", score: str = "score", group_cols=None) -> DataFrame:
+    """(group, score, pos, neg), written once: all metrics at all thresholds
+    follow from it."""
+    return materialize(
+        df.groupBy(*(group_cols or []), F.col(score).cast("double").alias("score")).agg(
+            F.sum(F.col(label)).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg")
+        )
     )
+
+
+def counts_at(d: DataFrame, threshold: float = 0.5, group_cols=None) -> DataFrame:
+    """tp / fp / tn / fn from the distinct scores."""
+    up = F.col("score") >= threshold
+    n = lambda c, hit: F.sum(F.when(up == F.lit(hit), F.col(c)).otherwise(0)).cast("long")
+    return d.groupBy(*(group_cols or [])).agg(
+        n("pos", True).alias("tp"), n("neg", True).alias("fp"), n("neg", False).alias("tn"), n("pos", False).alias("fn")
+    )
+
+
+def with_running_totals(d: DataFrame, group_cols=None) -> DataFrame:
+    g = list(group_cols or [])
     cum = ordered_prefix_sums(d, "score", ["pos", "neg"], descending=True, group_cols=g)
     if g:
-        return cum.join(d.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")), g)
+        return join_null_safe(cum, d.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")), g)
     return _attach_totals(cum, d.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
 
 

@@ -2,37 +2,34 @@
 
 ``rank_within`` gives every row its exact 1-based position inside its
 stratum under a deterministic hash order, without ever placing a whole
-stratum in one task: rows are split into hash-prefix sub-buckets whose
-count grows with the stratum size (so a stratum holding a third of all rows
-is spread over many tasks), bucket offsets come from a small per-bucket
-count table, and only the rows of one sub-bucket are sorted together.
+stratum in one task: every stratum is cut by a prefix of the hash whose
+length follows from the number of all rows, so a bucket holds about
+``ROWS_PER_BUCKET`` rows of a stratum at most.  The only exchange of the rows
+is by (stratum, bucket); what depends on the stratum (size, quota, offset)
+arrives with the bucket table, which has a row for each bucket.
 
 ``ordered_prefix_sums`` is the same two-level idea for a global running
 total over an ordered key (PR/ROC curves): quantile buckets from
-``percentile_approx`` (bounded, ~1 000 split points), exact per-bucket
-totals, offsets over the bucket table, and a window only inside a bucket.
+``percentile_approx`` whose number follows from the number of keys, exact
+per-bucket totals, offsets over the bucket table, and a window only inside a
+bucket.
+
+Null strata and groups are strata and groups of their own.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1 << 20  # rows sorted together in one task, at most ~1M
-
+from msgscope.session import materialize
 
-def reused(df: DataFrame) -> DataFrame:
-    """Persist an input that several branches (or an action plus the final
-    plan) read, unless the caller already did - like Spark ML's input
-    handling.  Memory-and-disk, so large inputs spill instead of failing;
-    lost blocks are recomputed from lineage."""
-    if df.storageLevel == StorageLevel.NONE:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+ROWS_PER_BUCKET = 1 << 20  # rows of a stratum sorted together in one task, about
+KEYS_PER_BUCKET = 1 << 17  # distinct keys of a running total in one task, about
 
 
 def hash_order(seed: int, id_col: str) -> F.Column:
@@ -40,6 +37,26 @@ def hash_order(seed: int, id_col: str) -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null; the keys come from ``left``."""
+    named = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = None
+    for k in keys:
+        same = left[k].eqNullSafe(named[f"__r_{k}"])
+        on = same if on is None else on & same
+    return left.join(named, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def _plain_keys(keys: list[str]) -> dict[str, Column]:
+    """The keys as columns that are never null, so that a window and a join can
+    share one exchange."""
+    out = {}
+    for i, k in enumerate(keys):
+        out[f"__k{i}"] = F.coalesce(F.col(k).cast("string"), F.lit(""))
+        out[f"__n{i}"] = F.col(k).isNull()
+    return out
+
+
 def rank_within(
     df: DataFrame,
     keys: list[str],
@@ -47,27 +64,34 @@ def rank_within(
     seed: int,
     rank_col: str = "rank_in_stratum",
     size_col: str = "stratum_size",
+    per_stratum: Callable[[DataFrame], DataFrame] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Exact rank of each row inside ``keys`` ordered by (md5(seed:id), id)."""
-    h = "__h"
-    with_h = reused(df.withColumn(h, hash_order(seed, id_col)))
-    sizes = with_h.groupBy(*keys).agg(F.count(F.lit(1)).alias(size_col))
-    # hex digits of hash prefix per stratum: 16**digits buckets of ~rows_per_bucket rows
-    digits = F.greatest(
-        F.lit(0),
-        F.ceil(F.log(16.0, F.col(size_col) / F.lit(float(rows_per_bucket)))),
-    ).cast("int")
-    sizes = sizes.withColumn("__digits", F.least(digits, F.lit(8)))
-    staged = with_h.join(sizes, keys).withColumn("__bucket", F.expr(f"substr({h}, 1, __digits)"))
-    bucket_counts = staged.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__bn"))
-    w = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucket_counts.withColumn("__offset", F.coalesce(F.sum("__bn").over(w), F.lit(0))).drop("__bn")
-    inner = Window.partitionBy(*keys, "__bucket").orderBy(h, id_col)
+    """``df`` with the exact rank of each row inside ``keys``, ordered by
+    (md5(seed:id), id), and the size of its stratum.
+
+    ``per_stratum`` may add columns (quotas, offsets) to the table of strata
+    (keys, size); rows get those, too.  ``df`` is written once to the shared
+    checkpoint folder, so pass only the columns that are needed."""
+    rows = materialize(df)
+    plain = _plain_keys(keys)
+    total = rows.count()
+    digits = max(0, math.ceil(math.log(max(1, total) / rows_per_bucket, 16)))
+    cut = rows.withColumn("__h", hash_order(seed, id_col)).withColumns(plain).withColumn("__bucket", F.substring("__h", 1, digits))
+    own = [*plain, "__bucket"]
+    counts = cut.groupBy(*own).agg(F.count(F.lit(1)).alias("__c"), *[F.min(k).alias(k) for k in keys])
+    before = Window.partitionBy(*plain).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    table = counts.select(*own, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"))
+    sizes = counts.groupBy(*plain).agg(F.sum("__c").alias(size_col), *[F.min(k).alias(k) for k in keys])
+    if per_stratum is not None:
+        sizes = per_stratum(sizes)
+    table = table.join(sizes.drop(*keys), list(plain))
+    inner = Window.partitionBy(*own).orderBy("__h", id_col)
     return (
-        staged.join(offsets, keys + ["__bucket"])
-        .withColumn(rank_col, (F.col("__offset") + F.row_number().over(inner)).cast("long"))
-        .drop(h, "__digits", "__bucket", "__offset")
+        cut.withColumn("__row", F.row_number().over(inner))
+        .join(table, own)
+        .withColumn(rank_col, (F.col("__offset") + F.col("__row")).cast("long"))
+        .drop(*own, "__h", "__row", "__offset")
     )
 
 
@@ -77,16 +101,17 @@ def ordered_prefix_sums(
     sum_cols: list[str],
     descending: bool = True,
     inclusive: bool = True,
-    buckets: int = 1000,
+    keys_per_bucket: int = KEYS_PER_BUCKET,
     group_cols: list[str] | None = None,
 ) -> DataFrame:
     """Running totals of ``sum_cols`` over ``order_col`` within ``group_cols``
     (one row per distinct key expected, e.g. per distinct score).  Adds
     ``cum_<col>`` columns.  Bucket split points are shared by all groups."""
     g = list(group_cols or [])
-    df = reused(df)
+    df = materialize(df)
+    buckets = max(8, math.ceil(df.count() / keys_per_bucket))
     probs = [i / buckets for i in range(1, buckets)]
-    qs = df.agg(F.percentile_approx(order_col, probs, 10 * buckets).alias("q")).first()["q"] or []
+    qs = df.agg(F.percentile_approx(order_col, probs, 10 * max(1000, buckets)).alias("q")).first()["q"] or []
     splits = sorted(set(float(x) for x in qs))
     splits = [-math.inf] + splits + [math.inf]
     bucketed = Bucketizer(splits=splits, inputCol=order_col, outputCol="__b", handleInvalid="keep").transform(
@@ -103,7 +128,7 @@ def ordered_prefix_sums(
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     frame_end = 0 if inclusive else -1
     wi = Window.partitionBy(*g, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, frame_end)
-    out = bucketed.join(F.broadcast(offsets) if not g else offsets, g + ["__b"])
+    out = join_null_safe(bucketed, offsets, g + ["__b"])
     for c in sum_cols:
         out = out.withColumn(f"cum_{c}", F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0)))
     return out.drop("__b", *[f"__o_{c}" for c in sum_cols])
@@ -125,7 +150,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
     cum = ordered_prefix_sums(vc, "__v", ["__n"], descending=False, group_cols=gk)
     cum = cum.withColumn("__prev", F.col("cum___n") - F.col("__n"))
     totals = vc.groupBy(*gk).agg(F.sum("__n").alias("__tot"))  # one row per group
-    cum = cum.join(totals, gk)
+    cum = join_null_safe(cum, totals, gk)
     aggs = []
     for i, p in enumerate(probs):
         h = (F.col("__tot") - 1) * F.lit(float(p))

@@ -1,9 +1,10 @@
 """Exact, repeatable stratified sampling (SMP-01..06).
 
 All selections are "the first q rows of a stratum in md5(seed:id) order",
-with q computed exactly from a tiny per-stratum count table.  Ranks come
-from :func:`msgscope.operators.ranking.rank_within`, which never puts a
-whole stratum in one task.
+with q computed exactly from the table of strata while it is merged into the
+bucket table of :func:`msgscope.operators.ranking.rank_within`, which never
+puts a whole stratum in one task.  Rows with a null in a stratum column form
+strata of their own.
 """
 
 from __future__ import annotations
@@ -17,59 +18,60 @@ from msgscope.operators.ranking import rank_within
 STRATA = ["source", "label"]
 
 
-def strat_key(df: DataFrame) -> F.Column:
-    """``source|||label`` key; its string order fixes the fold offsets."""
-    return F.concat(F.col("source").cast("string"), F.lit("|||"), F.col("label").cast("string"))
+def strat_key(strata: list[str]) -> F.Column:
+    """``source|||label`` key; its string order fixes ties and fold offsets.  A
+    null counts as ''."""
+    return F.concat_ws("|||", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata])
 
 
-def test_quotas(sizes: DataFrame, test_size: float) -> DataFrame:
-    """Largest-remainder allocation of ceil(test_size*N) test rows over strata.
+def test_quotas(sizes: DataFrame, test_size: float, strata: list[str] = STRATA) -> DataFrame:
+    """Adds ``test_quota``: largest-remainder allocation of ceil(test_size*N)
+    test rows over strata.
 
     ``sizes``: one row per stratum with ``stratum_size``.  Integer arithmetic
-    only; remainder ties go to the smaller ``source|||label`` key.
+    only; remainder ties go to the smaller key.
     """
     tot = Window.partitionBy()  # strata table: a few rows per source
-    s = sizes.withColumn("__key", strat_key(sizes))
-    s = s.withColumn("__N", F.sum("stratum_size").over(tot))
+    s = sizes.withColumn("__N", F.sum("stratum_size").over(tot))
     s = s.withColumn("__ntest", F.ceil(F.col("__N") * F.lit(float(test_size))).cast("long"))
     s = s.withColumn("__num", F.col("stratum_size") * F.col("__ntest"))
     s = s.withColumn("__floor", F.floor(F.col("__num") / F.col("__N")).cast("long"))
     s = s.withColumn("__frac", F.col("__num") - F.col("__floor") * F.col("__N"))
     s = s.withColumn("__left", F.col("__ntest") - F.sum("__floor").over(tot))
-    order = Window.partitionBy().orderBy(F.col("__frac").desc(), F.col("__key").asc())
+    order = Window.partitionBy().orderBy(F.col("__frac").desc(), strat_key(strata).asc())
     s = s.withColumn("__pos", F.row_number().over(order))
-    return s.select(
-        *STRATA,
-        (F.col("__floor") + F.when(F.col("__pos") <= F.col("__left"), 1).otherwise(0)).cast("long").alias("test_quota"),
-    )
+    quota = (F.col("__floor") + F.when(F.col("__pos") <= F.col("__left"), 1).otherwise(0)).cast("long")
+    return s.withColumn("test_quota", quota).drop("__N", "__ntest", "__num", "__floor", "__frac", "__left", "__pos")
 
 
 def stratified_split(
-    df: DataFrame, id_col: str = "msg_id", test_size: float = P.DEFAULT_TEST_SIZE, seed: int = P.DEFAULT_SEED
+    df: DataFrame,
+    id_col: str = "msg_id",
+    test_size: float = P.DEFAULT_TEST_SIZE,
+    seed: int = P.DEFAULT_SEED,
+    strata: list[str] | None = None,
 ) -> DataFrame:
-    """Adds ``split`` in {train, test}: exact per-(source,label) shares."""
-    ranked = rank_within(df, STRATA, id_col, seed)
-    sizes = ranked.select(*STRATA, "stratum_size").distinct()
-    quotas = test_quotas(sizes, test_size)
-    return (
-        ranked.join(quotas, STRATA)
-        .withColumn("split", F.when(F.col("rank_in_stratum") <= F.col("test_quota"), "test").otherwise("train"))
-        .drop("rank_in_stratum", "stratum_size", "test_quota")
+    """Adds ``split`` in {train, test}: exact shares of each stratum, by default
+    of (source, label)."""
+    keys = list(strata or STRATA)
+    ranked = rank_within(df, keys, id_col, seed, per_stratum=lambda s: test_quotas(s, test_size, keys))
+    return ranked.withColumn("split", F.when(F.col("rank_in_stratum") <= F.col("test_quota"), "test").otherwise("train")).drop(
+        "rank_in_stratum", "stratum_size", "test_quota"
     )
 
 
-def kfold_assign(df: DataFrame, id_col: str = "msg_id", k: int = P.DEFAULT_FOLDS, seed: int = P.DEFAULT_SEED) -> DataFrame:
+def kfold_assign(
+    df: DataFrame, id_col: str = "msg_id", k: int = P.DEFAULT_FOLDS, seed: int = P.DEFAULT_SEED, strata: list[str] | None = None
+) -> DataFrame:
     """Adds ``fold`` in 1..k.  Strata are laid end to end in key order and
     dealt round-robin, so fold sizes differ by at most one overall and per
     stratum (the stratified k-fold allocation)."""
-    ranked = rank_within(df, STRATA, id_col, seed)
-    sizes = ranked.groupBy(*STRATA).agg(F.max("stratum_size").alias("n"))
-    w = Window.partitionBy().orderBy(strat_key(sizes)).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__start", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
-    return (
-        ranked.join(offsets, STRATA)
-        .withColumn("fold", (((F.col("__start") + F.col("rank_in_stratum") - 1) % k) + 1).cast("int"))
-        .drop("rank_in_stratum", "stratum_size", "__start")
+    keys = list(strata or STRATA)
+    w = Window.partitionBy().orderBy(strat_key(keys)).rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda s: s.withColumn("__start", F.coalesce(F.sum("stratum_size").over(w), F.lit(0)))
+    ranked = rank_within(df, keys, id_col, seed, per_stratum=start)
+    return ranked.withColumn("fold", (((F.col("__start") + F.col("rank_in_stratum") - 1) % k) + 1).cast("int")).drop(
+        "rank_in_stratum", "stratum_size", "__start"
     )
 
 
@@ -104,33 +106,28 @@ def rebalance(
     order, so the final rows are ``rank <= min(q_rebalance, q_cap)``.
     """
     targets = target_spam_rates or {}
-    ranked = rank_within(train, STRATA, id_col, seed)
-    counts = ranked.groupBy("source").agg(
-        F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("spam"),
-        F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("ham"),
-    )
-    spark = train.sparkSession
-    rows = [(str(k), float(v)) for k, v in targets.items() if isinstance(v, (int, float)) and 0 < v < 1]
-    tgt = spark.createDataFrame(rows, "source string, target double")
-    counts = counts.join(F.broadcast(tgt), "source", "left")  # one row per configured source
-    req = F.floor(F.col("spam") * (1 - F.col("target")) / F.col("target")).cast("long")
-    ham_q = F.when(
-        F.col("target").isNotNull() & (F.col("spam") > 0) & (req <= F.col("ham")), req
-    ).otherwise(F.col("ham"))
-    counts = counts.withColumn("ham_q", ham_q).withColumn("n_src", F.col("spam") + F.col("ham_q"))
-    tot = Window.partitionBy()  # one row per source
-    counts = counts.withColumn("cap", F.floor(F.sum("n_src").over(tot) * F.lit(float(soft_cap_ratio))).cast("long"))
-    quotas = counts.select(
-        "source",
-        F.struct(
-            F.when(F.col("n_src") > F.col("cap"), F.floor(F.col("cap") * F.col("spam") / F.col("n_src")))
-            .otherwise(F.col("spam")).cast("long").alias("q1"),
-            F.when(F.col("n_src") > F.col("cap"), F.floor(F.col("cap") * F.col("ham_q") / F.col("n_src")))
-            .otherwise(F.col("ham_q")).cast("long").alias("q0"),
-        ).alias("q"),
-    )
-    return (
-        ranked.join(quotas, "source")
-        .where(F.col("rank_in_stratum") <= F.when(F.col("label") == 1, F.col("q.q1")).otherwise(F.col("q.q0")))
-        .drop("rank_in_stratum", "stratum_size", "q")
-    )
+    valid = {str(k): float(v) for k, v in targets.items() if isinstance(v, (int, float)) and 0 < v < 1}
+    target = F.lit(None).cast("double")
+    for k, v in valid.items():
+        target = F.when(F.col("source") == k, F.lit(v)).otherwise(target)
+
+    def quotas(sizes: DataFrame) -> DataFrame:
+        """Adds ``quota`` to the table of strata."""
+        by_source, every = Window.partitionBy("source"), Window.partitionBy()
+        n = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("stratum_size"))).over(by_source), F.lit(0))
+        s = sizes.withColumns({"__spam": n(1), "__ham": n(0), "__target": target})
+        req = F.floor(F.col("__spam") * (1 - F.col("__target")) / F.col("__target")).cast("long")
+        enough = F.col("__target").isNotNull() & (F.col("__spam") > 0) & (req <= F.col("__ham"))
+        s = s.withColumn("__ham_q", F.when(enough, req).otherwise(F.col("__ham")))
+        s = s.withColumn("__n_src", F.col("__spam") + F.col("__ham_q"))
+        # a source's rows of this table share its n_src: count it once
+        once = F.row_number().over(by_source.orderBy("label")) == 1
+        s = s.withColumn("__once", F.when(once, F.col("__n_src")).otherwise(0))
+        s = s.withColumn("__cap", F.floor(F.sum("__once").over(every) * F.lit(float(soft_cap_ratio))).cast("long"))
+        own = F.when(F.col("label") == 1, F.col("__spam")).otherwise(F.col("__ham_q"))
+        capped = F.floor(F.col("__cap") * own / F.col("__n_src"))
+        quota = F.when(F.col("__n_src") > F.col("__cap"), capped).otherwise(own).cast("long")
+        return s.withColumn("quota", quota).drop("__spam", "__ham", "__target", "__ham_q", "__n_src", "__once", "__cap")
+
+    ranked = rank_within(train, STRATA, id_col, seed, per_stratum=quotas)
+    return ranked.where(F.col("rank_in_stratum") <= F.col("quota")).drop("rank_in_stratum", "stratum_size", "quota")

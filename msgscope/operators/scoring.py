@@ -15,23 +15,18 @@ log = logging.getLogger(__name__)
 
 
 def score_with_models(df: DataFrame, models: dict, text_col: str = "text", id_col: str = "msg_id") -> DataFrame:
-    """One row per (message, model): ``model_id, msg_id, p, prediction``.
-    A model whose plan cannot be built is skipped (logged), the others run."""
-    parts = []
-    for name, (wu, wb) in models.items():
+    """One row per (message, model): ``model_id, msg_id, p, prediction``, from one
+    scan of the messages.  A model whose expression can't be built is skipped
+    (logged), the others run; if none can be, there are no rows."""
+    scores = []
+    for name, weights in models.items():
         try:
-            p = rule_score(text_col, wu, wb)
-            parts.append(
-                df.select(F.lit(name).alias("model_id"), F.col(id_col).alias("msg_id"), p.alias("p")).withColumn(
-                    "prediction", F.when(F.col("p") >= 0.5, 1).otherwise(0)
-                )
-            )
+            scores.append(F.struct(F.lit(name).alias("model_id"), rule_score(text_col, *weights).cast("double").alias("p")))
         except Exception as exc:  # noqa: BLE001 - a failing model must not stop the batch
             log.warning("model %s skipped: %s", name, exc)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    each = F.array(*scores).cast("array<struct<model_id:string,p:double>>")
+    rows = df.select(F.col(id_col).alias("msg_id"), F.explode(each).alias("s")).select("s.model_id", "msg_id", "s.p")
+    return rows.withColumn("prediction", F.when(F.col("p") >= 0.5, 1).otherwise(0))
 
 
 def summarize_batch(preds: DataFrame, requested: list[str]) -> DataFrame:

@@ -1,20 +1,36 @@
 """Vectorisation in long form: TF-IDF, token vocabularies, id sequences,
 standard scaling and one-hot codes (VEC-*, SEQ-*, F-60..62).
 
-TF-IDF never builds a dense matrix: n-grams are exploded once, collapsed to
-``(msg_id, term, tf)`` with map-side partial aggregation, document
-frequencies come from a second aggregation on ``term``, and the vocabulary
-(bounded by ``max_features``) is broadcast for the weighting join.
+TF-IDF never builds a dense matrix: a document's n-grams are counted inside
+its row, its distinct terms are exploded once, document frequencies come from
+an aggregation on ``term``, and after the join with the vocabulary one exchange
+on the document id serves the norms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
 
-MAX_BROADCAST_VOCAB = 200_000  # explicit bound for broadcasting a vocabulary
+
+def counted(terms: Column) -> Column:
+    """array<struct(term, tf)> from an array of terms: run lengths of the sorted
+    array.  ``terms`` is bound once, so it may be any expression."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        new = lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(new(i), F.lit(True)))).otherwise(
+            F.array().cast("array<int>")
+        )
+        each = lambda at: F.transform(
+            at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), n) - i).cast("long").alias("tf"))
+        )
+        return F.element_at(F.transform(F.array(starts), each), 1)
+
+    return F.element_at(F.transform(F.array(F.array_sort(terms)), runs), 1)
 
 
 def explode_values(df: DataFrame, keep: list[str], array_col: str, out: str) -> DataFrame:
@@ -30,13 +46,9 @@ def explode_values(df: DataFrame, keep: list[str], array_col: str, out: str) ->
     return df.select(*keep, F.explode_outer(F.col(array_col)).alias(out)).where(F.col(out).isNotNull())
 
 
-def term_frequencies(df: DataFrame, id_col: str, terms_col: str) -> DataFrame:
-    """(id, term, tf) from an array column of terms."""
-    return (
-        explode_values(df, [id_col], terms_col, "term")
-        .groupBy(id_col, "term")
-        .agg(F.count(F.lit(1)).cast("long").alias("tf"))
-    )
+def term_frequencies(df: DataFrame, id_col: str, counts_col: str) -> DataFrame:
+    """(id, term, tf) from a column of ``counted`` terms; no shuffle."""
+    return explode_values(df, [id_col], counts_col, "__t").select(id_col, "__t.term", "__t.tf")
 
 
 def fit_tfidf_vocabulary(
@@ -51,13 +63,11 @@ def fit_tfidf_vocabulary(
     return kept.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
-def tfidf_weights(tf: DataFrame, vocab: DataFrame, id_col: str, max_features: int | None) -> DataFrame:
+def tfidf_weights(tf: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """Sublinear tf (1 + ln tf) x idf, L2-normalised per document."""
-    bounded = max_features is not None and max_features <= MAX_BROADCAST_VOCAB
-    v = F.broadcast(vocab.select("term", "idf")) if bounded else vocab.select("term", "idf")
-    w = tf.join(v, "term").withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    w = tf.join(vocab.select("term", "idf"), "term").withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))  # a document's vocabulary terms
+    return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
 # --------------------------------------------------------------------------- sequences
@@ -76,23 +86,21 @@ def build_token_vocabulary(tokens: DataFrame, tokens_col: str, vocab_size: int =
     return reserved.unionByName(top)
 
 
-def encode_and_pad(
-    df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, max_length: int, vocab_size: int
-) -> DataFrame:
-    """SEQ-02/04: token -> id (unknown = 1), truncate to ``max_length``,
-    right-pad with 0.  Only the first ``max_length`` tokens are joined, so the
-    per-document group is bounded."""
+def encode(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame) -> DataFrame:
+    """SEQ-02: (id, ids) with every token's id in order, unknown = 1; documents
+    without tokens get an empty array.  ``df`` may be sliced before."""
     unk = dict(P.SEQ_RESERVED)["<UNK>"]
+    toks = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
+    ids = toks.join(vocab.select("token", "idx"), "token", "left")
+    pair = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("idx"), F.lit(unk)).alias("id")))
+    seqs = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(pair)).alias("p"))
+    return seqs.select(id_col, F.transform("p", lambda e: e["id"]).alias("ids"))
+
+
+def encode_and_pad(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, max_length: int) -> DataFrame:
+    """SEQ-02/04: token -> id, truncate to ``max_length``, right-pad with 0."""
     pad = dict(P.SEQ_RESERVED)["<PAD>"]
-    v = vocab.select("token", "idx")
-    v = F.broadcast(v) if vocab_size <= MAX_BROADCAST_VOCAB else v
-    toks = df.select(id_col, F.posexplode(F.slice(F.col(tokens_col), 1, max_length)).alias("pos", "token"))
-    ids = toks.join(v, "token", "left").select(id_col, "pos", F.coalesce(F.col("idx"), F.lit(unk)).alias("id"))
-    seqs = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("p"))
-    seqs = seqs.select(id_col, F.transform("p", lambda e: e["id"]).alias("ids"))
-    full = df.select(id_col).join(seqs, id_col, "left").withColumn(
-        "ids", F.coalesce(F.col("ids"), F.array().cast("array<int>"))
-    )
+    full = encode(df.select(id_col, F.slice(F.col(tokens_col), 1, max_length).alias("__t")), id_col, "__t", vocab)
     padded = F.slice(F.concat(F.col("ids"), F.array_repeat(F.lit(pad), max_length)), 1, max_length)
     return full.select(id_col, padded.alias("ids"), F.size("ids").alias("n_real"))
 

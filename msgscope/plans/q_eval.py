@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from msgscope.operators import clustering as CL
 from msgscope.operators import metrics as MT
+from msgscope.operators.ranking import join_null_safe
 from msgscope.plans import sqlparts as S
 from msgscope.plans.frames import SQL_MESSAGES, messages, with_ctes
 from msgscope.plans.registry import query
@@ -100,19 +101,21 @@ SQL_METRICS_BY_SOURCE = BASE + "," + SQL_AUC_PARTS + f""",
 prf AS ({_sql_prf('source')}),
 base AS (SELECT source, CAST(count(*) AS BIGINT) AS sample_count, round(avg(label), 6) AS spam_rate FROM scored GROUP BY source)
 SELECT b.source, b.sample_count, b.spam_rate, p.accuracy, p.precision, p.recall, p.f1, round(a.roc_auc, 6) AS roc_auc
-FROM base b JOIN prf p ON b.source = p.source JOIN auc a ON a.source = b.source
+FROM base b JOIN prf p ON b.source IS NOT DISTINCT FROM p.source JOIN auc a ON a.source IS NOT DISTINCT FROM b.source
 """
 
 
 @query("metrics_by_source", SQL_METRICS_BY_SOURCE)
 def metrics_by_source(spark, d):
-    s = scored(spark, d)
-    prf = MT.prf(MT.counts(s, group_cols=["source"]), keep=["source"])
-    auc = MT.auc_ap(MT.score_table(s, group_cols=["source"]), group_cols=["source"])
-    base = s.groupBy("source").agg(F.count(F.lit(1)).cast("long").alias("sample_count"), _r6(F.avg("label")).alias("spam_rate"))
-    return base.join(prf, "source").join(auc, "source").select(
+    d1 = MT.distinct_scores(scored(spark, d), group_cols=["source"])
+    c = MT.counts_at(d1, 0.5, ["source"])
+    n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    base = c.select("source", n.alias("sample_count"), _r6((F.col("tp") + F.col("fn")) / n).alias("spam_rate"))
+    auc = MT.auc_ap(MT.with_running_totals(d1, ["source"]), group_cols=["source"])
+    every = join_null_safe(join_null_safe(base, MT.prf(c, keep=["source"]), ["source"]), auc, ["source"])
+    return every.select(
         "source", "sample_count", "spam_rate",
-        *[_r6(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")],
+        *[_r6(F.col(x)).alias(x) for x in ("accuracy", "precision", "recall", "f1", "roc_auc")],
     )
 
 

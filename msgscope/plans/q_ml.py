@@ -11,20 +11,22 @@ from msgscope.functions.text import clean_email_artifacts
 from msgscope.operators import clustering as CL
 from msgscope.operators import metrics as MT
 from msgscope.operators import models as ML
-from msgscope.operators.ranking import reused
 from msgscope.operators.sampling import stratified_split
 from msgscope.plans.frames import cleaned
 from msgscope.plans.registry import query
+from msgscope.session import materialize
+
+
+W2V_PARTITIONS = 8  # tasks of an embedding fit; raise it with the corpus
 
 
 def _split_features(spark, d, family: str):
-    c = stratified_split(cleaned(spark, d))
+    c = cleaned(spark, d)
     if family == "c":
         cols = family_c(clean_email_artifacts(F.col("cleaned_text")))
     else:
         cols = family_b(F.col("cleaned_text"))
-    f = c.select("msg_id", "label", "source", "split", *[x.alias(n) for n, x in cols])
-    return reused(f)
+    return materialize(stratified_split(c.select("msg_id", "label", "source", *[x.alias(n) for n, x in cols])))
 
 
 def _long(spark, pairs):
@@ -67,7 +69,7 @@ def gbt_fit(spark, d):
     """ML-08/12/14/16: boosted trees on family-B features; test metrics at
     0.5 and at the F1-optimal threshold."""
     f, model = _gbt(spark, d)
-    scored = reused(ML.spam_probability(model.transform(f.where("split = 'test'"))))
+    scored = materialize(ML.spam_probability(model.transform(f.where("split = 'test'"))))
     m = MT.prf(MT.counts(scored)).first()
     st = MT.score_table(scored)
     a = MT.auc_ap(st).first()
@@ -115,21 +117,20 @@ def tfidf_cluster_vocab(spark, d):
     list; rows-only because the list is library-defined), uni+bigrams,
     min_df 5, max_df 0.6, 500 terms.  ``artifact_leak`` counts artefact
     tokens that reached the vocabulary (expected 0)."""
-    from pyspark.ml.feature import StopWordsRemover
-
     from msgscope.functions import patterns as P
     from msgscope.functions import text as T
     from msgscope.operators import vectorize as V
     from msgscope.plans.frames import documents
     from msgscope.operators.cleaning import clean_messages
 
-    c = reused(clean_messages(documents(spark, d)).select("msg_id", "cleaned_text"))
+    c = clean_messages(documents(spark, d)).select("msg_id", "cleaned_text")
     f = c.select("msg_id", T.filter_source_artifacts(clean_email_artifacts(F.col("cleaned_text"))).alias("f"))
     toks = f.select("msg_id", T.tfidf_tokens(F.col("f")).alias("toks"))
-    kept = StopWordsRemover(inputCol="toks", outputCol="kept").transform(toks).select("msg_id", "kept")
+    stop = F.array(*[F.lit(w) for w in P.ENGLISH_STOP_WORDS])
+    kept = toks.select("msg_id", F.filter("toks", lambda w: ~F.array_contains(stop, w)).alias("kept"))
     terms = kept.select("msg_id", T.with_bigrams(F.col("kept")).alias("terms"))
-    tf = V.term_frequencies(terms, "msg_id", "terms").persist()
-    vocab = V.fit_tfidf_vocabulary(tf, c.count(), 500, 5, 0.6)
+    by_doc = materialize(terms.select("msg_id", V.counted(F.col("terms")).alias("counts")))
+    vocab = V.fit_tfidf_vocabulary(V.term_frequencies(by_doc, "msg_id", "counts"), by_doc.count(), 500, 5, 0.6)
     arts = F.array(*[F.lit(a) for a in P.SOURCE_ARTIFACTS])
     return vocab.select(
         "term", "df", "cf", F.round("idf", 6).alias("idf"), F.array_contains(arts, F.col("term")).alias("artifact_leak")
@@ -205,7 +206,7 @@ def gbt_early_stop(spark, d):
     test = VectorAssembler(inputCols=FAMILY_B_NAMES, outputCol="features", handleInvalid="keep").transform(
         f.where("split = 'test'")
     )
-    scored = reused(ML.spam_probability(model.transform(test)))
+    scored = materialize(ML.spam_probability(model.transform(test)))
     m = MT.prf(MT.counts(scored)).first()
     st = MT.score_table(scored)
     a = MT.auc_ap(st).first()
@@ -220,30 +221,33 @@ def gbt_early_stop(spark, d):
 
 @query("sequence_classifier")
 def sequence_classifier(spark, d):
-    """ML-17 re-aimed: sequence tokens (first 128, like the padded input) ->
-    Word2Vec mean embedding -> logistic regression; one saved pipeline,
-    test metrics."""
+    """ML-17 re-aimed: sequence tokens -> ids of the bounded vocabulary (others
+    are the unknown id) -> Word2Vec mean embedding over the whole text, fitted in
+    several partitions -> logistic regression; one saved pipeline, test metrics."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import Word2Vec
 
     from msgscope.functions import text as T
+    from msgscope.operators import vectorize as V
 
-    c = stratified_split(cleaned(spark, d))
-    toks = reused(
-        c.select(
-            "msg_id", "label", "split",
-            F.slice(T.sequence_tokens(T.clean_for_sequence(F.col("cleaned_text"))), 1, 128).alias("toks"),
-        )
+    c = cleaned(spark, d).select(
+        "msg_id", "label", "source", T.sequence_tokens(T.clean_for_sequence(F.col("cleaned_text"))).alias("words")
+    )
+    c = stratified_split(c)
+    vocab = materialize(V.build_token_vocabulary(c.where("split = 'train'"), "words", 10000, 2))
+    ids = V.encode(c, "msg_id", "words", vocab)
+    toks = materialize(
+        c.select("msg_id", "label", "split").join(ids, "msg_id").select("msg_id", "label", "split", F.col("ids").cast("array<string>").alias("toks"))
     )
     pipe = Pipeline(
         stages=[
-            Word2Vec(inputCol="toks", outputCol="features", vectorSize=64, minCount=2, seed=42, maxIter=1),
+            Word2Vec(inputCol="toks", outputCol="features", vectorSize=64, minCount=1, seed=42, maxIter=1, numPartitions=W2V_PARTITIONS),
             LogisticRegression(labelCol="label", featuresCol="features", maxIter=100),
         ]
     )
     model = ML.save_and_reload(pipe.fit(toks.where("split = 'train'")), ML.model_path(spark, "seq"))
-    scored = reused(ML.spam_probability(model.transform(toks.where("split = 'test'"))))
+    scored = materialize(ML.spam_probability(model.transform(toks.where("split = 'test'"))))
     m = MT.prf(MT.counts(scored)).first()
     a = MT.auc_ap(MT.score_table(scored)).first()
     return _long(

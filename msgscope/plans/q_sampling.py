@@ -28,14 +28,14 @@ sizes AS (SELECT source, label, count(*) AS n FROM cleaned GROUP BY source, labe
 q1 AS (SELECT *, sum(n) OVER () AS tot, CAST(ceil(sum(n) OVER () * {P.DEFAULT_TEST_SIZE}) AS BIGINT) AS ntest FROM sizes),
 q2 AS (SELECT *, n * ntest AS num, CAST(floor(n * ntest / tot) AS BIGINT) AS fl FROM q1),
 q3 AS (SELECT *, num - fl * tot AS frac, ntest - sum(fl) OVER () AS lft FROM q2),
-q4 AS (SELECT source, label, fl + CASE WHEN row_number() OVER (ORDER BY frac DESC, source || '|||' || CAST(label AS VARCHAR))
+q4 AS (SELECT source, label, fl + CASE WHEN row_number() OVER (ORDER BY frac DESC, coalesce(source, '') || '|||' || CAST(label AS VARCHAR))
               <= lft THEN 1 ELSE 0 END AS quota FROM q3),
 split AS (SELECT r.msg_id, r.label, r.source, r.text_length, CASE WHEN r.rnk <= q.quota THEN 'test' ELSE 'train' END AS split
-          FROM ranked r JOIN q4 q ON r.source = q.source AND r.label = q.label)"""
+          FROM ranked r JOIN q4 q ON r.source IS NOT DISTINCT FROM q.source AND r.label = q.label)"""
 
 
 def _split(spark, d):
-    return SM.stratified_split(cleaned(spark, d))
+    return SM.stratified_split(cleaned(spark, d).select("msg_id", "label", "source"))
 
 
 SQL_STRATIFIED_SPLIT = with_ctes(SQL_MESSAGES, SQL_CLEANED, SQL_SPLIT) + "SELECT msg_id, split FROM split"
@@ -46,6 +46,22 @@ def stratified_split(spark, d):
     return _split(spark, d).select("msg_id", "split")
 
 
+# --------------------------------------------------------------------------- SMP-02
+SQL_SPLIT_BY_LABEL = with_ctes(SQL_MESSAGES, SQL_CLEANED) + f"""
+, ranked AS ({_sql_rank('cleaned', 'label')}),
+q1 AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS tot,
+       CAST(ceil(sum(count(*)) OVER () * {P.DEFAULT_TEST_SIZE}) AS BIGINT) AS ntest FROM cleaned GROUP BY label),
+q2 AS (SELECT *, n * ntest - CAST(floor(n * ntest / tot) AS BIGINT) * tot AS frac, CAST(floor(n * ntest / tot) AS BIGINT) AS fl FROM q1),
+q3 AS (SELECT label, fl + CASE WHEN row_number() OVER (ORDER BY frac DESC, CAST(label AS VARCHAR)) <= ntest - sum(fl) OVER () THEN 1 ELSE 0 END AS quota FROM q2)
+SELECT r.msg_id, CASE WHEN r.rnk <= q.quota THEN 'test' ELSE 'train' END AS split FROM ranked r JOIN q3 q ON r.label = q.label"""
+
+
+@query("split_by_label", SQL_SPLIT_BY_LABEL)
+def split_by_label(spark, d):
+    """The split stratified by the label alone."""
+    return SM.stratified_split(cleaned(spark, d).select("msg_id", "label"), strata=["label"]).select("msg_id", "split")
+
+
 # --------------------------------------------------------------------------- AGG-05
 SQL_SPLIT_DISTRIBUTION = with_ctes(SQL_MESSAGES, SQL_CLEANED, SQL_SPLIT) + """,
 tagged AS (SELECT 'original' AS part, source, label FROM cleaned
@@ -58,10 +74,8 @@ FROM tagged GROUP BY part, source
 
 @query("split_distribution", SQL_SPLIT_DISTRIBUTION.replace("\n,\ntagged", ",\ntagged"))
 def split_distribution(spark, d):
-    s = _split(spark, d)
-    tagged = s.select(F.lit("original").alias("part"), "source", "label").unionByName(
-        s.select(F.col("split").alias("part"), "source", "label")
-    )
+    parts = F.explode(F.array(F.lit("original"), F.col("split")))
+    tagged = _split(spark, d).select(parts.alias("part"), "source", "label")
     g = tagged.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("r"))
     w = Window.partitionBy("part")  # parts x sources rows
     return g.select(
@@ -75,10 +89,10 @@ SQL_FOLDS = f"""
 train AS (SELECT msg_id, label, source FROM split WHERE split = 'train'),
 tranked AS ({_sql_rank('train')}),
 tsizes AS (SELECT source, label, count(*) AS n FROM train GROUP BY source, label),
-toff AS (SELECT source, label, coalesce(sum(n) OVER (ORDER BY source || '|||' || CAST(label AS VARCHAR)
+toff AS (SELECT source, label, coalesce(sum(n) OVER (ORDER BY coalesce(source, '') || '|||' || CAST(label AS VARCHAR)
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM tsizes),
 folds AS (SELECT r.msg_id, r.label, r.source, CAST((o.start + r.rnk - 1) % {P.DEFAULT_FOLDS} + 1 AS INTEGER) AS fold
-          FROM tranked r JOIN toff o ON r.source = o.source AND r.label = o.label)"""
+          FROM tranked r JOIN toff o ON r.source IS NOT DISTINCT FROM o.source AND r.label = o.label)"""
 
 
 def _folds(spark, d):
@@ -125,7 +139,7 @@ c5 AS (SELECT *, CAST(floor(sum(n_src) OVER () * {float(cap)}) AS BIGINT) AS cap
 quota AS (SELECT source,
   CASE WHEN n_src > cap THEN CAST(floor(cap * spam / n_src) AS BIGINT) ELSE spam END AS q1,
   CASE WHEN n_src > cap THEN CAST(floor(cap * ham_q / n_src) AS BIGINT) ELSE ham_q END AS q0 FROM c5)
-SELECT r.msg_id, r.label, r.source FROM tranked r JOIN quota q ON r.source = q.source
+SELECT r.msg_id, r.label, r.source FROM tranked r JOIN quota q ON r.source IS NOT DISTINCT FROM q.source
 WHERE r.rnk <= CASE WHEN r.label = 1 THEN q.q1 ELSE q.q0 END"""
 
 

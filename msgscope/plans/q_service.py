@@ -18,8 +18,13 @@ from msgscope.sources.tables import read_table
 from msgscope.streaming.lockout import lockout_batch
 
 
-def _r6(c):
-    return F.round(c, 6)
+def rounded(c, digits: int):
+    """Half to even, as Python rounds."""
+    return F.rint(c * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
+def sql_rounded(c: str, digits: int) -> str:
+    return f"(round_even(({c}) * {10.0**digits}, 0) / {10.0**digits})"
 
 
 def _sql_tiers(p: str) -> tuple[str, str]:
@@ -33,7 +38,7 @@ _T, _LV = _sql_tiers("p")
 SQL_RISK_TIER = f"""
 SELECT conv_id, turn, p AS spam_probability, {_T} AS risk_type, {_LV} AS risk_level,
        CAST(floor(p * 100 + 0.5) AS INTEGER) AS spam_percent, CAST(100 - floor(p * 100 + 0.5) AS INTEGER) AS ham_percent,
-       round(abs(p - 0.5) * 2, 6) AS confidence
+       {sql_rounded('abs(p - 0.5) * 2', 4)} AS confidence
 FROM (SELECT conv_id, turn, {sql_rule_score('t')} AS p FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations))
 """
 
@@ -46,7 +51,7 @@ def risk_tier(spark, d):
     return c.select(
         "conv_id", "turn", F.col("p").alias("spam_probability"), typ.alias("risk_type"), lvl.alias("risk_level"),
         pct.alias("spam_percent"), (F.lit(100) - pct).cast("int").alias("ham_percent"),
-        _r6(SV.confidence(F.col("p"))).alias("confidence"),
+        rounded(SV.confidence(F.col("p")), 4).alias("confidence"),
     )
 
 
@@ -57,7 +62,7 @@ def _sql_model_union() -> str:
         parts.append(
             f"SELECT '{name}' AS model_id, msg_id, p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction FROM "
             f"(SELECT conv_id * 1000 + turn AS msg_id, {sql_rule_score('t', wu, wb)} AS p "
-            f"FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'user'))"
+            f"FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations))"
         )
     return "\nUNION ALL\n".join(parts)
 
@@ -68,24 +73,24 @@ req AS (SELECT * FROM (VALUES {', '.join(f"('{m}')" for m in RULE_MODELS)}) r(mo
 SELECT r.model_id, CAST(count(p.msg_id) AS BIGINT) AS predictions,
        CAST(coalesce(sum(p.prediction), 0) AS BIGINT) AS spam,
        CAST(count(p.msg_id) - coalesce(sum(p.prediction), 0) AS BIGINT) AS ham,
-       round(coalesce(avg(abs(p.p - 0.5) * 2), 0), 6) AS avg_confidence, round(coalesce(avg(p.p), 0), 6) AS avg_spam_probability
+       {sql_rounded('coalesce(avg(abs(p.p - 0.5) * 2), 0)', 4)} AS avg_confidence, {sql_rounded('coalesce(avg(p.p), 0)', 4)} AS avg_spam_probability
 FROM req r LEFT JOIN preds p ON p.model_id = r.model_id GROUP BY r.model_id
 """
 
 
-def _user_turns(spark, d):
-    return read_table(spark, d, "conversations").where(F.col("role") == "user").select(
+def turns(spark, d):
+    return read_table(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text"
     )
 
 
 @query("batch_summary", SQL_BATCH_SUMMARY)
 def batch_summary(spark, d):
-    preds = score_with_models(_user_turns(spark, d), RULE_MODELS)
+    preds = score_with_models(turns(spark, d), RULE_MODELS)
     s = summarize_batch(preds, list(RULE_MODELS))
     return s.select(
         "model_id", "predictions", "spam", "ham",
-        _r6(F.col("avg_confidence")).alias("avg_confidence"), _r6(F.col("avg_spam_probability")).alias("avg_spam_probability"),
+        rounded(F.col("avg_confidence"), 4).alias("avg_confidence"), rounded(F.col("avg_spam_probability"), 4).alias("avg_spam_probability"),
     )
 
 
@@ -93,7 +98,7 @@ def batch_summary(spark, d):
 SQL_TEXT_STATS = f"""
 SELECT conv_id, turn, CAST(length(t) AS INTEGER) AS char_count, CAST(len({S.words('t')}) AS INTEGER) AS word_count,
        CAST(greatest(1, {S.count_literal('t', '.')} + {S.count_literal('t', '!')} + {S.count_literal('t', '?')}) AS INTEGER) AS sentence_count,
-       round(CASE WHEN len({S.words('t')}) > 0 THEN length(regexp_replace(t, {S.rx('[' + P.SPACE + ']+')}, '', 'g')) / len({S.words('t')}) ELSE 0.0 END, 6) AS avg_word_length,
+       {sql_rounded(f"CASE WHEN len({S.words('t')}) > 0 THEN length(regexp_replace(t, {S.rx('[' + P.SPACE + ']+')}, '', 'g')) / len({S.words('t')}) ELSE 0.0 END", 2)} AS avg_word_length,
        CASE WHEN text IS NULL OR {S.strip('text')} = '' THEN 'empty' WHEN length(text) > {P.MAX_TEXT_CHARS} THEN 'too_long' END AS rejected
 FROM (SELECT conv_id, turn, text, coalesce(text, '') AS t FROM conversations)
 """
@@ -105,7 +110,7 @@ def text_stats(spark, d):
     cols = dict(SV.request_text_stats(F.col("text")))
     return c.select(
         "conv_id", "turn", cols["char_count"].alias("char_count"), cols["word_count"].alias("word_count"),
-        cols["sentence_count"].alias("sentence_count"), _r6(cols["avg_word_length"]).alias("avg_word_length"),
+        cols["sentence_count"].alias("sentence_count"), rounded(cols["avg_word_length"], 2).alias("avg_word_length"),
         SV.text_rejection(F.col("text")).alias("rejected"),
     )
 

@@ -11,23 +11,25 @@ import os
 from pyspark.sql import functions as F
 
 from msgscope.operators.scoring import summarize_batch
-from msgscope.plans.q_service import SQL_BATCH_SUMMARY, SQL_LOCKOUT
+from msgscope.plans.q_service import SQL_BATCH_SUMMARY, SQL_LOCKOUT, rounded
 from msgscope.plans.registry import query
 from msgscope.plans.rules import RULE_MODELS
 from msgscope.sources.tables import read_table
 from msgscope.streaming.scoring import stream_lockout as _stream_lockout
 from msgscope.streaming.scoring import stream_score as _stream_score
 
+FILES_A_BATCH = 32
+
 
 @query("stream_score", SQL_BATCH_SUMMARY)
 def stream_score(spark, d):
-    """STR-01 + AGG-34: user turns scored in micro-batches by every model."""
+    """STR-01 + AGG-34: all turns scored in micro-batches by every model."""
     schema = read_table(spark, d, "conversations").schema
-    preds = _stream_score(spark, os.path.join(d, "conversations.parquet"), schema, RULE_MODELS)
+    preds = _stream_score(spark, os.path.join(d, "conversations.parquet"), schema, RULE_MODELS, FILES_A_BATCH)
     s = summarize_batch(preds.drop("batch_id"), list(RULE_MODELS))
     return s.select(
         "model_id", "predictions", "spam", "ham",
-        F.round("avg_confidence", 6).alias("avg_confidence"), F.round("avg_spam_probability", 6).alias("avg_spam_probability"),
+        rounded(F.col("avg_confidence"), 4).alias("avg_confidence"), rounded(F.col("avg_spam_probability"), 4).alias("avg_spam_probability"),
     )
 
 
@@ -35,4 +37,4 @@ def stream_score(spark, d):
 def stream_lockout(spark, d):
     """STR-02 streaming: keyed state per identifier across micro-batches."""
     schema = read_table(spark, d, "events").schema
-    return _stream_lockout(spark, os.path.join(d, "events.parquet"), schema)
+    return _stream_lockout(spark, os.path.join(d, "events.parquet"), schema, FILES_A_BATCH)

@@ -264,7 +264,15 @@ def features_cluster(spark, d):
     return e.select("msg_id", *[c.alias(n) for n, c in family_c(F.col("t"), with_repeated_chars=False)])
 
 
-@query("repeated_chars")  # back-reference pattern: no RE2 form, rows-only check
+# runs of three or more of one character: positions where such a run begins
+SQL_REPEATED_CHARS = f"""
+SELECT msg_id, CAST(coalesce(len(list_filter(range(1, len(c) - 1), lambda i:
+         c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] <> chr(10) AND (i = 1 OR c[i - 1] <> c[i]))), 0) AS INTEGER) AS repeated_chars
+FROM (SELECT msg_id, string_split(t, '') AS c FROM (SELECT doc_id AS msg_id, {S.clean_email_artifacts('text')} AS t FROM documents))
+"""
+
+
+@query("repeated_chars", SQL_REPEATED_CHARS)
 def repeated_chars(spark, d):
     e = documents(spark, d).select("msg_id", T.clean_email_artifacts(F.col("text")).alias("t"))
     return e.select("msg_id", F.regexp_count(F.col("t"), F.lit(P.REPEATED_CHARS)).cast("int").alias("repeated_chars"))

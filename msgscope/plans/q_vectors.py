@@ -9,13 +9,14 @@ from msgscope.functions import text as T
 from msgscope.functions.features import family_a
 from msgscope.operators import vectorize as V
 from msgscope.operators.cleaning import clean_messages
-from msgscope.operators.ranking import exact_quantiles, reused
+from msgscope.operators.ranking import exact_quantiles
 from msgscope.operators.sampling import stratified_split
 from msgscope.plans import sqlparts as S
 from msgscope.plans.frames import SQL_CLEANED, SQL_MESSAGES, cleaned, documents, messages, with_ctes
 from msgscope.plans.q_sampling import SQL_SPLIT
-from msgscope.plans.q_stats import SQL_FA, ALL_A
+from msgscope.plans.q_stats import ALL_A, SQL_FA
 from msgscope.plans.registry import query
+from msgscope.session import materialize
 
 # Trees-model TF-IDF parameters (fixed values)
 MAX_FEATURES, MIN_DF, MAX_DF = 5000, 2, 0.95
@@ -40,13 +41,13 @@ vocab AS (SELECT term, df, cf, ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)
 
 
 def _tfidf_inputs(spark, d):
-    c = reused(clean_messages(documents(spark, d)).select("msg_id", "cleaned_text"))
-    toks = c.select("msg_id", T.tfidf_tokens(F.col("cleaned_text"), True).alias("toks"))
+    toks = clean_messages(documents(spark, d)).select("msg_id", T.tfidf_tokens(F.col("cleaned_text"), True).alias("toks"))
     terms = toks.select("msg_id", T.with_bigrams(F.col("toks")).alias("terms"))
-    tf = V.term_frequencies(terms, "msg_id", "terms").persist()
-    n_docs = c.count()
+    by_doc = materialize(terms.select("msg_id", V.counted(F.col("terms")).alias("counts")))
+    tf = V.term_frequencies(by_doc, "msg_id", "counts")
+    n_docs = by_doc.count()
     vocab = V.fit_tfidf_vocabulary(tf, n_docs, MAX_FEATURES, MIN_DF, MAX_DF)
-    return tf, vocab, n_docs
+    return tf, materialize(vocab), n_docs
 
 
 @query("tfidf_vocab", "WITH " + SQL_DOC_TERMS + "\nSELECT term, CAST(df AS BIGINT) AS df, CAST(cf AS BIGINT) AS cf, round(idf, 6) AS idf FROM vocab")
@@ -64,7 +65,7 @@ SELECT msg_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY msg_id)), 6) A
 @query("tfidf_weights", SQL_TFIDF_WEIGHTS)
 def tfidf_weights(spark, d):
     tf, vocab, _n = _tfidf_inputs(spark, d)
-    return V.tfidf_weights(tf, vocab, "msg_id", MAX_FEATURES).select("msg_id", "term", _r6(F.col("weight")).alias("weight"))
+    return V.tfidf_weights(tf, vocab, "msg_id").select("msg_id", "term", _r6(F.col("weight")).alias("weight"))
 
 
 SQL_TFIDF_SPARSITY = "WITH " + SQL_DOC_TERMS + """,
@@ -78,7 +79,7 @@ SELECT CAST(n AS BIGINT) AS n_docs, CAST(n_terms AS BIGINT) AS n_terms, CAST(nnz
 @query("tfidf_sparsity", SQL_TFIDF_SPARSITY)
 def tfidf_sparsity(spark, d):
     tf, vocab, n_docs = _tfidf_inputs(spark, d)
-    nnz = tf.join(F.broadcast(vocab.select("term")), "term").agg(F.count(F.lit(1)).alias("nnz"))
+    nnz = tf.join(vocab.select("term"), "term").agg(F.count(F.lit(1)).alias("nnz"))
     nt = vocab.agg(F.count(F.lit(1)).alias("n_terms"))
     from msgscope.operators.clustering import attach_one_row
 
@@ -116,7 +117,7 @@ vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token ASC)
 
 def _seq_tokens(spark, d):
     c = clean_messages(documents(spark, d)).select("msg_id", "cleaned_text")
-    return reused(c.select("msg_id", T.sequence_tokens(T.clean_for_sequence(F.col("cleaned_text"))).alias("toks")))
+    return materialize(c.select("msg_id", T.sequence_tokens(T.clean_for_sequence(F.col("cleaned_text"))).alias("toks")))
 
 
 @query("vocab_build", "WITH " + SQL_SEQ_BASE + "\nSELECT token, idx, count FROM vocab")
@@ -136,8 +137,8 @@ FROM sq q LEFT JOIN ids i ON q.msg_id = i.msg_id
 @query("encode_pad", SQL_ENCODE)
 def encode_pad(spark, d):
     toks = _seq_tokens(spark, d)
-    vocab = V.build_token_vocabulary(toks, "toks", VOCAB_SIZE, MIN_FREQ)
-    r = V.encode_and_pad(toks, "msg_id", "toks", vocab, MAX_LEN, VOCAB_SIZE)
+    vocab = materialize(V.build_token_vocabulary(toks, "toks", VOCAB_SIZE, MIN_FREQ))
+    r = V.encode_and_pad(toks, "msg_id", "toks", vocab, MAX_LEN)
     return r.select("msg_id", F.array_join("ids", " ").alias("ids"), F.col("n_real").cast("int"))
 
 
@@ -178,7 +179,7 @@ FROM lg l JOIN st s ON l.feature = s.feature WHERE l.split = 'test'
 
 @query("scale_standard", SQL_SCALE)
 def scale_standard(spark, d):
-    sp = stratified_split(cleaned(spark, d)).select("msg_id", "split")
+    sp = stratified_split(cleaned(spark, d).select("msg_id", "label", "source")).select("msg_id", "split")
     fa = messages(spark, d).select("msg_id", *[c.alias(n) for n, c in family_a(F.col("text"))])
     both = fa.join(sp, "msg_id")
     z = V.standard_scale_long(both.where("split = 'train'"), both.where("split = 'test'"), "msg_id", ALL_A)
@@ -196,7 +197,7 @@ FROM split, cats
 
 @query("source_onehot", SQL_ONEHOT)
 def source_onehot(spark, d):
-    sp = stratified_split(cleaned(spark, d)).select("msg_id", "source", "split")
+    sp = stratified_split(cleaned(spark, d).select("msg_id", "label", "source")).select("msg_id", "source", "split")
     cats = [r["source"] for r in sp.where("split = 'train'").select("source").distinct().orderBy("source").collect()]
     out = V.one_hot_fixed(sp, "source", cats)
     return out.select("msg_id", F.coalesce(F.col("source_index"), F.lit(-1)).cast("int").alias("source_index"), "onehot")

@@ -62,8 +62,8 @@ def family_a(t: str) -> list[tuple[str, str]]:
         ("punctuation_ratio", _ratio(S.count_class(t, _esc_class(P.PUNCT_CHARS)), L)),
         ("upper_ratio", _ratio(S.count_class(t, r"\p{Lu}"), L)),
         ("consecutive_caps", S.regexp_count(t, P.CAPS_RUN)),
-        ("digit_count", S.count_class(t, r"\p{Nd}")),
-        ("digit_ratio", _ratio(S.count_class(t, r"\p{Nd}"), L)),
+        ("digit_count", S.count_class(t, S.DIGITS)),
+        ("digit_ratio", _ratio(S.count_class(t, S.DIGITS), L)),
         ("special_char_count", S.count_class(t, special)),
         ("special_char_ratio", _ratio(S.count_class(t, special), L)),
         ("space_ratio", _ratio(S.count_literal(t, " "), L)),
@@ -71,7 +71,7 @@ def family_a(t: str) -> list[tuple[str, str]]:
         ("unique_ratio", f"(CASE WHEN {wc} > 0 THEN {uniq} / {wc} ELSE 0.0 END)"),
         (
             "max_word_repetition",
-            f"CAST(CASE WHEN {wc} > 0 THEN len(list_filter({lw}, lambda x: x = list_aggr({lw}, 'mode'))) ELSE 0 END AS INTEGER)",
+            f"CAST(CASE WHEN {wc} > 0 THEN list_max(map_values(list_aggregate({lw}, 'histogram'))) ELSE 0 END AS INTEGER)",
         ),
     ]
 
@@ -171,7 +171,7 @@ def family_c(t: str, low: str, marked_low: str) -> list[tuple[str, str]]:
         "generic_greetings": mc("generic_greetings"),
         "spam_phrase_score": f"CAST({phrase} AS INTEGER)",
         "consecutive_capitals": S.regexp_count(t, P.CAPS_RUN),
-        "digit_ratio": _safe_ratio(S.count_class(t, r"\p{Nd}"), n),
+        "digit_ratio": _safe_ratio(S.count_class(t, S.DIGITS), n),
         "number_sequences": S.regexp_count(t, P.NUMBER_RUN),
         "short_sentences": f"CAST(len(list_filter({part_words}, lambda x: x < 5)) AS INTEGER)",
         "long_sentences": f"CAST(len(list_filter({part_words}, lambda x: x > 20)) AS INTEGER)",

@@ -115,7 +115,7 @@ def filter_source_artifacts(expr: str) -> str:
     core = f"regexp_replace(w, {rx('[^' + P.WORD + ']')}, '', 'g')"
     keep = (
         f"NOT list_contains({arts}, {core}) AND length({core}) > 2 "
-        f"AND NOT regexp_matches({core}, {rx('^[' + P.DIGIT + ']+$')})"
+        f"AND NOT regexp_matches({core}, {rx('^' + DIGITS + '+$')})"
     )
     return f"array_to_string(list_filter({words(f'lower({expr})')}, lambda w: {keep}), ' ')"
 
@@ -133,7 +133,12 @@ def with_bigrams(toks: str) -> str:
 
 
 def strip_accents(expr: str) -> str:
-    from msgscope.functions.text import accent_map
+    return f"strip_accents({expr})"
 
-    src, dst = accent_map()
-    return f"translate({expr}, {lit(src)}, {lit(dst)})"
+
+#: Characters that count as digits: decimal ones, and the superscripts, circled
+#: and other digits of Unicode (written out apart from the Spark side).
+DIGITS = (
+    r"[\p{Nd}²³¹\x{1369}-\x{1371}\x{19da}⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
+    r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}]"
+)

@@ -8,6 +8,7 @@ session and only invents a local folder when running in local mode.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.msgscope.inputPartitions", str(2 * cores) if isinstance(cores, int) else "16")
         .config("spark.driver.memory", os.environ.get("MSGSCOPE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -32,6 +34,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application: its functions run
+    there, and a worker's path need not hold it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_msgscope_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    where = tempfile.mkdtemp(prefix="msgscope-")
+    kept = os.path.join(where, "package", "msgscope")
+    shutil.copytree(root, kept, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(where, "msgscope"), "zip", os.path.dirname(kept)))
+    sc._msgscope_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 

@@ -1,11 +1,4 @@
-"""Readers for the parquet tables and the canonical ``messages`` view.
-
-``messages`` = documents joined with labels on ``doc_id``:
-``msg_id=doc_id, text, label=normalize(toxic), source``.  The join is a plain
-equi-join; Catalyst/AQE choose the strategy from real sizes (labels is a small
-fraction of documents, so it is broadcast only when its runtime size is under
-the broadcast threshold, otherwise both sides shuffle on ``doc_id``).
-"""
+"""Readers for the parquet tables and the rule for usable text."""
 
 from __future__ import annotations
 
@@ -14,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscope.functions.text import normalize_label, strip_ws
+from msgscope.functions.text import strip_ws
+from msgscope.session import ship
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -23,38 +17,11 @@ TABLES = [
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=None) -> None:
-    for name in names or TABLES:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 def valid_text(c) -> F.Column:
     """FLT-01: text present and not blank."""
     return c.isNotNull() & (strip_ws(c) != F.lit(""))
 
-
-def messages(spark: SparkSession, sf_dir: str, label_col: str = "toxic") -> DataFrame:
-    """Labelled message table ``(msg_id, text, label, source)``."""
-    docs = read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("msg_id"), "text", "source"
-    )
-    labels = read_table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("msg_id"), normalize_label(F.col(label_col)).alias("label")
-    )
-    return (
-        docs.join(labels, "msg_id", "inner")
-        .where(valid_text(F.col("text")))
-        .select("msg_id", F.col("text").cast("string").alias("text"), "label", "source")
-    )
-
-
-def unlabelled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring input without labels: every document ``(msg_id, text, source)``."""
-    return (
-        read_table(spark, sf_dir, "documents")
-        .where(valid_text(F.col("text")))
-        .select(F.col("doc_id").alias("msg_id"), "text", "source")
-    )

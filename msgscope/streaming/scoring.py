@@ -44,29 +44,33 @@ def run_to_completion(writer) -> None:
         raise RuntimeError(str(q.exception()))
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the store that holds the path, whichever it is."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p).isDirectory()
+
+
 def _file_stream(spark: SparkSession, source_path: str, schema, max_files: int) -> DataFrame:
-    """File stream over a folder, or over one file via its folder and a name filter."""
+    """File stream over a folder (a table of several part files, too), or over
+    one file via its folder and a name filter."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if os.path.isfile(source_path) or source_path.endswith(".parquet"):
+    if not _is_folder(spark, source_path):
         reader = reader.option("pathGlobFilter", os.path.basename(source_path))
         source_path = os.path.dirname(source_path)
     return reader.parquet(source_path)
 
 
-def stream_score(spark: SparkSession, source_path: str, schema, models: dict, max_files: int = 1) -> DataFrame:
+def stream_score(spark: SparkSession, source_path: str, schema, models: dict, max_files: int) -> DataFrame:
     """Score every row of a file stream with ``models``; returns the scored
     rows (``model_id, msg_id, p, prediction, batch_id``)."""
     out, ckpt = stream_paths(spark, "score")
-    src = (
-        _file_stream(spark, source_path, schema, max_files)
-        .where(F.col("role") == "user")
-        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
-    )
+    src = _file_stream(spark, source_path, schema, max_files).select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
     run_to_completion(src.writeStream.foreachBatch(scored_batches_sink(out, models)).option("checkpointLocation", ckpt))
     return spark.read.parquet(out)
 
 
-def stream_lockout(spark: SparkSession, source_path: str, schema, max_files: int = 1) -> DataFrame:
+def stream_lockout(spark: SparkSession, source_path: str, schema, max_files: int) -> DataFrame:
     """Lockout decisions for a file stream of events; append-mode parquet
     sink (exactly-once through the sink's log)."""
     out, ckpt = stream_paths(spark, "lockout")
