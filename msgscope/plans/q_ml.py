@@ -6,12 +6,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from msgscope.functions import patterns as P
 from msgscope.functions.features import FAMILY_B_NAMES, FAMILY_C_ORDER, family_b, family_c
 from msgscope.functions.text import clean_email_artifacts
 from msgscope.operators import clustering as CL
 from msgscope.operators import metrics as MT
 from msgscope.operators import models as ML
 from msgscope.operators.sampling import stratified_split
+from msgscope.plans import sqlparts as S
 from msgscope.plans.frames import cleaned
 from msgscope.plans.registry import query
 from msgscope.session import materialize
@@ -110,14 +112,29 @@ def pca_2d(spark, d):
     )
 
 
-@query("tfidf_cluster_vocab")
+SQL_CLUSTER_VOCAB = f"""
+WITH cdocs AS (SELECT msg_id, cleaned_text FROM (SELECT doc_id AS msg_id, {S.clean_text('text')} AS cleaned_text FROM documents)
+               WHERE length(cleaned_text) >= {P.MIN_CLEAN_LENGTH}),
+e AS (SELECT msg_id, {S.clean_email_artifacts('cleaned_text')} AS e FROM cdocs),
+f AS (SELECT msg_id, {S.filter_source_artifacts('e')} AS f FROM e),
+t0 AS (SELECT msg_id, {S.tokens('lower(f)', P.TFIDF_TOKEN)} AS t0 FROM f),
+t1 AS (SELECT msg_id, list_filter(t0, lambda w: NOT list_contains([{', '.join(S.lit(w) for w in P.ENGLISH_STOP_WORDS)}], w)) AS toks FROM t0),
+terms AS (SELECT msg_id, {S.with_bigrams('toks')} AS terms FROM t1),
+tf AS (SELECT msg_id, term, count(*) AS tf FROM (SELECT msg_id, unnest(terms) AS term FROM terms) GROUP BY 1, 2),
+nd AS (SELECT count(*) AS n FROM cdocs),
+dfs AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term)
+SELECT term, CAST(df AS BIGINT) AS df, CAST(cf AS BIGINT) AS cf, round(ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1, 6) AS idf,
+       list_contains([{', '.join(S.lit(a) for a in P.SOURCE_ARTIFACTS)}], term) AS artifact_leak
+FROM dfs, nd WHERE df >= 5 AND df <= 0.6 * n ORDER BY cf DESC, term ASC LIMIT 500
+"""
+
+
+@query("tfidf_cluster_vocab", SQL_CLUSTER_VOCAB)
 def tfidf_cluster_vocab(spark, d):
     """VEC-03/04, TXT-13/14/20: clustering TF-IDF - e-mail artefacts and source
-    artefact words removed, English stop words (Spark's StopWordsRemover
-    list; rows-only because the list is library-defined), uni+bigrams,
+    artefact words removed, English stop words (pinned list), uni+bigrams,
     min_df 5, max_df 0.6, 500 terms.  ``artifact_leak`` counts artefact
     tokens that reached the vocabulary (expected 0)."""
-    from msgscope.functions import patterns as P
     from msgscope.functions import text as T
     from msgscope.operators import vectorize as V
     from msgscope.plans.frames import documents
@@ -176,7 +193,6 @@ def gbt_search(spark, d):
 @query("gbt_importance_types")
 def gbt_importance_types(spark, d):
     """AGG-32/33: boosted-tree importance totals by name fragment."""
-    from msgscope.functions import patterns as P
     from msgscope.operators.stats import importance_by_fragment
 
     _f, model = _gbt(spark, d)

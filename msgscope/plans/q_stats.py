@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
@@ -238,53 +239,122 @@ def feature_correlation(spark, d):
     )
 
 
-@query("correlation_significance")  # p-values need the incomplete beta function: rows-only
+# two-sided p of Student's t: one less twice the density's integral up to |t|, by
+# Simpson's rule
+SIMPSON = 4000
+SQL_P = f"""corr_p AS (
+  SELECT c.*, CASE WHEN c.correlation = 0 THEN 1.0 WHEN c.abs_correlation >= 1 THEN 0.0 ELSE greatest(0.0, 1 - 2 * i.area) END AS p_value
+  FROM corr_t c LEFT JOIN (
+    SELECT feature, sum((CASE WHEN k IN (0, {SIMPSON}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+             * pow(1 + pow(abs(t_stat) * k / {SIMPSON}, 2) / (n - 2), -(n - 1) / 2.0))
+           * any_value(exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * abs(t_stat) / {SIMPSON} / 3) AS area
+    FROM corr_t, range(0, {SIMPSON} + 1) r(k) WHERE t_stat IS NOT NULL GROUP BY feature) i ON i.feature = c.feature)"""
+CORR_CTES = (SQL_MESSAGES, SQL_FA, SQL_CORR, SQL_CORR_OUT, SQL_P)
+
+SQL_SIGNIFICANCE = with_ctes(*CORR_CTES) + """
+SELECT feature, round(correlation, 6) AS correlation, round(abs_correlation, 6) AS abs_correlation, round(p_value, 6) AS p_value,
+       feature_type, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS significance
+FROM corr_p
+"""
+
+
+def _with_p(spark, d):
+    return ST.with_p_values(ST.label_correlations(features_a(spark, d), ALL_A))
+
+
+@query("correlation_significance", SQL_SIGNIFICANCE)
 def correlation_significance(spark, d):
-    r = ST.with_p_values(ST.label_correlations(features_a(spark, d), ALL_A))
-    return r.select(
-        "feature", "correlation", "abs_correlation", "p_value", "feature_type", "significance"
-    ).orderBy(F.col("abs_correlation").desc(), "feature")
+    return _with_p(spark, d).select(
+        "feature", *[_r6(F.col(c)).alias(c) for c in ("correlation", "abs_correlation", "p_value")], "feature_type", "significance"
+    )
+
+
+# --------------------------------------------------------------------------- TOP-01/02/03
+SQL_TOP_DIFFERENCE = with_ctes(SQL_MESSAGES, SQL_FA, SQL_CM, SQL_CM_OUT) + """
+SELECT feature, round(difference, 6) AS difference, round(ratio, 6) AS ratio FROM cmo ORDER BY abs(difference) DESC, feature LIMIT 15
+"""
+
+
+@query("top_by_difference", SQL_TOP_DIFFERENCE)
+def top_by_difference(spark, d):
+    r = _class_means(spark, d).orderBy(F.abs("difference").desc(), "feature").limit(15)
+    return r.select("feature", _r6(F.col("difference")).alias("difference"), _r6(F.col("ratio")).alias("ratio"))
+
+
+TOP_LISTS = {"overall": ("abs_correlation", 10), "positive": ("correlation", 10), "negative": ("-correlation", 10), "report": ("abs_correlation", 5), "chart": ("abs_correlation", 20)}
+
+
+def _sql_top_list(name: str) -> str:
+    by, n = TOP_LISTS[name]
+    only = {"positive": "WHERE correlation > 0", "negative": "WHERE correlation < 0"}.get(name, "")
+    return f"SELECT '{name}' AS list, feature, correlation, row_number() OVER (ORDER BY {by} DESC, feature) AS rank FROM corr_t {only} QUALIFY rank <= {n}"
+
+
+SQL_TOP_CORRELATIONS = (
+    with_ctes(SQL_MESSAGES, SQL_FA, SQL_CORR, SQL_CORR_OUT)
+    + "SELECT list, CAST(rank AS INTEGER) AS rank, feature, round(correlation, 6) AS correlation FROM ("
+    + " UNION ALL ".join(_sql_top_list(n) for n in TOP_LISTS)
+    + ")"
+)
+
+
+@query("top_correlations", SQL_TOP_CORRELATIONS)
+def top_correlations(spark, d):
+    """The leading features of each list; the table has a row for each feature."""
+    c = _correlations(spark, d)
+    order = {n: F.expr(by) for n, (by, _) in TOP_LISTS.items()}
+    keep = {"positive": F.col("correlation") > 0, "negative": F.col("correlation") < 0}
+    entry = [F.when(keep.get(n, F.lit(True)), F.struct(F.lit(n).alias("list"), order[n].alias("by"), F.lit(k).alias("top"))) for n, (_, k) in TOP_LISTS.items()]
+    each = c.select("feature", "correlation", F.explode(F.array_compact(F.array(*entry))).alias("e"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("e.list").orderBy(F.col("e.by").desc(), "feature")))
+    return ranked.where(F.col("rank") <= F.col("e.top")).select("e.list", F.col("rank").cast("int"), "feature", _r6(F.col("correlation")).alias("correlation"))
 
 
 # --------------------------------------------------------------------------- AGG-15/16
-SQL_FEATURE_TYPE_STATS = with_ctes(SQL_MESSAGES, SQL_FA, SQL_CORR, SQL_CORR_OUT) + """
+SQL_FEATURE_TYPE_STATS = with_ctes(*CORR_CTES) + """
 SELECT feature_type, CAST(count(*) AS BIGINT) AS n_features, round(avg(abs_correlation), 4) AS mean_abs_correlation,
-       round(max(abs_correlation), 4) AS max_abs_correlation
-FROM corr_t GROUP BY feature_type
+       round(max(abs_correlation), 4) AS max_abs_correlation, CAST(count(*) FILTER (p_value < 0.05) AS BIGINT) AS n_significant,
+       round(count(*) FILTER (p_value < 0.05) / count(*), 6) AS significant_share
+FROM corr_p GROUP BY feature_type
 """
 
 
 @query("feature_type_stats", SQL_FEATURE_TYPE_STATS)
 def feature_type_stats(spark, d):
-    return _correlations(spark, d).groupBy("feature_type").agg(
-        F.count(F.lit(1)).cast("long").alias("n_features"),
+    n, hit = F.count(F.lit(1)), F.sum(F.when(F.col("p_value") < 0.05, 1).otherwise(0))
+    return _with_p(spark, d).groupBy("feature_type").agg(
+        n.cast("long").alias("n_features"),
         F.round(F.avg("abs_correlation"), 4).alias("mean_abs_correlation"),
         F.round(F.max("abs_correlation"), 4).alias("max_abs_correlation"),
+        hit.cast("long").alias("n_significant"), _r6(hit / n).alias("significant_share"),
     )
 
 
-SQL_PATTERN_SUMMARY = with_ctes(SQL_MESSAGES, SQL_FA, SQL_CORR, SQL_CORR_OUT) + """
+SQL_PATTERN_SUMMARY = with_ctes(*CORR_CTES) + """
 SELECT CAST(count(*) AS BIGINT) AS total_features,
-       CAST(sum(CASE WHEN abs_correlation > 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS strong_predictors,
-       round(sum(CASE WHEN abs_correlation > 0.1 THEN 1 ELSE 0 END) / count(*), 6) AS strong_predictor_rate,
-       arg_max(feature, struct_pack(a := abs_correlation, f := -ascii(feature))) AS top_feature,
+       CAST(count(*) FILTER (p_value < 0.05) AS BIGINT) AS significant_features,
+       round(count(*) FILTER (p_value < 0.05) / count(*), 6) AS significant_rate,
+       CAST(count(*) FILTER (abs_correlation > 0.1) AS BIGINT) AS strong_predictors,
+       round(count(*) FILTER (abs_correlation > 0.1) / count(*), 6) AS strong_predictor_rate,
+       (SELECT feature FROM corr_p ORDER BY abs_correlation DESC, feature LIMIT 1) AS top_feature,
        round(max(abs_correlation), 6) AS top_abs_correlation,
        round(avg(correlation), 6) AS mean_correlation, round(stddev_samp(correlation), 6) AS std_correlation
-FROM corr_t
+FROM corr_p
 """
 
 
 @query("pattern_summary", SQL_PATTERN_SUMMARY)
 def pattern_summary(spark, d):
-    c = _correlations(spark, d)
+    c = _with_p(spark, d)
+    n = F.count(F.lit(1))
+    sig = F.sum(F.when(F.col("p_value") < 0.05, 1).otherwise(0))
+    strong = F.sum(F.when(F.col("abs_correlation") > 0.1, 1).otherwise(0))
     return c.agg(
-        F.count(F.lit(1)).cast("long").alias("total_features"),
-        F.sum(F.when(F.col("abs_correlation") > 0.1, 1).otherwise(0)).cast("long").alias("strong_predictors"),
-        F.round(F.sum(F.when(F.col("abs_correlation") > 0.1, 1).otherwise(0)) / F.count(F.lit(1)), 6).alias(
-            "strong_predictor_rate"
-        ),
-        F.max_by("feature", F.struct(F.col("abs_correlation"), -F.ascii("feature"))).alias("top_feature"),
-        F.round(F.max("abs_correlation"), 6).alias("top_abs_correlation"),
-        F.round(F.avg("correlation"), 6).alias("mean_correlation"),
-        F.round(F.stddev_samp("correlation"), 6).alias("std_correlation"),
+        n.cast("long").alias("total_features"),
+        sig.cast("long").alias("significant_features"), _r6(sig / n).alias("significant_rate"),
+        strong.cast("long").alias("strong_predictors"), _r6(strong / n).alias("strong_predictor_rate"),
+        F.min_by("feature", F.struct(-F.col("abs_correlation"), F.col("feature"))).alias("top_feature"),
+        _r6(F.max("abs_correlation")).alias("top_abs_correlation"),
+        _r6(F.avg("correlation")).alias("mean_correlation"),
+        _r6(F.stddev_samp("correlation")).alias("std_correlation"),
     )
