@@ -49,7 +49,7 @@ REGISTERS = BANDS * ROWS
 #: An estimate under this is more than 3.5 standard errors below SIMILAR.
 CUT = SIMILAR - 3.5 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
 BLOCK_BYTES = 4 << 20
-SLICE = 1 << 20
+SLICE = 1 << 19
 SLICE_ROWS = 2_000
 
 # ----------------------------------------------------------------- signatures
@@ -281,7 +281,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     reps = same.where("doc_id = rep").select("doc_id").distinct()
     keys = stored(bands(docs).join(reps, "doc_id", "left_semi"), "bands")
     pairs = stored(led_pairs(keys), "pairs")
-    texts = stored(docs.where(F.col("text").isNotNull()).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    # the ids grow with the corpus: the same join at every size
+    asked = pairs.select("doc_id").distinct().hint("merge")
+    texts = stored(docs.where(F.col("text").isNotNull()).join(asked, "doc_id", "left_semi"), "texts")
     split = same.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("u", "v")
     roots = components(verified(pairs, texts, similar).unionByName(split))
     return same.join(roots, same["rep"] == roots["u"], "left").select("doc_id", F.coalesce("v", "rep").alias("class_id"))
