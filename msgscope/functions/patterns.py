@@ -113,6 +113,7 @@ SOURCE_ARTIFACTS = [
 SEQ_KEEP = rf"[^{WORD}{SPACE}.,!?<>-]"
 SEQ_TOKEN = rf"[{WORD}]+|<[{WORD}]+>|[.,!?]"
 TFIDF_TOKEN = rf"[{WORD}]+|<[{WORD}]+>"
+DEFAULT_TFIDF_TOKEN = rf"[{WORD}]{{2,}}"
 SEQ_RESERVED = [("<PAD>", 0), ("<UNK>", 1), ("<SOS>", 2), ("<EOS>", 3)]
 
 # --------------------------------------------------------------------------

@@ -119,13 +119,3 @@ def standard_scale_long(train: DataFrame, apply_to: DataFrame, id_col: str, feat
     long = apply_to.select(id_col, F.expr(f"stack({len(features)}, {vals}) AS (feature, x)"))
     z = F.when(F.col("std") > 0, (F.col("x") - F.col("mean")) / F.col("std")).otherwise(F.lit(0.0))
     return long.join(F.broadcast(stats_long), "feature").select(id_col, "feature", z.alias("z"))
-
-
-def one_hot_fixed(df: DataFrame, col: str, categories: list[str], out: str = "onehot") -> DataFrame:
-    """F-61: one-hot over a fixed, ordered category list; unknown -> zeros.
-    Adds ``<col>_index`` (0-based, -1 unknown) and a comma-joined code."""
-    cats = F.array(*[F.lit(c) for c in categories])
-    staged = df.withColumn(f"{col}_index", F.array_position(cats, F.col(col)).cast("int") - 1)
-    pos = F.col(f"{col}_index") + 1  # a column, so the lambda below does not re-search the list
-    code = F.transform(F.sequence(F.lit(1), F.lit(len(categories))), lambda i: F.when(i == pos, 1).otherwise(0))
-    return staged.withColumn(out, F.array_join(code, ","))

@@ -8,6 +8,7 @@ from msgscope.functions import patterns as P
 from msgscope.functions import text as T
 from msgscope.functions.features import family_a
 from msgscope.operators import vectorize as V
+from msgscope.operators.assemble import _numbered, one_hot_sources
 from msgscope.operators.cleaning import clean_messages
 from msgscope.operators.ranking import exact_quantiles
 from msgscope.operators.sampling import stratified_split
@@ -198,6 +199,5 @@ FROM split, cats
 @query("source_onehot", SQL_ONEHOT)
 def source_onehot(spark, d):
     sp = stratified_split(cleaned(spark, d).select("msg_id", "label", "source")).select("msg_id", "source", "split")
-    cats = [r["source"] for r in sp.where("split = 'train'").select("source").distinct().orderBy("source").collect()]
-    out = V.one_hot_fixed(sp, "source", cats)
-    return out.select("msg_id", F.coalesce(F.col("source_index"), F.lit(-1)).cast("int").alias("source_index"), "onehot")
+    sources = _numbered(sp.where("split = 'train' AND source IS NOT NULL").select("source").distinct(), "source")
+    return one_hot_sources(sp.select("msg_id", "source"), sources).select("msg_id", "source_index", "onehot")

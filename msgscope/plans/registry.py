@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so that they register themselves."""
     from msgscope.plans import (  # noqa: F401
+        q_assembled,
         q_eval,
         q_ml,
         q_sampling,
