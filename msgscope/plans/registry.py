@@ -28,6 +28,7 @@ def load_all() -> None:
     """Import every query module so that they register themselves."""
     from msgscope.plans import (  # noqa: F401
         q_assembled,
+        q_datasets,
         q_eval,
         q_ml,
         q_sampling,
