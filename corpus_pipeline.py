@@ -44,8 +44,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and the SHA-256 of
     the bytes that they decode to."""
     name, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    back = bpe.detokenize(bpe.tokenize(docs, name, pattern), name, pattern)
-    return back.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, name, pattern).select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -57,51 +57,61 @@ def encode(enc, text: str, size: int = LONG_TEXT) -> np.ndarray:
     return np.concatenate([enc.encode_to_numpy(x, disallowed_special=()) for x in safe_parts(text, size)])
 
 
-def tokenize(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids binary: little-endian unsigned 32-bit) for each row."""
-    sc = docs.sparkSession.sparkContext
+def _map(docs: DataFrame, rank_file: str, pattern: str, schema: pa.Schema, sql: str, each):
+    """``each`` (encoding, small batch) -> batch, over all rows."""
     with open(rank_file, "rb") as f:
-        ranks = sc.broadcast(f.read())
-    schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
         enc = encoding(rank_file, pattern, ranks.value)
         for b in batches:
             for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                ids = [encode(enc, t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
-                    schema=schema,
-                )
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n_tokens long, ids binary"
-    )
+                yield pa.RecordBatch.from_arrays(each(enc, b.slice(a, 256)), schema=schema)
+
+    return docs.mapInArrow(run, sql)
+
+
+TOKENS = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+BACK = TOKENS.append(pa.field("bytes", pa.binary()))
+
+
+def _encoded(enc, b: pa.RecordBatch) -> list:
+    ids = [encode(enc, t or "") for t in b.column(1).to_pylist()]
+    return [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+
+
+def _decoded(enc, ids: pa.Array) -> pa.Array:
+    return pa.array([enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in ids.to_pylist()], pa.binary())
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def tokenize(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids binary: little-endian unsigned 32-bit) for each row."""
+    return _map(_texts(docs, id_col, text_col), rank_file, pattern, TOKENS, "id long, n_tokens long, ids binary", _encoded)
 
 
 def detokenize(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """(id, n_tokens, ids, bytes): the raw bytes of the ids."""
-    sc = tokens.sparkSession.sparkContext
-    with open(rank_file, "rb") as f:
-        ranks = sc.broadcast(f.read())
-    schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("bytes", pa.binary())])
+    each = lambda enc, b: [*b.columns, _decoded(enc, b.column(2))]
+    return _map(tokens.select("id", "n_tokens", "ids"), rank_file, pattern, BACK, "id long, n_tokens long, ids binary, bytes binary", each)
 
-    def run(batches):
-        enc = encoding(rank_file, pattern, ranks.value)
-        for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                out = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.binary())], schema=schema)
 
-    return tokens.select("id", "n_tokens", "ids").mapInArrow(run, "id long, n_tokens long, ids binary, bytes binary")
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``detokenize`` of ``tokenize``, by one worker a task."""
+
+    def each(enc, b):
+        out = _encoded(enc, b)
+        return [*out, _decoded(enc, out[2])]
+
+    return _map(_texts(docs, id_col, text_col), rank_file, pattern, BACK, "id long, n_tokens long, ids binary, bytes binary", each)
 
 
 def round_trip_digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the decoded bytes."""
-    back = detokenize(tokenize(docs, rank_file, pattern), rank_file, pattern)
-    return back.select(
+    return round_trip(docs, rank_file, pattern).select(
         F.col("id").alias("doc_id"),
         "n_tokens",
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),

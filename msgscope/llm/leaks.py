@@ -42,7 +42,7 @@ EDITS = 0.2
 REPEATS = 8
 SAMPLES = 4
 ITEM_BLOCK_BYTES = 4 << 20
-SLICE = 1 << 20
+SLICE = 1 << 19
 TABLE_BITS = 16
 
 #: ASCII punctuation is dropped; letters are lower case already.

@@ -28,6 +28,13 @@ def test_round_trip(spark):
     assert bpe.round_trip_digest(corpus.frame(spark, [], parts=1), FILE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_two_steps_equal_one(spark):
+    docs = corpus.frame(spark, corpus.rows(7))
+    a = bpe.detokenize(bpe.tokenize(docs, FILE, public_tokenizers.PATTERN), FILE, public_tokenizers.PATTERN)
+    b = bpe.round_trip(docs, FILE, public_tokenizers.PATTERN)
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
 def test_cuts_change_nothing():
     with open(FILE, "rb") as f:
         enc = bpe.encoding("test", public_tokenizers.PATTERN, f.read())
