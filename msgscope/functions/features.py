@@ -49,16 +49,51 @@ def _max_repetition(ws: Column) -> Column:
     return F.aggregate(F.array_sort(ws), init, step, lambda acc: acc["best"])
 
 
-def family_a(text_col) -> list[tuple[str, Column]]:
+#: A word is a run of characters other than white space; these count words in one
+#: pass over the text instead of building and walking an array of them.
+WORD_RUN = f"[^{P.SPACE}]+"
+_BEFORE, _AFTER = f"(?<![^{P.SPACE}])", f"(?![^{P.SPACE}])"
+LONG_WORD = f"{_BEFORE}[^{P.SPACE}]{{7,}}"
+SHORT_WORD = f"{_BEFORE}[^{P.SPACE}]{{1,3}}{_AFTER}"
+CAPS_WORD = rf"{_BEFORE}(?=[^{P.SPACE}]*\p{{Lu}})[^{P.SPACE}\p{{Ll}}\p{{Lt}}]{{3,}}{_AFTER}"
+NO_VOWEL_WORD = f"{_BEFORE}[^{P.SPACE}{P.VOWELS}]+{_AFTER}"
+
+
+def _count(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern)).cast("int")
+
+
+def staged(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` and the steps that several features share, each in a projection
+    of its own, so that it is evaluated once a row: ``t`` (never null), ``low``,
+    ``lw`` (lower-case words), ``n_words``, ``parts`` (sentences that aren't
+    blank), ``part_words`` (words of each)."""
+    t = df.select(*keep, F.coalesce(_c(text_col).cast("string"), F.lit("")).alias("t"))
+    low = t.select("*", F.lower("t").alias("low"), _count(F.col("t"), WORD_RUN).alias("n_words"))
+    parts = low.select(
+        "*", words(F.col("low")).alias("lw"),
+        F.filter(F.split("t", P.SENTENCE_SPLIT, -1), lambda s: s.rlike(f"[^{P.SPACE}]")).alias("parts"),
+    )
+    return parts.select("*", F.transform("parts", lambda s: _count(s, WORD_RUN)).alias("part_words"))
+
+
+def features_of(df: DataFrame, family, names: list[str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` and the named features of a family, over shared steps."""
+    cols = dict(family(F.col("t"), shared=True))
+    own = list(keep or ["msg_id"])
+    return staged(df, text_col, own).select(*own, *[cols[n].alias(n) for n in names])
+
+
+def family_a(text_col, shared: bool = False) -> list[tuple[str, Column]]:
+    """32 features of a text; ``shared`` reads the columns of ``staged``."""
     t = F.coalesce(_c(text_col).cast("string"), F.lit(""))
-    low = F.lower(t)
-    ws = words(t)
-    wc = F.size(ws)
+    low = F.col("low") if shared else F.lower(t)
+    wc = F.col("n_words") if shared else _count(t, WORD_RUN)
     n = F.length(t)
     L = F.greatest(F.lit(1), n)
     sent = F.greatest(F.lit(1), F.size(F.split(strip_ws(t), P.SENTENCE_SPLIT, -1)))
     letters = F.length(F.regexp_replace(t, f"[{P.SPACE}]+", ""))  # total length of words
-    lw = F.transform(ws, lambda w: F.lower(w))
+    lw = F.col("lw") if shared else words(F.lower(t))
     uniq = F.size(F.array_distinct(lw))
     punct = count_class(t, "[" + "".join("\\" + ch for ch in P.PUNCT_CHARS) + "]")
     return [
@@ -150,24 +185,22 @@ def family_c_word_patterns_java() -> list[tuple[str, str]]:
     return out
 
 
-def family_c(text_col, with_repeated_chars: bool = True) -> list[tuple[str, Column]]:
+def family_c(text_col, with_repeated_chars: bool = True, shared: bool = False) -> list[tuple[str, Column]]:
     """53 clustering features.  Expects the *already artefact-cleaned* text
-    (see :func:`msgscope.functions.text.clean_email_artifacts`)."""
+    (see :func:`msgscope.functions.text.clean_email_artifacts`); ``shared``
+    reads the columns of ``staged``."""
     t = F.coalesce(_c(text_col).cast("string"), F.lit(""))
-    low = F.lower(t)
-    ws = words(t)
-    wc = F.size(ws)
+    low = F.col("low") if shared else F.lower(t)
+    wc = F.col("n_words") if shared else _count(t, WORD_RUN)
     n = F.length(t)
-    parts = F.filter(F.split(t, P.SENTENCE_SPLIT, -1), lambda s: strip_ws(s) != F.lit(""))
+    parts = F.col("parts") if shared else F.filter(F.split(t, P.SENTENCE_SPLIT, -1), lambda s: s.rlike(f"[^{P.SPACE}]"))
     sc = F.size(parts)
-    part_words = F.transform(parts, lambda s: F.size(words(s)))
+    part_words = F.col("part_words") if shared else F.transform(parts, lambda s: _count(s, WORD_RUN))
     letters = F.length(F.regexp_replace(t, f"[{P.SPACE}]+", ""))
-    caps_words = F.size(
-        F.filter(ws, lambda w: w.rlike(r"\p{Lu}") & ~w.rlike(r"[\p{Ll}\p{Lt}]") & (F.length(w) > 2))
-    )
-    syllables = F.aggregate(
-        ws, F.lit(0), lambda acc, w: acc + F.greatest(F.lit(1), count_class(w, f"[{P.VOWELS}]"))
-    )
+    caps_words = _count(t, CAPS_WORD)
+    # each word has one syllable at least: all vowels, and one for words without any
+    syllables = count_class(t, f"[{P.VOWELS}]") + _count(t, NO_VOWEL_WORD)
+    complex_words = _count(t, LONG_WORD)
     awps = F.when(sc > 0, wc / sc).otherwise(F.lit(0.0))
     word_pats = dict(family_c_word_patterns_java())
     rc = lambda s, p: F.regexp_count(s, F.lit(p)).cast("int")
@@ -227,9 +260,9 @@ def family_c(text_col, with_repeated_chars: bool = True) -> list[tuple[str, Colu
         "suspicious_domains": rc(low, P.SUSPICIOUS_DOMAINS),
         "url_shorteners": rc(low, word_pats["url_shorteners"]),
         "suspicious_attachments": rc(low, word_pats["suspicious_attachments"]),
-        "complex_words": F.size(F.filter(ws, lambda w: F.length(w) > 6)).cast("int"),
-        "simple_words": F.size(F.filter(ws, lambda w: F.length(w) <= 3)).cast("int"),
-        "complexity_ratio": _safe_ratio(F.size(F.filter(ws, lambda w: F.length(w) > 6)), wc),
+        "complex_words": complex_words,
+        "simple_words": _count(t, SHORT_WORD),
+        "complexity_ratio": _safe_ratio(complex_words, wc),
         "flesch_approx": F.when(
             wc > 0,
             F.lit(P.FLESCH[0]) - F.lit(P.FLESCH[1]) * awps - F.lit(P.FLESCH[2]) * (syllables / wc),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
-from msgscope.functions.features import family_a
+from msgscope.functions.features import FAMILY_A_NAMES, family_a, features_of
 from msgscope.functions.text import normalize_label
 from msgscope.operators.cleaning import clean_messages, spread
 from msgscope.plans import sqlparts as S
@@ -36,7 +36,7 @@ def cleaned(spark: SparkSession, d: str, with_lang: bool = False) -> DataFrame:
 
 def features_a(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d)
-    return m.select("msg_id", "label", "source", *[c.alias(n) for n, c in family_a(F.col("text"))])
+    return features_of(m, family_a, FAMILY_A_NAMES, keep=["msg_id", "label", "source"])
 
 
 # ------------------------------------------------------------------- SQL side

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
-from msgscope.functions.features import FAMILY_B_NAMES, FAMILY_C_ORDER, family_b, family_c
+from msgscope.functions.features import FAMILY_B_NAMES, FAMILY_C_ORDER, family_b, family_c, features_of
 from msgscope.functions.text import clean_email_artifacts
 from msgscope.operators import clustering as CL
 from msgscope.operators import metrics as MT
@@ -24,11 +24,12 @@ W2V_PARTITIONS = 8  # tasks of an embedding fit; raise it with the corpus
 
 def _split_features(spark, d, family: str):
     c = cleaned(spark, d)
+    keep = ["msg_id", "label", "source"]
     if family == "c":
-        cols = family_c(clean_email_artifacts(F.col("cleaned_text")))
+        f = features_of(c.select(*keep, clean_email_artifacts(F.col("cleaned_text")).alias("e")), family_c, FAMILY_C_ORDER, "e", keep)
     else:
-        cols = family_b(F.col("cleaned_text"))
-    return materialize(stratified_split(c.select("msg_id", "label", "source", *[x.alias(n) for n, x in cols])))
+        f = c.select(*keep, *[x.alias(n) for n, x in family_b(F.col("cleaned_text"))])
+    return materialize(stratified_split(f))
 
 
 def _long(spark, pairs):

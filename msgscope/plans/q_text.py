@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
 from msgscope.functions import text as T
-from msgscope.functions.features import FAMILY_A_NAMES, family_a, family_b, family_c
+from msgscope.functions.features import FAMILY_A_NAMES, FAMILY_C_ORDER, family_a, family_b, family_c, features_of
 from msgscope.operators.cleaning import clean_messages
 from msgscope.operators.stats import spam_rate_by_source
 from msgscope.plans import sqlfeatures as SF
@@ -223,8 +223,7 @@ def _family_a_query(group: str):
     )
 
     def build(spark, d):
-        cols = dict(family_a(F.col("text")))
-        return documents(spark, d).select("msg_id", *[cols[n].alias(n) for n in names])
+        return features_of(documents(spark, d), family_a, names)
 
     build.__name__ = group
     query(group, sql)(build)
@@ -252,8 +251,8 @@ def features_tokens(spark, d):
 # --------------------------------------------------------------------------- F-30..50
 SQL_FEATURES_CLUSTER = (
     "SELECT msg_id, "
-    + ", ".join(f"{e} AS {n}" for n, e in SF.family_c("t", "low", "mlow"))
-    + f" FROM (SELECT msg_id, t, lower(t) AS low, {S.marked('lower(t)')} AS mlow"
+    + ", ".join(f"{e} AS {n}" for n, e in SF.family_c("t", "low", "mlow", "c"))
+    + f" FROM (SELECT msg_id, t, lower(t) AS low, {S.marked('lower(t)')} AS mlow, string_split(t, '') AS c"
     + f" FROM (SELECT doc_id AS msg_id, {S.clean_email_artifacts('text')} AS t FROM documents))"
 )
 
@@ -261,13 +260,11 @@ SQL_FEATURES_CLUSTER = (
 @query("features_cluster", SQL_FEATURES_CLUSTER)
 def features_cluster(spark, d):
     e = documents(spark, d).select("msg_id", T.clean_email_artifacts(F.col("text")).alias("t"))
-    return e.select("msg_id", *[c.alias(n) for n, c in family_c(F.col("t"), with_repeated_chars=False)])
+    return features_of(e, family_c, FAMILY_C_ORDER, "t")
 
 
-# runs of three or more of one character: positions where such a run begins
 SQL_REPEATED_CHARS = f"""
-SELECT msg_id, CAST(coalesce(len(list_filter(range(1, len(c) - 1), lambda i:
-         c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] <> chr(10) AND (i = 1 OR c[i - 1] <> c[i]))), 0) AS INTEGER) AS repeated_chars
+SELECT msg_id, {SF.repeated_chars('c')} AS repeated_chars
 FROM (SELECT msg_id, string_split(t, '') AS c FROM (SELECT doc_id AS msg_id, {S.clean_email_artifacts('text')} AS t FROM documents))
 """
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
 from msgscope.functions import text as T
-from msgscope.functions.features import family_a
+from msgscope.functions.features import family_a, features_of
 from msgscope.operators import vectorize as V
 from msgscope.operators.assemble import _numbered, one_hot_sources
 from msgscope.operators.cleaning import clean_messages
@@ -181,7 +181,7 @@ FROM lg l JOIN st s ON l.feature = s.feature WHERE l.split = 'test'
 @query("scale_standard", SQL_SCALE)
 def scale_standard(spark, d):
     sp = stratified_split(cleaned(spark, d).select("msg_id", "label", "source")).select("msg_id", "split")
-    fa = messages(spark, d).select("msg_id", *[c.alias(n) for n, c in family_a(F.col("text"))])
+    fa = features_of(messages(spark, d), family_a, ALL_A)
     both = fa.join(sp, "msg_id")
     z = V.standard_scale_long(both.where("split = 'train'"), both.where("split = 'test'"), "msg_id", ALL_A)
     return z.select("msg_id", "feature", _r6(F.col("z")).alias("z"))

@@ -110,9 +110,18 @@ def family_c_word_patterns_marked() -> dict[str, str]:
     return out
 
 
-def family_c(t: str, low: str, marked_low: str) -> list[tuple[str, str]]:
+def repeated_chars(c: str) -> str:
+    """Runs of three or more of one character (no line break) in the list of
+    characters ``c``: the places where such a run begins."""
+    return (
+        f"CAST(coalesce(len(list_filter(range(1, len({c}) - 1), lambda i: {c}[i] = {c}[i + 1] AND {c}[i] = {c}[i + 2] "
+        f"AND {c}[i] <> chr(10) AND (i = 1 OR {c}[i - 1] <> {c}[i]))), 0) AS INTEGER)"
+    )
+
+
+def family_c(t: str, low: str, marked_low: str, chars: str) -> list[tuple[str, str]]:
     """``t`` artefact-cleaned text, ``low`` = lower(t), ``marked_low`` = the
-    word-marked lower text; all three plain column references."""
+    word-marked lower text, ``chars`` its characters; all plain column references."""
     ws = S.words(t)
     wc = f"len({ws})"
     n = f"length({t})"
@@ -148,6 +157,7 @@ def family_c(t: str, low: str, marked_low: str) -> list[tuple[str, str]]:
         "caps_ratio": _safe_ratio(caps, wc),
         "non_alphabetic_ratio": _safe_ratio(S.count_class(t, f"[^\\p{{L}}{P.SPACE}]"), n),
         "special_char_density": _safe_ratio(S.count_class(t, _esc_class(P.SPECIAL_DENSITY_CHARS)), n),
+        "repeated_chars": repeated_chars(chars),
         "line_breaks": S.count_literal(t, "\n"),
         "excessive_spaces": S.regexp_count(t, P.EXCESSIVE_SPACES),
         "grammar_errors": mc("grammar_errors"),
