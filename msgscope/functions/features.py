@@ -14,11 +14,11 @@ projection so the whole family stays in one codegen stage.  Counting uses
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
-from msgscope.functions.text import _c, count_class, count_literal, strip_ws, words
+from msgscope.functions.text import _c, count_class, count_literal, words
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -49,32 +49,44 @@ def _max_repetition(ws: Column) -> Column:
     return F.aggregate(F.array_sort(ws), init, step, lambda acc: acc["best"])
 
 
-#: A word is a run of characters other than white space; these count words in one
-#: pass over the text instead of building and walking an array of them.
-WORD_RUN = f"[^{P.SPACE}]+"
-_BEFORE, _AFTER = f"(?<![^{P.SPACE}])", f"(?![^{P.SPACE}])"
-LONG_WORD = f"{_BEFORE}[^{P.SPACE}]{{7,}}"
-SHORT_WORD = f"{_BEFORE}[^{P.SPACE}]{{1,3}}{_AFTER}"
-CAPS_WORD = rf"{_BEFORE}(?=[^{P.SPACE}]*\p{{Lu}})[^{P.SPACE}\p{{Ll}}\p{{Lt}}]{{3,}}{_AFTER}"
-NO_VOWEL_WORD = f"{_BEFORE}[^{P.SPACE}{P.VOWELS}]+{_AFTER}"
+#: Patterns over words one space apart (``flat``), with a space at both ends where
+#: they begin with one: the slow class of all white space is matched once a text.
+LONG_WORD = "[^ ]{7,}"
+NOT_SHORT_WORD = "[^ ]{4,}"
+CAPS_WORD = r" (?=[^ ]*\p{Lu})[^ \p{Ll}\p{Lt}]{3,}(?= )"
+NO_VOWEL_WORD = f" [^ {P.VOWELS}]+(?= )"
 
 
 def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("int")
 
 
+def _flat(t: Column) -> Column:
+    """Words one space apart, no white space at the ends."""
+    return F.btrim(F.regexp_replace(t, f"[{P.SPACE}]+", " "))
+
+
+def _n_words(flat: Column) -> Column:
+    return F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
+def _sentences(flat: Column) -> Column:
+    return F.filter(F.split(flat, P.SENTENCE_SPLIT, -1), lambda s: F.btrim(s) != "")
+
+
+def _sentence_words(parts: Column) -> Column:
+    return F.transform(parts, lambda s: _n_words(F.btrim(s)))
+
+
 def staged(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` and the steps that several features share, each in a projection
     of its own, so that it is evaluated once a row: ``t`` (never null), ``low``,
-    ``lw`` (lower-case words), ``n_words``, ``parts`` (sentences that aren't
-    blank), ``part_words`` (words of each)."""
+    ``flat``, ``n_words``, ``lw`` (lower-case words), ``parts`` (sentences that
+    aren't blank), ``part_words`` (words of each)."""
     t = df.select(*keep, F.coalesce(_c(text_col).cast("string"), F.lit("")).alias("t"))
-    low = t.select("*", F.lower("t").alias("low"), _count(F.col("t"), WORD_RUN).alias("n_words"))
-    parts = low.select(
-        "*", words(F.col("low")).alias("lw"),
-        F.filter(F.split("t", P.SENTENCE_SPLIT, -1), lambda s: s.rlike(f"[^{P.SPACE}]")).alias("parts"),
-    )
-    return parts.select("*", F.transform("parts", lambda s: _count(s, WORD_RUN)).alias("part_words"))
+    flat = t.select("*", F.lower("t").alias("low"), _flat(F.col("t")).alias("flat"))
+    parts = flat.select("*", _n_words(F.col("flat")).alias("n_words"), _sentences(F.col("flat")).alias("parts"), F.split(F.lower("flat"), " ", -1).alias("lw"))
+    return parts.select("*", _sentence_words(F.col("parts")).alias("part_words"))
 
 
 def features_of(df: DataFrame, family, names: list[str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -88,13 +100,14 @@ def family_a(text_col, shared: bool = False) -> list[tuple[str, Column]]:
     """32 features of a text; ``shared`` reads the columns of ``staged``."""
     t = F.coalesce(_c(text_col).cast("string"), F.lit(""))
     low = F.col("low") if shared else F.lower(t)
-    wc = F.col("n_words") if shared else _count(t, WORD_RUN)
+    flat = F.col("flat") if shared else _flat(t)
+    wc = F.col("n_words") if shared else _n_words(flat)
     n = F.length(t)
     L = F.greatest(F.lit(1), n)
-    sent = F.greatest(F.lit(1), F.size(F.split(strip_ws(t), P.SENTENCE_SPLIT, -1)))
-    letters = F.length(F.regexp_replace(t, f"[{P.SPACE}]+", ""))  # total length of words
-    lw = F.col("lw") if shared else words(F.lower(t))
-    uniq = F.size(F.array_distinct(lw))
+    sent = F.greatest(F.lit(1), F.size(F.split(flat, P.SENTENCE_SPLIT, -1)))
+    letters = F.length(F.replace(flat, F.lit(" "), F.lit("")))  # total length of words
+    lw = F.col("lw") if shared else F.split(F.lower(flat), " ", -1)
+    uniq = F.when(wc > 0, F.size(F.array_distinct(lw))).otherwise(0)
     punct = count_class(t, "[" + "".join("\\" + ch for ch in P.PUNCT_CHARS) + "]")
     return [
         ("char_count", n.cast("int")),
@@ -191,16 +204,19 @@ def family_c(text_col, with_repeated_chars: bool = True, shared: bool = False) -
     reads the columns of ``staged``."""
     t = F.coalesce(_c(text_col).cast("string"), F.lit(""))
     low = F.col("low") if shared else F.lower(t)
-    wc = F.col("n_words") if shared else _count(t, WORD_RUN)
+    flat = F.col("flat") if shared else _flat(t)
+    wc = F.col("n_words") if shared else _n_words(flat)
     n = F.length(t)
-    parts = F.col("parts") if shared else F.filter(F.split(t, P.SENTENCE_SPLIT, -1), lambda s: s.rlike(f"[^{P.SPACE}]"))
+    parts = F.col("parts") if shared else _sentences(flat)
     sc = F.size(parts)
-    part_words = F.col("part_words") if shared else F.transform(parts, lambda s: _count(s, WORD_RUN))
-    letters = F.length(F.regexp_replace(t, f"[{P.SPACE}]+", ""))
-    caps_words = _count(t, CAPS_WORD)
+    part_words = F.col("part_words") if shared else _sentence_words(parts)
+    letters = F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    padded = F.concat(F.lit(" "), flat, F.lit(" "))
+    caps_words = _count(padded, CAPS_WORD)
     # each word has one syllable at least: all vowels, and one for words without any
-    syllables = count_class(t, f"[{P.VOWELS}]") + _count(t, NO_VOWEL_WORD)
-    complex_words = _count(t, LONG_WORD)
+    no_vowel = F.when(wc > 0, _count(padded, NO_VOWEL_WORD)).otherwise(0)
+    syllables = count_class(t, f"[{P.VOWELS}]") + no_vowel
+    complex_words = _count(flat, LONG_WORD)
     awps = F.when(sc > 0, wc / sc).otherwise(F.lit(0.0))
     word_pats = dict(family_c_word_patterns_java())
     rc = lambda s, p: F.regexp_count(s, F.lit(p)).cast("int")
@@ -261,7 +277,7 @@ def family_c(text_col, with_repeated_chars: bool = True, shared: bool = False) -
         "url_shorteners": rc(low, word_pats["url_shorteners"]),
         "suspicious_attachments": rc(low, word_pats["suspicious_attachments"]),
         "complex_words": complex_words,
-        "simple_words": _count(t, SHORT_WORD),
+        "simple_words": (wc - _count(flat, NOT_SHORT_WORD)).cast("int"),
         "complexity_ratio": _safe_ratio(complex_words, wc),
         "flesch_approx": F.when(
             wc > 0,
