@@ -136,9 +136,10 @@ def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, rep: the least doc_id with the same text) of every row; a row
     without words is its own rep."""
     empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    own = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), empty.alias("empty"))
+    own = stored(docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), empty.alias("empty")), "hashes")
     full = own.where("NOT empty")
-    least = full.groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
+    # a table of its own, so that Spark can split the join's hot keys
+    least = stored(full.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "firsts")
     folded = full.join(least, ["a", "b"]).select("doc_id", "rep")
     return stored(folded.unionByName(own.where("empty").select("doc_id", F.col("doc_id").alias("rep"))), "copies")
 
