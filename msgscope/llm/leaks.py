@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgscope.llm import textbuf as tb
-from msgscope.llm.spill import stored
 
 EDITS = 0.2
 REPEATS = 8
@@ -247,18 +246,31 @@ def best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(cost[j]), int(origin[j])
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, item_words, edits, start (word of the document) for each
-    item that a document holds."""
-    spark = docs.sparkSession
+def _blocks(docs: DataFrame, items: DataFrame):
+    """The items, block by block, as broadcast (ids, Items); each block is about
+    ITEM_BLOCK_BYTES of text."""
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).where(F.length("text") > 0)
     size = asked.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-int(size) // ITEM_BLOCK_BYTES))
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        yield docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], Items([r["text"] for r in rows])))
+
+
+def _matched(b: pa.RecordBatch, items: Items, lower: str):
+    """(first row, end row, {(row, item): (edits, first word)}) by slice."""
+    for a, z, raw, off in tb.slices(b, lower, SLICE):
+        h, by_row = plain_words(raw, off)
+        yield a, z, items.matches(h, by_row) if len(h) else {}
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, item_words, edits, start (word of the document) for each
+    item that a document holds."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     out = None
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about ITEM_BLOCK_BYTES
-        found = _search(own, spark.sparkContext.broadcast(([r["item_id"] for r in rows], Items([r["text"] for r in rows]))))
+    for shared in _blocks(docs, items):
+        found = _search(own, shared)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -269,12 +281,9 @@ def _search(docs: DataFrame, shared) -> DataFrame:
     def run(batches):
         ids, items = shared.value
         for b in batches:
-            for a, z, raw, off in tb.slices(b, "text", SLICE):
-                h, by_row = plain_words(raw, off)
-                if not len(h):
-                    continue
-                got = sorted(items.matches(h, by_row).items())
-                if got:
+            for a, z, best in _matched(b, items, "text"):
+                if best:
+                    got = sorted(best.items())
                     yield pa.RecordBatch.from_arrays(
                         [
                             b.column(0).slice(a, z - a).take(pa.array([r for (r, _), _ in got])), pa.array([ids[i] for (_, i), _ in got], pa.int64()),
@@ -287,10 +296,25 @@ def _search(docs: DataFrame, shared) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, unchanged, that hold no item.  Rows that share a
-    doc_id go together."""
-    null = F.lit(-(1 << 63))
-    gone = stored(leaks(docs, items).select(F.coalesce("doc_id", null).alias("gone_id")).distinct(), "leaks")
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    kept = docs.select(F.coalesce(docs["doc_id"].cast("long"), null).alias("key"), row).join(gone, F.col("key") == F.col("gone_id"), "left_anti")
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """The rows of ``docs``, unchanged, that hold no item: filtered where they
+    lie, one block of items after the other."""
+    lower, n = "__lower__", len(docs.columns)
+    while lower in docs.columns:
+        lower += "_"
+    out = docs
+    for shared in _blocks(docs, items):
+        out = _without(out, shared, lower, n)
+    return out
+
+
+def _without(docs: DataFrame, shared, lower: str, n: int) -> DataFrame:
+    def run(batches):
+        _, items = shared.value
+        for b in batches:
+            kept = b.select(list(range(n)))
+            for a, z, best in _matched(b, items, lower):
+                clean = np.ones(z - a, dtype=bool)
+                clean[[row for row, _ in best]] = False
+                yield kept.slice(a, z - a).filter(pa.array(clean))
+
+    return docs.withColumn(lower, F.lower(docs["text"].cast("string"))).mapInArrow(run, docs.schema)

@@ -111,6 +111,7 @@ def test_items_in_blocks_and_rows_kept(spark, monkeypatch):
     assert kept.schema.simpleString() == d.schema.simpleString()
     ids = [r["doc_id"] for r in kept.collect()]
     assert set(ids) == {r[0] for r in docs} - {r[0] for r in parts} and {900, 901, 902} <= set(ids)
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
 
 
 def test_empty_tables(spark):
