@@ -170,3 +170,24 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
             for i in range(len(probs))
         ],
     )
+
+
+def rank_newest(df: DataFrame, keys: list[str], time_col: str, id_col: str, rank_col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``df`` with each row's place among the rows of its keys, newest first
+    (ties: larger id).  Keys are cut by time ranges, so one key's rows lie in as
+    many tasks as there are ranges; places before a range come from its counts."""
+    rows = materialize(df)
+    buckets = max(1, math.ceil(rows.count() / rows_per_bucket))
+    at = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
+    probs = [i / buckets for i in range(1, buckets)]
+    qs = (rows.agg(F.percentile_approx(at, probs, 10 * max(1000, buckets)).alias("q")).first()["q"] or []) if probs else []
+    splits = [-math.inf, *sorted({0.0, *(float(x) for x in qs)}), math.inf]
+    plain = _plain_keys(keys)
+    cut = Bucketizer(splits=splits, inputCol="__at", outputCol="__b", handleInvalid="keep").transform(rows.withColumn("__at", at).withColumns(plain))
+    own = [*plain, "__b"]
+    counts = cut.groupBy(*own).agg(F.count(F.lit(1)).alias("__c"))
+    later = Window.partitionBy(*plain).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    table = counts.select(*own, F.coalesce(F.sum("__c").over(later), F.lit(0)).alias("__offset"))
+    inner = Window.partitionBy(*own).orderBy(F.col(time_col).desc(), F.col(id_col).desc())
+    ranked = cut.withColumn("__row", F.row_number().over(inner)).join(table, own)
+    return ranked.withColumn(rank_col, (F.col("__offset") + F.col("__row")).cast("long")).drop(*own, "__at", "__row", "__offset")

@@ -3,12 +3,12 @@ safety, saved-analysis history, model-id validation, login lockout."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
 from msgscope.functions import service as SV
 from msgscope.functions.text import snippet
+from msgscope.operators.ranking import rank_newest
 from msgscope.operators.scoring import score_with_models, summarize_batch
 from msgscope.plans import sqlparts as S
 from msgscope.plans.q_eval import sql_rule_score
@@ -199,12 +199,10 @@ FROM analyses
 
 @query("history_list", SQL_HISTORY_LIST)
 def history_list(spark, d):
-    a = analyses(spark, d)
-    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return a.select(
-        "id", "user_id", snippet(F.col("message_text")).alias("snippet"), F.size("selected_models").cast("int").alias("n_models"),
-        F.row_number().over(w).cast("long").alias("recency_rank"),
+    rows = analyses(spark, d).select(
+        "id", "user_id", "created_at", snippet(F.col("message_text")).alias("snippet"), F.size("selected_models").cast("int").alias("n_models")
     )
+    return rank_newest(rows, ["user_id"], "created_at", "id", "recency_rank").drop("created_at")
 
 
 # --------------------------------------------------------------------------- PRJ-07, SET-03/04

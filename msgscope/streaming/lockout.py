@@ -12,15 +12,21 @@ One pure transition function drives both forms:
   keyed by identifier; state is two numbers per key, kept in the
   checkpointed state store, and each call only sees the key's rows of one
   micro-batch (bounded by the source's per-trigger limit).
-* ``lockout_batch`` - the same function over a table with
-  ``groupBy(identifier).applyInPandas`` (rows sorted by time inside).
+* ``lockout_batch`` - the same function over a table, cut into chunks of an
+  identifier and a time span, so that no identifier lies in one task.  A chunk
+  is first summed up as a function: the state it ends in for each state it may
+  begin in (0, 1 or 2 failures, or a lock that ends at some time).  The short
+  row of an identifier's summaries is then composed in order, and each chunk is
+  folded from the state it really begins in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -31,37 +37,42 @@ OUT_SCHEMA = "event_id long, identifier long, decision string, attempts int, loc
 STATE_SCHEMA = "attempts int, lockout_until_us long"
 
 
-def fold(pdf: pd.DataFrame, attempts: int = 0, lock_us: int | None = None) -> tuple[pd.DataFrame, int, int | None]:
-    """Apply the transition to one key's events (any order); returns the
-    decisions and the final state."""
-    pdf = pdf.sort_values(["ts_us", "event_id"], kind="mergesort")
+def transitions(ts: np.ndarray, ok: np.ndarray, attempts: int = 0, lock_us: int | None = None):
+    """(decisions, counts, lock ends, 0 for none) of one key's events in order,
+    and the final state."""
     decisions, counts, locks = [], [], []
     span = P.LOCKOUT_SECONDS * 1_000_000
-    for ts, ok in zip(pdf["ts_us"].to_numpy(), pdf["success"].to_numpy()):
-        ts = int(ts)
-        if lock_us is not None and ts < lock_us:
+    for at, success in zip(ts.tolist(), ok.tolist()):
+        if lock_us is not None and at < lock_us:
             decisions.append("locked")
         else:
             if lock_us is not None:  # expired: reset before processing
                 attempts, lock_us = 0, None
-            if ok:
+            if success:
                 attempts, lock_us = 0, None
                 decisions.append("ok")
             else:
                 attempts += 1
                 if attempts >= P.LOCKOUT_ATTEMPTS:
-                    lock_us = ts + span
+                    lock_us = at + span
                 decisions.append("failed")
         counts.append(attempts)
-        locks.append(lock_us)
+        locks.append(lock_us or 0)
+    return decisions, counts, locks, attempts, lock_us
+
+
+def fold(pdf: pd.DataFrame, attempts: int = 0, lock_us: int | None = None) -> tuple[pd.DataFrame, int, int | None]:
+    """Apply the transition to one key's events (any order); returns the
+    decisions and the final state."""
+    pdf = pdf.sort_values(["ts_us", "event_id"], kind="mergesort")
+    decisions, counts, locks, attempts, lock_us = transitions(pdf["ts_us"].to_numpy(np.int64), pdf["success"].to_numpy(bool), attempts, lock_us)
     out = pd.DataFrame(
         {
             "event_id": pdf["event_id"].astype("int64").to_numpy(),
             "identifier": pdf["identifier"].astype("int64").to_numpy(),
             "decision": decisions,
             "attempts": pd.Series(counts, dtype="int32").to_numpy(),
-            # 0 = not locked (no nulls in an integer column)
-            "lockout_until_us": pd.Series([0 if v is None else v for v in locks], dtype="int64").to_numpy(),
+            "lockout_until_us": pd.Series(locks, dtype="int64").to_numpy(),
         }
     )
     return out, attempts, lock_us
@@ -77,13 +88,91 @@ def _prepare(events: DataFrame) -> DataFrame:
     return events.select("event_id", "identifier", ts_us.alias("ts_us"), "success")
 
 
-def _batch_fn(pdf: pd.DataFrame) -> pd.DataFrame:
-    out, _, _ = fold(pdf)
-    return out
-
-
-def lockout_batch(events: DataFrame) -> DataFrame:
-    return _prepare(events).groupBy("identifier").applyInPandas(_batch_fn, OUT_SCHEMA)
+#: Time span of a chunk.  A lock must not outlast it.
+CHUNK_US = 24 * 3_600_000_000
+SPAN_US = P.LOCKOUT_SECONDS * 1_000_000
+SUMMARY = pa.schema([("identifier", pa.int64()), ("chunk", pa.int64()), ("exits", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
+SUMMARY_SCHEMA = "identifier long, chunk long, exits array<long>, starts array<long>, after array<long>"
+ENTRY_SCHEMA = "identifier long, chunk long, entry_attempts int, entry_lock_us long"
+OUT = pa.schema([("event_id", pa.int64()), ("identifier", pa.int64()), ("decision", pa.string()), ("attempts", pa.int32()), ("lockout_until_us", pa.int64())])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
+    """The columns of each run of rows that agree in the first ``keys`` columns,
+    from batches sorted by them."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+        if not len(t):
+            continue
+        new = np.zeros(len(t), dtype=bool)
+        for c in t.columns[:keys]:
+            v = c.to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        edges = [0, *np.flatnonzero(new).tolist()]
+        columns = [c.combine_chunks() for c in t.columns]
+        for x, y in zip(edges[:-1], edges[1:]):
+            yield [c.slice(x, y - x) for c in columns]
+        held = t.slice(edges[-1])
+    if held is not None:
+        yield [c.combine_chunks() for c in held.combine_chunks().columns]
+
+
+def _summary(ts: np.ndarray, ok: np.ndarray, begin: int) -> tuple[list[int], list[int], list[int]]:
+    """What a chunk makes of each state it may begin in.
+
+    A state is a number: 0, 1 or 2 failures, or the end of a lock.  ``exits`` are
+    the states after the chunk for 0, 1 and 2; a lock that ends within it leads to
+    state 0 at the first event from then on, so ``after`` holds the state after
+    the chunk for state 0 at each event (``starts``) at which such a lock can end."""
+    n, top = len(ts), P.LOCKOUT_ATTEMPTS
+    free = np.searchsorted(ts, ts + SPAN_US).tolist()  # the first event from the end of a lock set here
+    ends = [list(range(top))] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        then = ends[i + 1]
+        if ok[i]:
+            ends[i] = [then[0]] * top
+        else:
+            ends[i] = [*then[1:], ends[free[i]][0] if free[i] < n else int(ts[i]) + SPAN_US]
+    # a lock from before ends SPAN_US after the chunk's begin at the latest
+    reach = min(n, int(np.searchsorted(ts, begin + SPAN_US, side="right")) + 1)
+    return ends[0], ts[:reach].tolist(), [e[0] for e in ends[:reach]]
+
+
+def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The state in which each of an identifier's chunks begins."""
+    pdf = pdf.sort_values("chunk")
+    state, out = 0, []
+    for identifier, chunk, exits, starts, after in pdf[["identifier", "chunk", "exits", "starts", "after"]].itertuples(index=False):
+        if state < P.LOCKOUT_ATTEMPTS:
+            out.append((identifier, chunk, state, 0))
+            state = int(exits[state])
+            continue
+        out.append((identifier, chunk, P.LOCKOUT_ATTEMPTS, state))
+        at = int(np.searchsorted(np.asarray(starts, np.int64), state))
+        if at < len(after):  # else the chunk ends before the lock does
+            state = int(after[at])
+    return pd.DataFrame(out, columns=["identifier", "chunk", "entry_attempts", "entry_lock_us"])
+
+
+def lockout_batch(events: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
+    def summed(batches):
+        for identifier, chunk, ts, _, ok in _groups(batches, 2):
+            exits, starts, after = _summary(ts.to_numpy(), ok.to_numpy(zero_copy_only=False), chunk[0].as_py() * chunk_us)
+            yield pa.RecordBatch.from_arrays([identifier[:1], chunk[:1], *(pa.array([x], pa.list_(pa.int64())) for x in (exits, starts, after))], schema=SUMMARY)
+
+    def decided(batches):
+        for identifier, _, ts, event, ok, attempts, lock in _groups(batches, 2):
+            d, n, until, _, _ = transitions(ts.to_numpy(), ok.to_numpy(zero_copy_only=False), attempts[0].as_py(), lock[0].as_py() or None)
+            yield pa.RecordBatch.from_arrays([event, identifier, pa.array(d, pa.string()), pa.array(n, pa.int32()), pa.array(until, pa.int64())], schema=OUT)
+
+    ev = _prepare(events).withColumn("chunk", F.floor(F.col("ts_us") / chunk_us).cast("long"))
+    ev = ev.select(F.col("identifier").cast("long").alias("identifier"), "chunk", "ts_us", F.col("event_id").cast("long").alias("event_id"), "success")
+    order = ["identifier", "chunk", "ts_us", "event_id"]
+    sums = ev.repartition("identifier", "chunk").sortWithinPartitions(*order).mapInArrow(summed, SUMMARY_SCHEMA)
+    entries = sums.groupBy("identifier").applyInPandas(lambda pdf: _entries(pdf), ENTRY_SCHEMA)
+    begun = ev.join(entries, ["identifier", "chunk"]).select(*ev.columns, "entry_attempts", "entry_lock_us")
+    return begun.repartition("identifier", "chunk").sortWithinPartitions(*order).mapInArrow(decided, OUT_SCHEMA)
 
 
 def _stream_fn(key, pdfs: Iterator[pd.DataFrame], state):

@@ -125,3 +125,38 @@ def test_lockout_state_lives_across_files(spark, tmp_path):
         own.write.mode("append").parquet(f"{tmp_path}/events.parquet")
     got = stream_lockout(spark, f"{tmp_path}/events.parquet", ev.schema, 1)
     assert {r["event_id"]: (r["decision"], r["attempts"]) for r in got.collect()} == {k * 100 + i: (d, n) for k in (1, 2) for i, (_, _, d, n) in enumerate(EVENTS)}
+
+
+@pytest.mark.parametrize("chunk_s", [40, 3600])
+def test_lockout_in_chunks_equals_one_fold(spark, chunk_s):
+    import random
+
+    import pandas as pd
+
+    from msgscope.streaming import lockout as L
+
+    rng = random.Random(3)
+    rows, at = [], 0
+    for i in range(3000):
+        at += rng.choice([0, 0, 1, 2, 5, 9, 31, 200]) if rng.random() < 0.9 else rng.randrange(4000)
+        rows.append((i, rng.choice([1, 1, 1, 2]), START + dt.timedelta(seconds=at), rng.random() < 0.15))
+    got = {r["event_id"]: (r["decision"], r["attempts"], r["lockout_until_us"]) for r in lockout_batch(spark.createDataFrame(rows, "event_id long, identifier long, ts timestamp, success boolean"), chunk_s * 1_000_000).collect()}
+    want = {}
+    for k in (1, 2):
+        own = [r for r in rows if r[1] == k]
+        pdf = pd.DataFrame({"event_id": [r[0] for r in own], "identifier": k, "ts_us": [int(r[2].replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000 for r in own], "success": [r[3] for r in own]})
+        for r in L.fold(pdf)[0].itertuples():
+            want[r.event_id] = (r.decision, r.attempts, r.lockout_until_us)
+    assert got == want and any(d == "locked" for d, _, _ in want.values())
+
+
+def test_newest_first_in_many_ranges(spark):
+    from msgscope.operators.ranking import rank_newest
+
+    rows = [(i, "u" if i % 3 else None, START + dt.timedelta(minutes=(i * 37) % 50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, user_id string, created_at timestamp")
+    for size in (7, 1 << 20):
+        got = {r["id"]: r["rank"] for r in rank_newest(df, ["user_id"], "created_at", "id", "rank", size).collect()}
+        for user in ("u", None):
+            order = sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0]), reverse=True)
+            assert [got[r[0]] for r in order] == list(range(1, len(order) + 1))
