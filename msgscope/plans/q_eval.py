@@ -119,6 +119,24 @@ def metrics_by_source(spark, d):
     )
 
 
+# --------------------------------------------------------------------------- AGG-41
+SQL_ACCURACY = BASE + """
+SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE 'source' END AS level, source, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS BIGINT) AS n_right,
+       round(sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
+FROM scored GROUP BY ROLLUP (source)
+"""
+
+
+@query("accuracy_by_source", SQL_ACCURACY)
+def accuracy_by_source(spark, d):
+    """AGG-41: messages whose prediction is the expected label, overall and by source."""
+    right = F.sum((F.col("label") == F.col("prediction")).cast("int"))
+    level = F.when(F.grouping("source") == 1, "overall").otherwise("source")
+    r = scored(spark, d).rollup("source").agg(level.alias("level"), F.count("*").cast("long").alias("n"), right.cast("long").alias("n_right"))
+    return r.select("level", "source", "n", "n_right", _r6(F.col("n_right") / F.col("n")).alias("accuracy"))
+
+
 SQL_CURVE = """
 d AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY score),
 c AS (SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS cum_pos, sum(neg) OVER (ORDER BY score DESC) AS cum_neg,
