@@ -23,18 +23,20 @@ def attach_one_row(left: DataFrame, one_row: DataFrame) -> DataFrame:
     return left.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k)
 
 
-def composition(df: DataFrame, cluster: str = "cluster_id", label: str = "label", source: str = "source") -> DataFrame:
+def composition(df: DataFrame, cluster: str = "cluster_id", label: str = "label", source: str = "source", k: int | None = None) -> DataFrame:
     """AGG-19/20/31, WIN-05: size, spam rate, majority class, dominant source
-    (most rows, ties to the smaller name) and number of sources per cluster."""
-    per = df.groupBy(cluster).agg(
-        F.count(F.lit(1)).cast("long").alias("size"),
-        F.avg(label).alias("spam_rate"),
-        F.countDistinct(source).cast("long").alias("n_sources"),
-    ).withColumn("mapped_class", F.when(F.col("spam_rate") > 0.5, 1).otherwise(0).cast("int"))
-    cs = df.groupBy(cluster, source).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(cluster).orderBy(F.col("n").desc(), F.col(source).asc())  # clusters x sources rows
-    dom = cs.withColumn("rk", F.row_number().over(w)).where("rk = 1").select(cluster, F.col(source).alias("dominant_source"))
-    return per.join(dom, cluster)
+    (most rows, ties to the smaller name) and number of sources per cluster.
+    With ``k``, clusters 0..k-1 without rows are there, too: size and class 0."""
+    by = df.groupBy(cluster, source).agg(F.count(F.lit(1)).cast("long").alias("n"), F.sum(label).alias("spam"))
+    first = F.min_by(source, F.struct(-F.col("n"), F.col(source)))  # over clusters x sources rows
+    per = by.groupBy(cluster).agg(
+        F.sum("n").cast("long").alias("size"), (F.sum("spam") / F.sum("n")).alias("spam_rate"),
+        F.count(source).cast("long").alias("n_sources"), first.alias("dominant_source"),
+    )
+    if k is not None:
+        ids = df.sparkSession.range(k).select(F.col("id").cast(df.schema[cluster].dataType).alias(cluster))
+        per = ids.join(per, cluster, "left").fillna(0, ["size", "n_sources"])
+    return per.withColumn("mapped_class", F.coalesce((F.col("spam_rate") > 0.5).cast("int"), F.lit(0)))
 
 
 def source_shares(df: DataFrame, cluster: str = "cluster_id", label: str = "label", source: str = "source") -> DataFrame:

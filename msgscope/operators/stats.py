@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from msgscope.functions import patterns as P
 from msgscope.operators.ranking import exact_quantiles
+from msgscope.session import materialize
 
 
 def _stack_sql(items: list[tuple[str, ...]], names: list[str]) -> str:
@@ -50,6 +51,7 @@ def spam_rate_by_source(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, col: str, group_cols=None) -> DataFrame:
     """AGG-06: count, mean, std (n-1), min, 25/50/75 %, max (exact)."""
     g = list(group_cols or [])
+    df = materialize(df.select(*g, col))  # read twice: the aggregate and the quantiles
     base = df.groupBy(*g).agg(
         F.count(F.col(col)).cast("long").alias("count"),
         F.avg(col).alias("mean"),
@@ -91,7 +93,7 @@ def class_means(df: DataFrame, groups: list[tuple[str, list[str]]], label: str =
 def class_distributions(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """AGG-12: per (feature, class) min, max, mean, exact median, std (n-1)."""
     items = [(_q(f), f"CAST(`{f}` AS DOUBLE)") for f in features]
-    long = df.select(
+    long = materialize(df.select(label, *features)).select(
         F.when(F.col(label) == 1, "spam").otherwise("ham").alias("class"),
         F.expr(_stack_sql(items, ["feature", "value"])),
     )

@@ -232,20 +232,20 @@ def score_histogram(spark, d):
 
 
 # --------------------------------------------------------------------------- AGG-19/20/31, WIN-05
-SQL_CLUSTER_COMPOSITION = BASE + """,
+SQL_CLUSTER_COMPOSITION = BASE + f""",
 cs AS (SELECT cluster_id, source, count(*) AS n FROM scored GROUP BY 1, 2),
 dom AS (SELECT cluster_id, source, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, source) AS rk FROM cs)
-SELECT s.cluster_id, CAST(count(*) AS BIGINT) AS size, round(avg(label), 6) AS spam_rate,
+SELECT CAST(k.k AS INTEGER) AS cluster_id, CAST(count(s.msg_id) AS BIGINT) AS size, round(avg(label), 6) AS spam_rate,
        CAST(CASE WHEN avg(label) > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS mapped_class,
        any_value(d.source) AS dominant_source, CAST(count(DISTINCT s.source) AS BIGINT) AS n_sources
-FROM scored s JOIN dom d ON s.cluster_id = d.cluster_id AND d.rk = 1
-GROUP BY s.cluster_id
+FROM range(0, {len(LANG_CLUSTERS) + 1}) k(k) LEFT JOIN scored s ON s.cluster_id = k.k LEFT JOIN dom d ON s.cluster_id = d.cluster_id AND d.rk = 1
+GROUP BY k.k
 """
 
 
 @query("cluster_composition", SQL_CLUSTER_COMPOSITION)
 def cluster_composition(spark, d):
-    return CL.composition(scored(spark, d)).select(
+    return CL.composition(scored(spark, d), k=len(LANG_CLUSTERS) + 1).select(
         "cluster_id", "size", _r6(F.col("spam_rate")).alias("spam_rate"), "mapped_class", "dominant_source", "n_sources"
     )
 

@@ -13,6 +13,7 @@ from msgscope.plans import sqlparts as S
 from msgscope.plans.frames import SQL_CLEANED, SQL_MESSAGES, cleaned, features_a, with_ctes
 from msgscope.plans.registry import query
 from msgscope.plans.q_text import FAMILY_A_GROUPS
+from msgscope.session import materialize
 
 # The 27 compared features (character group without dot/comma/digit/special counts)
 COMPARED = [
@@ -125,7 +126,7 @@ FROM cleaned GROUP BY label
 
 @query("word_count_quartiles", SQL_WC_QUARTILES)
 def word_count_quartiles(spark, d):
-    c = cleaned(spark, d).withColumn("lg", F.log10(F.col("word_count") + 1))
+    c = materialize(cleaned(spark, d).select("label", "word_count", F.log10(F.col("word_count") + 1).alias("lg")))
     a = exact_quantiles(c, "word_count", [0.25, 0.5, 0.75], ["label"])
     b = exact_quantiles(c, "lg", [0.25, 0.5, 0.75], ["label"])
     a = a.select("label", *[_r6(F.col(f"q_{i}")).alias(f"wc_p{p}") for i, p in enumerate([25, 50, 75])])

@@ -182,7 +182,7 @@ FROM lg l JOIN st s ON l.feature = s.feature WHERE l.split = 'test'
 def scale_standard(spark, d):
     sp = stratified_split(cleaned(spark, d).select("msg_id", "label", "source")).select("msg_id", "split")
     fa = features_of(messages(spark, d), family_a, ALL_A)
-    both = fa.join(sp, "msg_id")
+    both = materialize(fa.join(sp, "msg_id"))
     z = V.standard_scale_long(both.where("split = 'train'"), both.where("split = 'test'"), "msg_id", ALL_A)
     return z.select("msg_id", "feature", _r6(F.col("z")).alias("z"))
 
