@@ -305,6 +305,7 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     again = found.where("c = doc_id AND n > 1").select(F.col("doc_id").alias("again_id"))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("key"), row)
+    gone = gone.hint("merge")  # it grows with the corpus: the same join at every size
     single = rows.join(gone, F.col("key") == F.col("gone_id"), "left_anti").select("row")
     least = rows.join(again, F.col("key") == F.col("again_id"), "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row")
     return single.unionByName(least).select(*[F.col("row")[c].alias(c) for c in docs.columns])
