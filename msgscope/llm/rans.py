@@ -33,24 +33,49 @@ from msgscope.llm.spill import folder
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
-STEPS = 256
+LANES = 2048
+STEPS = 128
 BLOCK = 1 << 20
 END_ID = 0
-CACHE = 500_000
+#: Distinct parts that a worker remembers.
+CACHE = 1_500_000
+SLICE = 1 << 19
 
 # ------------------------------------------------------------------ tokenizer
 
 #: White space before a run of other characters starts a part that encodes
-#: alone: no match of the byte-level pattern goes on from such a run into it.
-PART = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-RARE_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: alone: no match of the byte-level pattern goes on from such a run into it.  So
+#: does ASCII punctuation behind an ASCII letter or digit.
+ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+PUNCT = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[32, 9, 10, 13]] = True
+#: Texts with any other white space are encoded as a whole.
+RARE_BLANK = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Bytes that such white space can begin with.
+RARE_LEAD = np.zeros(256, dtype=bool)
+RARE_LEAD[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Longer parts are encoded each time.
+LONG_PART = 64
+_SECOND = tb.salted(np.arange(256, dtype=np.uint64), 78)
 _encoders: dict = {}
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, a place of each, which of them each value is)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 class PartEncoder:
     """Ids of whole texts by the tokenizers library, asking it once for each
-    distinct part; the parts of a text encode independently."""
+    distinct part; the parts of a text encode independently.  Parts are told
+    apart by two 64-bit hashes."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,48 +86,128 @@ class PartEncoder:
         d = json.loads(spec)
         pre = d.get("pre_tokenizer") or {}
         self.by_part = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not d.get("normalizer")
+        if self.by_part:  # a token's characters stand for bytes, one each
+            vocab = self.tok.get_vocab(with_added_tokens=True)
+            self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+            for token, i in vocab.items():
+                self.size[i] = len(token)
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.key = np.zeros(0, np.uint64)  # sorted
+        self.check = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int32)
+        self.length = np.zeros(0, np.int16)
+        self.hits = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.n = self.used = 0
-        self.length = np.zeros(1 << 16, np.int64)
-
-    def _add(self, parts: list[str]) -> None:
-        for p, e in zip(parts, self.tok.encode_batch_fast(parts, add_special_tokens=False)):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if self.n == len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[self.n], self.length[self.n] = self.used, len(ids)
-            self.place[p] = self.n
-            self.used += len(ids)
-            self.n += 1
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.used = 0
+
+    def shrink(self) -> None:
+        """Forget the parts that came in one slice only; if that isn't enough, all."""
+        keep = np.flatnonzero(self.hits > 1)
+        if len(keep) > CACHE // 2:
+            return self.clear()
+        length = self.length[keep].astype(np.int64)
+        self.flat = self.flat[np.repeat(self.start[keep].astype(np.int64), length) + tb.ragged(length)]
+        self.used = len(self.flat)
+        self.key, self.check, self.length = self.key[keep], self.check[keep], self.length[keep]
+        self.start = (np.cumsum(length) - length).astype(np.int32)
+        self.hits = np.zeros(len(keep), np.int32)
+        return None
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, number of ids of each part) for parts that begin with white space
+        and don't end with it: they encode alike when strung together, and the
+        tokens' sizes tell where each ends."""
+        size = np.array([len(p) for p in parts], np.int64)
+        strung = [b"".join(parts[a : a + 4000]).decode("utf-8") for a in range(0, len(parts), 4000)]
+        ids = np.concatenate([np.array(x, np.uint32) for x in self.encode(strung)]) if parts else np.zeros(0, np.uint32)
+        at, ends = np.cumsum(self.size[ids]), np.cumsum(size)
+        last = np.searchsorted(at, ends)
+        if len(parts) and (last[-1] >= len(at) or np.any(at[last] != ends)):
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+    def _add(self, key: np.ndarray, check: np.ndarray, parts: list[bytes], strung: np.ndarray) -> None:
+        length = np.zeros(len(parts), np.int64)
+        order = np.concatenate([np.flatnonzero(strung), np.flatnonzero(~strung)])
+        n = int(strung.sum())
+        got = self._together([parts[i] for i in order[:n]])
+        if got is None:  # never seen; then each for itself
+            n, got = 0, (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        rest = self.encode([parts[i].decode("utf-8") for i in order[n:]]) if n < len(order) else []
+        length[order] = np.concatenate([got[1], np.array([len(x) for x in rest], np.int64)])
+        ids = np.concatenate([got[0], np.array([i for x in rest for i in x], np.uint32)])
+        start = np.empty(len(parts), np.int64)
+        start[order] = self.used + np.cumsum(length[order]) - length[order]
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(ids), self.used // 2), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        at = np.searchsorted(self.key, key)
+        new = (("key", key), ("check", check), ("start", start), ("length", length), ("hits", np.zeros(len(key))))
+        for name, values in new:
+            old = getattr(self, name)
+            setattr(self, name, np.insert(old, at, values.astype(old.dtype)))
+
+    def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if not self.by_part or any(RARE_SPACE.search(t) for t in texts):
-            ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            flat = np.fromiter((x for y in ids for x in y), np.uint32)
-            return flat, np.array([len(x) for x in ids], np.int64)
-        if self.n > CACHE:
-            self.clear()
-        parts = [PART.findall(t) for t in texts]
-        every = [p for x in parts for p in x]
-        new = list({p for p in every if p not in self.place})
-        if new:
-            self._add(new)
-        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
-        length = self.length[at]
-        flat = self.flat[np.repeat(self.start[at], length) + tb.ragged(length)]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        edge = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-        return flat, np.diff(ends[edge])
+        n, data = len(off) - 1, raw.tobytes()
+        text = lambda s, e: data[s:e].decode("utf-8")
+        if not self.by_part:
+            ids = self.encode([text(s, e) for s, e in zip(off[:-1], off[1:])])
+            return np.fromiter((i for x in ids for i in x), np.uint32), np.array([len(x) for x in ids], np.int64)
+        if len(self.key) > CACHE:
+            self.shrink()
+        blank = BLANK[raw]
+        begin = blank.copy()
+        begin[1:] &= ~blank[:-1]
+        begin[1:] |= ALNUM[raw[:-1]] & PUNCT[raw[1:]]
+        begin[off[:-1][off[:-1] < len(raw)]] = True
+        start = np.flatnonzero(begin)
+        end = np.append(start[1:], len(raw))[: len(start)]
+        by_row = np.searchsorted(start, off)
+        key = tb.span_hash(tb.prefix(tb.BYTE_VALUE[raw]), start, end)
+        check = tb.span_hash(tb.prefix(_SECOND[raw]), start, end)
+        rare = [m.start() for m in RARE_BLANK.finditer(data)] if RARE_LEAD[raw].any() else []
+        whole = np.unique(np.searchsorted(off, rare, side="right") - 1)
+        odd = np.zeros(len(start), dtype=bool)
+        for r in whole:
+            odd[by_row[r] : by_row[r + 1]] = True
+        alone = ~odd & (end - start > LONG_PART)
+        plain = np.flatnonzero(~odd & ~alone)
+        distinct, first, which = _distinct(key[plain])
+        own = check[plain][first]
+        at = np.searchsorted(self.key, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        inside = at < len(self.key)
+        known[inside] = self.key[at[inside]] == distinct[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            where = plain[first[new]]
+            strung = blank[start[where]] & ~blank[end[where] - 1]
+            self._add(distinct[new], own[new], [data[s:e] for s, e in zip(start[where].tolist(), end[where].tolist())], strung)
+            at = np.searchsorted(self.key, distinct)
+        self.hits[at] += 1
+        alone[plain[self.check[at][which] != check[plain]]] = True  # equal in one hash only
+        source, length = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        if len(plain):
+            source[plain], length[plain] = self.start[at][which], self.length[at][which]
+        # parts and whole texts that were not looked up stand behind the rest
+        place = [(i, text(start[i], end[i])) for i in np.flatnonzero(alone)] + [(by_row[r], text(off[r], off[r + 1])) for r in whole]
+        extra, more = [], self.used
+        for (i, _), ids in zip(place, self.encode([t for _, t in place]) if place else []):
+            source[i], length[i] = more, len(ids)
+            extra += ids
+            more += len(ids)
+        flat = np.concatenate([self.flat[: self.used], np.array(extra, np.uint32)]) if extra else self.flat
+        ends = np.cumsum(length)
+        at = np.repeat(source - (ends - length), length)
+        at += np.arange(len(at))
+        return flat[at], np.diff(np.concatenate([[0], ends])[by_row])
 
 
 def part_encoder(key: str, spec: str) -> PartEncoder:
@@ -213,11 +318,10 @@ def _blocks(docs: DataFrame, tokenizer_file: str, block: int) -> DataFrame:
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_tokens": held, "doc_ids": keys, "lengths": np.concatenate(lengths).tolist(), "ids": np.concatenate(ids).tobytes()}], schema=schema)
 
         for b in batches:
-            for a in range(0, b.num_rows, 64):
-                own = b.slice(a, 64)
-                flat, length = encode([t or "" for t in own.column(1).to_pylist()])
+            for a, z, raw, off in tb.slices(b, "text", SLICE):
+                flat, length = encode(raw, off)
                 flat = np.insert(flat, np.cumsum(length), END_ID).astype("<u4")
-                keys += own.column(0).to_pylist()
+                keys += b.column(0).slice(a, z - a).to_pylist()
                 lengths.append(length + 1)
                 ids.append(flat)
                 held += len(flat)
