@@ -53,5 +53,16 @@ def op10_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.byte_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_spread, op2_probminhash, op3_cgk_leaks, op4_rans_tokens, op5_pairwise_quality, op6_rule_ledger, op7_byte_cnn_language, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes)}
-ORACLE: dict[str, str] = {"op1_line_spread": lines.digest_sql(), "op6_rule_ledger": ledger.digest_sql()}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_spread, op2_probminhash, op3_cgk_leaks, op4_rans_tokens, op5_pairwise_quality, op6_rule_ledger,
+        op7_byte_cnn_language, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes,
+    )
+}
+ORACLE: dict[str, str] = {
+    "op1_line_spread": lines.digest_sql(),
+    "op6_rule_ledger": ledger.digest_sql(),
+    "op9_substring_windows": substring.digest_sql(),
+    "op10_suffix_bytes": bwt.digest_sql(),
+}

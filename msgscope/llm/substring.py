@@ -140,3 +140,17 @@ def dedup_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
 
 def window_digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return dedup_windows(docs, size).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def digest_sql(size: int = SIZE) -> str:
+    """The same over table ``documents`` (distinct doc_ids) for DuckDB."""
+    return rf"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM t WHERE len(w) >= {size}),
+k AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {size - 1}), ' ') AS k FROM v),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM k) WHERE r > 1),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t),
+c AS (SELECT u.doc_id, u.word, u.p, coalesce(u.p - g.i < {size}, false) AS gone FROM u ASOF LEFT JOIN g ON u.doc_id = g.doc_id AND u.p >= g.i),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(a.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256
+FROM t LEFT JOIN a ON t.doc_id = a.doc_id"""
