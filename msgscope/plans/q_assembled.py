@@ -132,6 +132,14 @@ def _trees(spark, d):
     return x, features, ML.save_and_reload(fitted, ML.model_path(spark, "gbt-assembled"))
 
 
+def named_importances(spark, d):
+    """ML-13, JN-06: (feature, importance) of every assembled column, 0 if no tree uses it."""
+    _x, features, model = _trees(spark, d)
+    imp = model.stages[-1].featureImportances
+    used = spark.createDataFrame([(int(i), float(v)) for i, v in zip(imp.indices, imp.values)], "idx int, importance double")
+    return features.names().join(used, "idx", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
 @query("gbt_assembled")  # a fit: rows only
 def gbt_assembled(spark, d):
     """ML-08/14/15/16/19: boosted trees on the assembled sparse features."""

@@ -3,9 +3,6 @@ metrics and centroid distances, driven by deterministic rule columns."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from msgscope.operators import clustering as CL

@@ -199,12 +199,15 @@ def search_summary(spark, d):
 
 @query("gbt_importance_types")
 def gbt_importance_types(spark, d):
-    """AGG-32/33: boosted-tree importance totals by name fragment."""
+    """AGG-32/33: importance totals by name fragment, and by the six types, of
+    the trees on the assembled features."""
     from msgscope.operators.stats import importance_by_fragment
+    from msgscope.plans.q_assembled import named_importances
 
-    _f, model = _gbt(spark, d)
-    imp = ML.importances(spark, model, FAMILY_B_NAMES)
-    return importance_by_fragment(imp, P.IMPORTANCE_FRAGMENTS)
+    imp = materialize(named_importances(spark, d))
+    parts = {"fragment": P.IMPORTANCE_FRAGMENTS, "type": P.IMPORTANCE_TYPES}
+    out = [importance_by_fragment(imp, names).withColumn("list", F.lit(k)) for k, names in parts.items()]
+    return out[0].unionByName(out[1])
 
 
 @query("gbt_early_stop")

@@ -9,7 +9,6 @@ from msgscope.functions import patterns as P
 from msgscope.operators import stats as ST
 from msgscope.operators.ranking import exact_quantiles
 from msgscope.plans import sqlfeatures as SF
-from msgscope.plans import sqlparts as S
 from msgscope.plans.frames import SQL_CLEANED, SQL_MESSAGES, cleaned, features_a, with_ctes
 from msgscope.plans.registry import query
 from msgscope.plans.q_text import FAMILY_A_GROUPS
