@@ -3,6 +3,8 @@ held-out ones, and models on them (VEC-01..06, F-62, ML-01..08, ML-15/19)."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
@@ -147,26 +149,54 @@ def gbt_assembled(spark, d):
     return _metrics(spark, ML.spam_probability(model.transform(x.where("split = 'test'"))))
 
 
+class FittedModels:
+    """Two models on one feature model, all reloaded from their saved form."""
+
+    def __init__(self, spark, d):
+        from pyspark.ml import Pipeline
+        from pyspark.ml.classification import LogisticRegression
+
+        x, self.features, trees = _trees(spark, d)
+        linear = Pipeline(stages=[LogisticRegression(labelCol="label", maxIter=50, regParam=0.01)]).fit(x.where("split = 'train'"))
+        self.models = {"trees": trees, "linear": ML.save_and_reload(linear, ML.model_path(spark, "linear-assembled"))}
+
+    def score(self, turns):
+        """(model_id, msg_id, p, prediction) of rows (msg_id, text): cleaned and
+        turned into features once, then through every model."""
+        rows = materialize(clean_messages(turns.select("msg_id", "text", F.lit(None).cast("string").alias("source"))).select("msg_id", "cleaned_text", "source"))
+        out = self.features.vectors(rows)
+        for name, model in self.models.items():
+            keep = [c for c in out.columns if c != "score"]
+            out = ML.spam_probability(model.transform(out)).select(*keep, F.col("score").alias(name))
+        pairs = F.array(*[F.struct(F.lit(n).alias("model_id"), F.col(n).alias("p")) for n in self.models])
+        long = out.select("msg_id", F.explode(pairs).alias("s")).select("s.model_id", "msg_id", "s.p")
+        return long.withColumn("prediction", (F.col("p") >= 0.5).cast("int"))
+
+
 @query("score_fitted")  # fitted models: rows only
 def score_fitted(spark, d):
-    """BAT-01: every turn of the conversations scored by two fitted models, from
-    one pass over their features; per model predictions, spam, means."""
-    from pyspark.ml.classification import LogisticRegression
+    """BAT-01: every turn of the conversations scored by two fitted models; per
+    model predictions, spam and means."""
+    from msgscope.operators.scoring import summarize_batch
+
+    turns = read_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
+    fitted = FittedModels(spark, d)
+    return summarize_batch(fitted.score(turns), list(fitted.models))
+
 
+@query("stream_fitted")  # fitted models: rows only
+def stream_fitted(spark, d):
+    """STR-01: the same over a file stream of the conversations."""
     from msgscope.operators.scoring import summarize_batch
+    from msgscope.streaming.scoring import stream_scored
 
-    x, features, trees = _trees(spark, d)
-    linear = LogisticRegression(labelCol="label", maxIter=50, regParam=0.01).fit(x.where("split = 'train'"))
-    turns = read_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text", F.lit(None).cast("string").alias("source"))
-    rows = materialize(clean_messages(turns).select("msg_id", "cleaned_text", "source"))
-    vectors = materialize(features.vectors(rows))
-    one = ML.spam_probability(trees.transform(vectors)).select("msg_id", "features", F.col("score").alias("trees"))
-    both = ML.spam_probability(linear.transform(one)).select("msg_id", "trees", F.col("score").alias("linear"))
-    long = both.select("msg_id", F.expr("stack(2, 'trees', trees, 'linear', linear) AS (model_id, p)"))
-    preds = long.withColumn("prediction", (F.col("p") >= 0.5).cast("int"))
-    return summarize_batch(preds, ["trees", "linear"])
+    fitted = FittedModels(spark, d)
+    schema = read_table(spark, d, "conversations").schema
+    preds = stream_scored(spark, os.path.join(d, "conversations.parquet"), schema, fitted.score, FILES_A_BATCH)
+    return summarize_batch(preds.drop("batch_id"), list(fitted.models))
 
 
+FILES_A_BATCH = 32
 SWEEP = {"numeric": "numeric columns only", "tfidf": "terms only", "all": "terms, numeric columns and sources"}
 SWEEP_K = range(2, 9)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,15 +25,13 @@ def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return os.path.join(base, "out"), os.path.join(base, "checkpoint")
 
 
-def scored_batches_sink(out_path: str, models: dict):
-    """foreachBatch writer: score one micro-batch with every model and write
-    it to ``out/batch_id=<id>`` with overwrite, so a replayed batch (after a
-    failure) replaces its own output instead of duplicating it."""
-    from msgscope.operators.scoring import score_with_models
+def scored_batches_sink(out_path: str, score: Callable[[DataFrame], DataFrame]):
+    """foreachBatch writer: score one micro-batch and write it to
+    ``out/batch_id=<id>`` with overwrite, so a replayed batch (after a failure)
+    replaces its own output instead of duplicating it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        preds = score_with_models(batch, models)
-        preds.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+        score(batch).write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
     return write
 
@@ -61,15 +60,23 @@ def _file_stream(spark: SparkSession, source_path: str, schema, max_files: int)
     return reader.parquet(source_path)
 
 
-def stream_score(spark: SparkSession, source_path: str, schema, models: dict, max_files: int) -> DataFrame:
-    """Score every row of a file stream with ``models``; returns the scored
-    rows (``model_id, msg_id, p, prediction, batch_id``)."""
+def stream_scored(spark: SparkSession, source_path: str, schema, score: Callable[[DataFrame], DataFrame], max_files: int) -> DataFrame:
+    """Every turn of a file stream through ``score`` (msg_id, text -> rows);
+    returns the rows of all micro-batches with ``batch_id``."""
     out, ckpt = stream_paths(spark, "score")
     src = _file_stream(spark, source_path, schema, max_files).select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
-    run_to_completion(src.writeStream.foreachBatch(scored_batches_sink(out, models)).option("checkpointLocation", ckpt))
+    run_to_completion(src.writeStream.foreachBatch(scored_batches_sink(out, score)).option("checkpointLocation", ckpt))
     return spark.read.parquet(out)
 
 
+def stream_score(spark: SparkSession, source_path: str, schema, models: dict, max_files: int) -> DataFrame:
+    """Score every row of a file stream with ``models``; returns the scored
+    rows (``model_id, msg_id, p, prediction, batch_id``)."""
+    from msgscope.operators.scoring import score_with_models
+
+    return stream_scored(spark, source_path, schema, lambda batch: score_with_models(batch, models), max_files)
+
+
 def stream_lockout(spark: SparkSession, source_path: str, schema, max_files: int) -> DataFrame:
     """Lockout decisions for a file stream of events; append-mode parquet
     sink (exactly-once through the sink's log)."""

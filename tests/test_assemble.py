@@ -41,3 +41,18 @@ def test_default_tokens_and_one_hot(spark):
     rows = spark.createDataFrame([(1, "q"), (2, None), (3, "z")], "msg_id long, source string")
     got = {r["msg_id"]: (r["source_index"], r["onehot"]) for r in A.one_hot_sources(rows, sources).collect()}
     assert got == {1: (1, "0,1"), 2: (-1, "0,0"), 3: (-1, "0,0")}
+
+
+def test_a_stream_scored_by_fitted_models_equals_the_batch(spark, tmp_path):
+    from msgscope.plans.q_assembled import FittedModels
+    from msgscope.streaming.scoring import stream_scored
+
+    fitted = FittedModels(spark, "/root/testdata/sf0.001")
+    conv = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(["free money!!!", "see you at noon", "x", None, "WIN $100 now www.spam.com", "hello there"])], "conv_id long, turn int, role string, text string")
+    conv.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    key = lambda r: (r["model_id"], r["msg_id"])
+    batch = sorted(fitted.score(conv.select((F.col("conv_id") * 1000).alias("msg_id"), "text")).collect(), key=key)
+    stream = sorted(stream_scored(spark, f"{tmp_path}/conversations.parquet", conv.schema, fitted.score, 1).collect(), key=key)
+    assert [(*key(r), r["p"], r["prediction"]) for r in batch] == [(*key(r), r["p"], r["prediction"]) for r in stream]
+    assert {r["msg_id"] for r in batch} == {0, 1000, 4000, 5000} and len(batch) == 8  # shorter than three characters: dropped
+    assert all(0 <= r["p"] <= 1 for r in batch)
