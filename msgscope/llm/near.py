@@ -13,11 +13,11 @@ equal counts it is the plain Jaccard of the shingle sets.  0.8 or more is a link
 3. Banding: ``BANDS`` hashes of ``ROWS`` registers each.  Each bucket's least
    doc_id leads it; every other member is paired with that leader, once however
    many buckets say so.  No other pairs are made.
-4. Verification, by leader: exact similarity to the leader; whoever isn't linked
-   to it is held against the other members by signature, and exactly where that
-   says at least ``CUT``, unless links known by then connect the two.  Only links
-   that connect something new come out.  A large group is dealt out in pairs of
-   blocks of bounded bytes, so it lies in no single task.
+4. Verification: exact similarity to the leader, in blocks of bounded size that
+   each hold the leader.  Whoever isn't linked to it (the rest of its group) is
+   held against the other members by signature, and exactly where that says at
+   least ``CUT``, unless links known by then connect the two; pairs of blocks
+   share that work, and only links that connect something new come out.
 5. Connected components of the links give the classes.
 
 Word: a run of characters other than space and \\t \\n \\v \\f \\r, unchanged.  A
@@ -48,7 +48,9 @@ ROWS = 5
 REGISTERS = BANDS * ROWS
 #: An estimate under this is more than 3.5 standard errors below SIMILAR.
 CUT = SIMILAR - 3.5 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
+#: Text of a block of a group, and what a row counts for at least.
 BLOCK_BYTES = 4 << 20
+ROW_BYTES = 2_048
 SLICE = 1 << 19
 SLICE_ROWS = 2_000
 
@@ -171,6 +173,7 @@ def led_pairs(keys: DataFrame) -> DataFrame:
     each leader with itself."""
     each = keys.select("doc_id", "n", F.explode("bands").alias("k"))
     buckets = each.groupBy("k").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("k", "leader")
+    buckets = stored(buckets, "buckets")  # a table of its own: see copies
     return each.join(buckets, "k").groupBy("doc_id", "leader").agg(F.max("n").alias("n"))
 
 
@@ -194,85 +197,118 @@ class Links:
         return True
 
 
-def group_links(ids: np.ndarray, side: np.ndarray, lead: np.ndarray, texts: list[bytes], similar: float = SIMILAR) -> list[tuple[int, int]]:
-    """Links that connect the members of a group.  ``side``: 0 and 1 for the two
-    blocks (all 0: one block against itself); ``lead``: the leader's rows."""
+def _shingled(texts: list[bytes]):
+    """(row, hash, count) of all shingles, and (hashes, counts) of each text."""
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     row, h, w = weighted_shingles(np.frombuffer(b"".join(texts), np.uint8), off)
-    n = len(ids)
-    edge = np.searchsorted(row, np.arange(n + 1))
-    own = [(h[a:z], w[a:z]) for a, z in zip(edge[:-1], edge[1:])]
-    near = lambda i, j: similarity(*own[i], *own[j]) >= similar - 1e-12
-    links, out = Links(n), []
-    two = bool(side.any())
-    leaders = np.flatnonzero(lead)
-    for j in leaders[1:]:
-        links.join(int(leaders[0]), int(j))
-    open_ = []
-    for i in range(n):
-        if lead[i]:
-            continue
-        hit = next((j for j in leaders if near(i, j)), None)
-        if hit is None:
-            open_.append(i)
-        else:
-            links.join(i, int(hit))
-            if not two:
-                out.append((int(ids[i]), int(ids[hit])))
-    if not open_ or n - len(leaders) < 2:
-        return out
-    sig = (signatures(row, h, w, n) & np.uint64(0xFFFF)).astype(np.uint16)
-    found = []
-    for i in open_:
+    edge = np.searchsorted(row, np.arange(len(texts) + 1))
+    return row, h, w, [(h[x:y], w[x:y]) for x, y in zip(edge[:-1], edge[1:])]
+
+
+def like_leader(lead: np.ndarray, texts: list[bytes], similar: float = SIMILAR) -> np.ndarray:
+    """For each text whether it is similar to one of the leader's (``lead``)."""
+    *_, own = _shingled(texts)
+    leaders = [own[j] for j in np.flatnonzero(lead)]
+    return np.array([any(similarity(*x, *y) >= similar - 1e-12 for y in leaders) for x in own], dtype=bool)
+
+
+def rest_links(ids: np.ndarray, asks: np.ndarray, open_: np.ndarray, texts: list[bytes], similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """Links that connect the texts that ask (``asks``: not linked to the leader)
+    with the others of one pair of blocks.  All that aren't ``open_`` hang
+    together, by the leader."""
+    row, h, w, own = _shingled(texts)
+    sig = (signatures(row, h, w, len(ids)) & np.uint64(0xFFFF)).astype(np.uint16)
+    _, node = np.unique(ids, return_inverse=True)  # rows that share an id are one
+    links, out, found = Links(int(node.max()) + 1), [], []
+    settled = node[~open_]
+    for j in settled[1:]:
+        links.join(int(settled[0]), int(j))
+    for i in np.flatnonzero(asks):
         agree = (sig == sig[i]).mean(axis=1)
-        ok = (agree >= CUT) & ~lead
-        ok[i] = False
-        if two:
-            ok &= side != side[i]
-        found.append(np.stack([agree[ok], np.full(int(ok.sum()), i), np.flatnonzero(ok)], axis=1))
-    pairs = np.concatenate(found)
+        ok = np.flatnonzero((agree >= CUT) & ~asks & (node != node[i]))
+        found.append(np.stack([agree[ok], np.full(len(ok), i), ok], axis=1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 3))
     for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")]:
         i, j = int(i), int(j)
-        if links.root(i) != links.root(j) and near(i, j):
-            links.join(i, j)
+        if links.root(int(node[i])) != links.root(int(node[j])) and similarity(*own[i], *own[j]) >= similar - 1e-12:
+            links.join(int(node[i]), int(node[j]))
             out.append((int(ids[i]), int(ids[j])))
     return out
 
 
+def _parts(n) -> F.Column:
+    """Blocks for rows of ``n`` bytes; a short row counts as ROW_BYTES, so that a
+    block's rows are bounded, too."""
+    return F.ceil(F.sum(F.greatest(n, F.lit(ROW_BYTES))) / BLOCK_BYTES).cast("int")
+
+
+def _block(of: F.Column, salt: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), of).cast("int")
+
+
+def _by_group(rows: DataFrame, keys: int, run, sql: str) -> DataFrame:
+    """``run`` (key, columns as lists) -> record batch, over each run of rows that
+    agree in the first ``keys`` columns; such rows are brought together first."""
+    names = rows.columns
+
+    def each(batches):
+        key, held = None, []
+        for b in batches:
+            for values in zip(*(c.to_pylist() for c in b.columns)):
+                if values[:keys] != key:
+                    if held:
+                        yield run(key, list(zip(*held)))
+                    key, held = values[:keys], []
+                held.append(values[keys:])
+        if held:
+            yield run(key, list(zip(*held)))
+
+    return rows.repartition(*names[:keys]).sortWithinPartitions(*names).mapInArrow(each, sql)
+
+
+def starred(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, leader, n, linked) of every pair: whether the two are similar.  A
+    large group lies in several blocks, each with the leader."""
+    schema = pa.schema([("doc_id", pa.int64()), ("leader", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_())])
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    to = F.when(F.col("doc_id") == F.col("leader"), every).otherwise(F.array(_block(F.col("parts"), 1)))
+    placed = pairs.join(sizes, "leader").select("leader", "doc_id", "n", F.explode(to).alias("part"))
+    rows = placed.join(texts, "doc_id").select("leader", "part", "doc_id", "n", F.encode("text", "UTF-8").alias("t"))
+
+    def run(key, columns):
+        ids, n, own = columns
+        lead = np.array(ids) == key[0]
+        hit = like_leader(lead, own, similar)
+        keep = np.flatnonzero(~lead)
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([key[0]] * len(keep), pa.int64()), pa.array([n[i] for i in keep], pa.int64()), pa.array(hit[keep])], schema=schema)
+
+    return _by_group(rows, 2, run, "doc_id long, leader long, n long, linked boolean")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Links (u, v) among the members of each leader's group."""
-    size = pairs.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_BYTES).cast("int").alias("blocks"))
-    placed = pairs.select("doc_id", "leader").join(size, "leader").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    to = F.when(
-        F.col("doc_id") == F.col("leader"),
-        F.flatten(F.transform(other, lambda p: F.transform(F.sequence(p, F.col("blocks") - 1), lambda q: F.struct(p.alias("p"), q.alias("q"))))),
-    ).otherwise(F.transform(other, lambda q: F.struct(F.least("own", q).alias("p"), F.greatest("own", q).alias("q"))))
-    full = placed.join(texts, "doc_id").select("leader", "doc_id", "own", F.explode(to).alias("b"), F.encode("text", "UTF-8").alias("t"))
-    rows = full.select("leader", "b.p", "b.q", "doc_id", "own", "t").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q", "doc_id", "t")
+    sizes = stored(pairs.groupBy("leader").agg(_parts(F.col("n")).alias("parts"), (F.count("*") - 1).alias("members")), "sizes")
+    star = stored(starred(pairs, sizes, texts, similar), "star")
+    links = star.where("linked").select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
+    rest = star.groupBy("doc_id", "leader").agg(F.max("n").alias("n"), F.max("linked").alias("linked")).where("NOT linked")
+    rest = stored(rest.select("doc_id", "leader", "n", F.lit(True).alias("open")), "rest")
+    # groups in which someone is left, and someone else is there to be like
+    left = rest.groupBy("leader").agg(_parts(F.col("n")).alias("asking")).join(sizes.where("members > 1"), "leader")
+    left = stored(left.select("leader", "asking", "parts"), "left")
+    members = pairs.where("doc_id <> leader").join(left, "leader").join(rest.select("doc_id", "leader", "open"), ["doc_id", "leader"], "left")
+    asked = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda p: F.struct(F.lit(False).alias("asks"), p.alias("p"), _block(F.col("parts"), 1).alias("q")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.lit(True).alias("asks"), _block(F.col("asking"), 2).alias("p"), q.alias("q")))
+    is_open = F.coalesce("open", F.lit(False))
+    dealt = members.select("leader", "doc_id", is_open.alias("open"), F.explode(F.when(is_open, F.concat(asked, asks)).otherwise(asked)).alias("b"))
+    rows = dealt.join(texts, "doc_id").select("leader", "b.p", "b.q", "doc_id", "b.asks", "open", F.encode("text", "UTF-8").alias("t"))
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def run(batches):
-        key, ids, own, texts = None, [], [], []
-
-        def close():
-            lead, _, q = key
-            links = group_links(np.array(ids), (np.array(own) == q) & (key[1] != q), np.array(ids) == lead, texts, similar) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], schema=schema)
+    def run(_, columns):
+        ids, ask, is_open, own = columns
+        found = rest_links(np.array(ids), np.array(ask), np.array(is_open), own, similar) if any(ask) else []
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=schema)
 
-        for b in batches:
-            for lead, p, q, d, o, t in zip(*(c.to_pylist() for c in b.columns)):
-                if key != (lead, p, q):
-                    if key is not None:
-                        yield close()
-                    key, ids, own, texts = (lead, p, q), [], [], []
-                ids.append(d)
-                own.append(o)
-                texts.append(t)
-        if key is not None:
-            yield close()
-
-    return rows.mapInArrow(run, "u long, v long")
+    return links.unionByName(_by_group(rows, 3, run, "u long, v long"))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
