@@ -35,7 +35,13 @@ def _digit_class() -> str:
     """Characters for which Python's ``str.isdigit`` holds, by rule: decimal
     digits, and others such as superscripts and circled digits."""
     more = [c for c in range(0x80, sys.maxunicode + 1) if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd"]
-    return "[" + DIGIT + "".join(f"\\x{{{c:x}}}" for c in more) + "]"
+    runs: list[list[int]] = []
+    for c in more:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + DIGIT + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in runs) + "]"
 
 
 IS_DIGIT = _digit_class()
