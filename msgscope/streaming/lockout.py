@@ -91,6 +91,8 @@ def _prepare(events: DataFrame) -> DataFrame:
 #: Time span of a chunk.  A lock must not outlast it.
 CHUNK_US = 24 * 3_600_000_000
 SPAN_US = P.LOCKOUT_SECONDS * 1_000_000
+#: Rows that a task gathers before it hands them on.
+ROWS_OUT = 8_192
 SUMMARY = pa.schema([("identifier", pa.int64()), ("chunk", pa.int64()), ("exits", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
 SUMMARY_SCHEMA = "identifier long, chunk long, exits array<long>, starts array<long>, after array<long>"
 ENTRY_SCHEMA = "identifier long, chunk long, entry_attempts int, entry_lock_us long"
@@ -157,14 +159,27 @@ def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def lockout_batch(events: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
     def summed(batches):
+        rows = []
         for identifier, chunk, ts, _, ok in _groups(batches, 2):
-            exits, starts, after = _summary(ts.to_numpy(), ok.to_numpy(zero_copy_only=False), chunk[0].as_py() * chunk_us)
-            yield pa.RecordBatch.from_arrays([identifier[:1], chunk[:1], *(pa.array([x], pa.list_(pa.int64())) for x in (exits, starts, after))], schema=SUMMARY)
+            at = chunk[0].as_py()
+            rows.append((identifier[0].as_py(), at, *_summary(ts.to_numpy(), ok.to_numpy(zero_copy_only=False), at * chunk_us)))
+            if len(rows) >= ROWS_OUT:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), SUMMARY)], schema=SUMMARY)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), SUMMARY)], schema=SUMMARY)
 
     def decided(batches):
+        columns: list[list] = [[] for _ in OUT]
         for identifier, _, ts, event, ok, attempts, lock in _groups(batches, 2):
             d, n, until, _, _ = transitions(ts.to_numpy(), ok.to_numpy(zero_copy_only=False), attempts[0].as_py(), lock[0].as_py() or None)
-            yield pa.RecordBatch.from_arrays([event, identifier, pa.array(d, pa.string()), pa.array(n, pa.int32()), pa.array(until, pa.int64())], schema=OUT)
+            for held, new in zip(columns, (event.to_pylist(), identifier.to_pylist(), d, n, until)):
+                held.extend(new)
+            if len(columns[0]) >= ROWS_OUT:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, OUT)], schema=OUT)
+                columns = [[] for _ in OUT]
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, OUT)], schema=OUT)
 
     ev = _prepare(events).withColumn("chunk", F.floor(F.col("ts_us") / chunk_us).cast("long"))
     ev = ev.select(F.col("identifier").cast("long").alias("identifier"), "chunk", "ts_us", F.col("event_id").cast("long").alias("event_id"), "success")
