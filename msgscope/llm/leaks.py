@@ -7,15 +7,18 @@ in edit distance (words inserted, deleted or replaced).
 The CGK embedding walks along a row of words and writes the word it stands on at
 each step; a random bit for each word and step says whether it moves on.  Two
 rows a few edits apart soon walk in step again, so edit distance becomes Hamming
-distance, and sampled places of the output agree for near rows.  Items are
-classed by length; the windows of a class have half its least length, begin at
-every ``stride``-th word of a document, and at every word of the first half of
-an item, so a passage holds at least two aligned windows.  ``REPEATS``
-independent walks, each sampled at ``SAMPLES`` places, reach the target recall
-(measured in the tests).  A window's sampled words are looked up one place at a
+distance, and sampled places of the output agree for near rows.  Short
+items are classed by length, all of ``WINDOW`` words or more are one class.  A
+window has as many steps as its class has words at least, so about half as many
+words; windows begin at every ``stride``-th word of a document and at every word
+of an item up to its last whole window, so a passage holds an aligned window for
+each ``stride`` of its words, wherever its edits lie.  ``REPEATS`` independent
+walks, each sampled at ``SAMPLES`` places, reach the target recall (measured in
+the tests by length and kind of edits).  A window's sampled words are looked up one place at a
 time, and windows that no item can match any more stop walking.
 
-Candidates are verified: first by the number of the item's words nearby (a bound
+Candidates of one item that begin within its allowed edits of each other are
+looked at together.  They are verified: first by the number of the item's words nearby (a bound
 that loses nothing), then by exact edit distance to the best span.
 
 Items are the stated query set: they go through in blocks of bounded bytes, each
@@ -40,6 +43,7 @@ from msgscope.llm import textbuf as tb
 EDITS = 0.2
 REPEATS = 8
 SAMPLES = 4
+WINDOW = 16
 ITEM_BLOCK_BYTES = 4 << 20
 SLICE = 1 << 19
 TABLE_BITS = 16
@@ -66,7 +70,7 @@ def allowed(n: np.ndarray) -> np.ndarray:
 class Plan:
     """What one class looks for in one repeat."""
 
-    least: int  # items of least .. 2 * least - 1 words
+    least: int  # items of least .. 2 * least - 1 words, the last class of all from WINDOW on
     repeat: int
     places: np.ndarray  # sampled steps, ascending
     seen: list  # for each place, a table of the words that items show there
@@ -108,8 +112,8 @@ def walk(h: np.ndarray, bits: list, at: np.ndarray, places: np.ndarray, seen: li
 
 
 def classes_of(n: np.ndarray) -> np.ndarray:
-    """Least length of each length's class: the power of two below it."""
-    return 1 << (np.floor(np.log2(np.maximum(n, 1))).astype(np.int64))
+    """Least length of each length's class: the power of two below it, up to WINDOW."""
+    return np.minimum(1 << (np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)), WINDOW)
 
 
 class Items:
@@ -127,19 +131,21 @@ class Items:
         rng = np.random.default_rng(seed)
         kind = np.where(self.n > 0, classes_of(self.n), 0)
         # behind an item stand words that nothing equals
-        gap = int(self.n.max(initial=0)) + 2
+        gap = WINDOW + 2
         tail = tb.salted(np.arange(gap, dtype=np.uint64), 55)
         for least in np.unique(kind[kind > 0]):
             members = np.flatnonzero(kind == least)
-            shifts = max(1, int(least) // 2)
-            steps = int(least) if least > 1 else 1
+            steps = int(least)
+            # items of fewer than four words must occur exactly, from their first word on
+            shifts = self.n[members] - steps // 2 + 1 if least >= 4 else np.ones(len(members), np.int64)
             padded = np.concatenate([np.concatenate([self.h[self.off[i] : self.off[i + 1]], tail]) for i in members])
             first = np.concatenate([[0], np.cumsum(self.n[members] + gap)[:-1]])
-            at = (first[:, None] + np.arange(shifts)).ravel()
-            item, shift = np.repeat(members, shifts), np.tile(np.arange(shifts), len(members))
+            shift = tb.ragged(shifts)
+            at = np.repeat(first, shifts) + shift
+            item, shift = np.repeat(members, shifts).astype(np.int32), shift.astype(np.int32)
             for r in range(repeats):
                 places = np.sort(rng.choice(steps, min(samples, steps), replace=False))
-                if shifts == 1 and least < 4 and r:
+                if least < 4 and r:
                     break  # one or two places: all repeats are alike
                 bits = [_step_bits(padded, r, b) for b in range((steps >> 6) + 1)]
                 seen = []
@@ -163,7 +169,8 @@ class Items:
         return self.h[self.off[i] : self.off[i + 1]]
 
     def candidates(self, h: np.ndarray, by_row: np.ndarray):
-        """(row, item, where the item would begin) by the sampled walks."""
+        """(row, item, first and last place where the item would begin) by the
+        sampled walks; places at most the item's allowed edits apart are one."""
         out = []
         bits: dict = {}
         starts: dict = {}
@@ -185,19 +192,27 @@ class Items:
             row = np.searchsorted(by_row, pos, side="right") - 1
             out.append(np.stack([row, p.item[entry], pos - p.shift[entry]], axis=1))
         if not out:
-            return np.zeros((0, 3), np.int64)
-        return np.unique(np.concatenate(out), axis=0)
+            return np.zeros((0, 4), np.int64)
+        row, item, begin = np.concatenate(out).T
+        width = allowed(self.n[item]) + 1
+        order = np.lexsort((begin, item, row))
+        row, item, begin, part = row[order], item[order], begin[order], (begin // width)[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (part[1:] != part[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(row))[: len(first)] - 1
+        return np.stack([row[first], item[first], begin[first], begin[last]], axis=1)
 
     def likely(self, h: np.ndarray, by_row: np.ndarray, found: np.ndarray) -> np.ndarray:
         """Whether enough of the item's words stand near: each edit takes away one
         of its distinct words at most."""
         ok = np.zeros(len(found), dtype=bool)
         for a in range(0, len(found), 4096):
-            row, item, begin = found[a : a + 4096].T
+            row, item, begin, end = found[a : a + 4096].T
             n = self.n[item]
             k = allowed(n)
             low = np.maximum(begin - 2 * k, by_row[row])
-            high = np.minimum(begin + n + 2 * k, by_row[row + 1])
+            high = np.minimum(end + n + 2 * k, by_row[row + 1])
             width = high - low
             at = np.repeat(low, width) + tb.ragged(width)
             pair = self._pair(np.repeat(item, width), h[at])
@@ -212,12 +227,12 @@ class Items:
         found = self.candidates(h, by_row)
         found = found[self.likely(h, by_row, found)]
         best: dict = {}
-        for row, item, begin in found.tolist():
+        for row, item, begin, end in found.tolist():
             if best.get((row, item), (1, 0))[0] == 0:
                 continue
             n = int(self.n[item])
             k = int(allowed(n))
-            low, high = max(begin - 2 * k, int(by_row[row])), min(begin + n + 2 * k, int(by_row[row + 1]))
+            low, high = max(begin - 2 * k, int(by_row[row])), min(end + n + 2 * k, int(by_row[row + 1]))
             edits, first = best_span(self.words(item), h[low:high])
             if edits <= k:
                 new = (edits, low + first - int(by_row[row]))
