@@ -18,8 +18,10 @@ does.  Neighbouring windows share anchors: there are about
 
 What is shipped twice by one task is shipped once with its first start; the rest
 is known to repeat.  So a passage held by a third of all rows costs a group one
-entry a task, not one a row.  doc_id is the key: rows that share one count as the
-same document, a null doc_id sorts before all others.
+entry a task, not one a row.  A document is a doc_id and a text (by a 64-bit hash,
+``key``), in this order: rows that repeat both are the same document, different
+texts are different ones, whatever their ids, and a null doc_id sorts before all
+others.
 """
 
 from __future__ import annotations
@@ -60,6 +62,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id never null, key: hash of the text, text)."""
+    return keyed(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+
+def numbered(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each row in the order of (doc, key), doc and key of each number)."""
+    order = np.lexsort((key, doc))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, doc[order[new]], key[order[new]]
+
+
 def real_id(c: Column) -> Column:
     return F.when(c != NO_ID, c)
 
@@ -99,6 +116,11 @@ def segment_count(docs: DataFrame) -> int:
     return max(SEGMENTS, int(n) // SEGMENT_BYTES)
 
 
+def spread_of(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """A segment for each stretch of ``width`` positions of a document."""
+    return segment_of(tb.salted(doc.astype(np.uint64) ^ key.astype(np.uint64), 3) + pos.astype(np.uint64) // np.uint64(width), segments)
+
+
 def by_segment(segment: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(segment, kind="stable")
     edge = np.searchsorted(segment[order], np.arange(segments + 1))
@@ -119,7 +141,8 @@ def first_of_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def later(*keys: np.ndarray) -> np.ndarray:
     """For keys (value keys..., doc, pos): whether an equal value has an earlier
-    (doc, pos).  The same (doc, pos) twice (rows that share a doc_id) is one start."""
+    (doc, pos).  The same (doc, pos) twice (repeated rows) is one start.  ``doc`` is
+    a number by ``numbered``."""
     order, new = first_of_equal(*keys)
     doc, pos = keys[-2][order], keys[-1][order]
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
@@ -137,20 +160,20 @@ def joined(column, kind: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-ANCHORS = pa.schema([("seg", pa.int32()), ("cell", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("known_doc", pa.binary()), ("known_pos", pa.binary())])
-ANCHORS_SQL = "seg int, cell binary, doc binary, pos binary, known_doc binary, known_pos binary"
-FLAGGED = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32())])
+ANCHORS = pa.schema([("seg", pa.int32()), ("cell", pa.binary()), ("doc", pa.binary()), ("key", pa.binary()), ("pos", pa.binary()), ("known_doc", pa.binary()), ("known_key", pa.binary()), ("known_pos", pa.binary())])
+ANCHORS_SQL = "seg int, cell binary, doc binary, key binary, pos binary, known_doc binary, known_key binary, known_pos binary"
+FLAGGED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32())])
 
 
 def repeated_anchors(docs: DataFrame, units: Units, size: int, gram: int, slice_bytes: int) -> DataFrame:
-    """(doc_id, anchors: positions whose gram is estimated to occur twice or more)."""
+    """(doc_id, key, anchors: positions whose gram is estimated to occur twice or more)."""
     segments = segment_count(docs)
 
     def sketch(batches):
         held, n = [], 0
 
         def ship():
-            h, doc, pos = (np.concatenate(x) for x in zip(*held))
+            h, doc, key, pos = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(h, kind="stable")
             same = np.zeros(len(h), dtype=bool)
             same[1:] = h[order[1:]] == h[order[:-1]]
@@ -158,7 +181,7 @@ def repeated_anchors(docs: DataFrame, units: Units, size: int, gram: int, slice_
             twice[:-1] |= same[1:]
             first, known = order[~same], order[twice]
             to = segment_of(h[first], segments)
-            spread = (tb.salted(doc[known].astype(np.uint64) * np.uint64(65537) + pos[known].astype(np.uint64) // np.uint64(64), 3) % np.uint64(segments)).astype(np.int64)
+            spread = spread_of(doc[known], key[known], pos[known], 64, segments)
             known_by = dict(by_segment(spread, segments))
             none = np.zeros(0, np.int64)
             rows = dict(by_segment(to, segments))
@@ -166,12 +189,12 @@ def repeated_anchors(docs: DataFrame, units: Units, size: int, gram: int, slice_
                 i, j = first[np.sort(rows.get(s, none))], known[known_by.get(s, none)]
                 i = np.sort(i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), *(pa.array([binary(x, t)], pa.binary()) for x, t in ((h[i], "<u8"), (doc[i], "<i8"), (pos[i], "<i4"), (doc[j], "<i8"), (pos[j], "<i4")))],
+                    [pa.array([s], pa.int32()), *(pa.array([binary(x, t)], pa.binary()) for x, t in ((h[i], "<u8"), (doc[i], "<i8"), (key[i], "<i8"), (pos[i], "<i4"), (doc[j], "<i8"), (key[j], "<i8"), (pos[j], "<i4")))],
                     schema=ANCHORS,
                 )
 
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for a, _, raw, off in tb.slices(b, "text", slice_bytes):
                 values, by_row = units(raw, off)
                 grams, _, at = window_anchors(values, by_row, size, gram)
@@ -179,7 +202,7 @@ def repeated_anchors(docs: DataFrame, units: Units, size: int, gram: int, slice_
                     continue
                 at = at[np.concatenate([[True], at[1:] != at[:-1]])].astype(np.int64)
                 row = np.searchsorted(by_row, at, side="right") - 1
-                held.append((grams[at], ids[a + row], (at - by_row[row]).astype(np.int32)))
+                held.append((grams[at], ids[a + row], keys[a + row], (at - by_row[row]).astype(np.int32)))
                 n += len(at)
                 if n >= HOLD:
                     yield from ship()
@@ -188,7 +211,7 @@ def repeated_anchors(docs: DataFrame, units: Units, size: int, gram: int, slice_
             yield from ship()
 
     def merge(table: pa.Table) -> pa.Table:
-        h, doc, pos = joined(table["cell"], "<u8"), joined(table["doc"], "<i8"), joined(table["pos"], "<i4")
+        h, doc, key, pos = (joined(table[c], t) for c, t in (("cell", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("pos", "<i4")))
         least = None
         width = np.uint64(1 << max(10, int(4 * len(h)).bit_length()))
         for row in range(2):  # the rows of the merged sketch of this range
@@ -199,13 +222,14 @@ def repeated_anchors(docs: DataFrame, units: Units, size: int, gram: int, slice_
         return pa.table(
             [
                 pa.array(np.concatenate([doc[twice], joined(table["known_doc"], "<i8")]), pa.int64()),
+                pa.array(np.concatenate([key[twice], joined(table["known_key"], "<i8")]), pa.int64()),
                 pa.array(np.concatenate([pos[twice], joined(table["known_pos"], "<i4")]), pa.int32()),
             ],
             schema=FLAGGED,
         )
 
-    found = docs.mapInArrow(sketch, ANCHORS_SQL).groupBy("seg").applyInArrow(merge, "doc_id long, pos int")
-    return found.groupBy("doc_id").agg(F.collect_set("pos").alias("anchors"))
+    found = docs.mapInArrow(sketch, ANCHORS_SQL).groupBy("seg").applyInArrow(merge, "doc_id long, key long, pos int")
+    return found.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("anchors"))
 
 
 def flagged_windows(raw, off, anchors, units: Units, size: int, gram: int):
@@ -216,7 +240,8 @@ def flagged_windows(raw, off, anchors, units: Units, size: int, gram: int):
     if len(starts):
         mark = np.zeros(len(grams) + 1, dtype=bool)
         flat, edges = anchors
-        mark[np.repeat(by_row[:-1], np.diff(edges)) + flat] = True
+        place = np.repeat(by_row[:-1], np.diff(edges)) + flat
+        mark[place[place < np.repeat(by_row[1:], np.diff(edges))]] = True  # see removed_mask
         keep = mark[at]
         starts, at = starts[keep], at[keep].astype(np.int64)
     return values, by_row, grams, starts, at
@@ -231,9 +256,9 @@ def list_slice(column: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray
 
 def with_spans(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """docs with ``spans``: array of (start, n) windows removed, null if none.
-    ``removed`` is (doc_id, start, n) for runs of window starts."""
-    spans = removed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return docs.join(spans, "doc_id", "left")
+    ``removed`` is (doc_id, key, start, n) for runs of window starts."""
+    spans = removed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    return docs.join(spans, ["doc_id", "key"], "left")
 
 
 def removed_mask(n: int, by_row: np.ndarray, spans: pa.Array, a: int, b: int, size: int) -> np.ndarray:
@@ -250,7 +275,7 @@ def removed_mask(n: int, by_row: np.ndarray, spans: pa.Array, a: int, b: int, si
         length = own.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
         base = np.repeat(by_row[:-1], counts)
         end = np.minimum(base + start + length - 1 + size, np.repeat(by_row[1:], counts))
-        ok = base + start < end  # rows that share a doc_id may differ in length
+        ok = base + start < end  # texts of one id whose hashes are equal by chance may differ in length
         np.add.at(change, (base + start)[ok], 1)
         np.add.at(change, end[ok], -1)
     return np.cumsum(change[:-1]) > 0

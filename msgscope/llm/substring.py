@@ -8,7 +8,8 @@ estimates how often each window's anchor occurs by merged count-min sketches
 repeat, by 64-bit hashes of the window within equal 64-bit anchors.
 
 Null or empty texts, and texts of fewer words than a window, lose nothing.  Rows
-that share a doc_id count as one document.  Columns other than doc_id and text
+that share doc_id and text count as one document, different texts of one id (or
+of no id) as several, in the order of a hash.  Columns other than doc_id and text
 are not read.  An empty table gives an empty result.
 """
 
@@ -28,9 +29,9 @@ GRAM = 8
 SLICE = 1 << 20
 ANCHORS_A_SEGMENT = 50_000
 
-RUNS = pa.schema([("seg", pa.int32()), ("gram", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("n", pa.binary()), ("hash", pa.binary()), ("known_doc", pa.binary()), ("known_pos", pa.binary()), ("known_n", pa.binary())])
-RUNS_SQL = "seg int, gram binary, doc binary, pos binary, n binary, hash binary, known_doc binary, known_pos binary, known_n binary"
-SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+RUNS = pa.schema([("seg", pa.int32()), ("gram", pa.binary()), ("doc", pa.binary()), ("key", pa.binary()), ("pos", pa.binary()), ("n", pa.binary()), ("hash", pa.binary()), ("known_doc", pa.binary()), ("known_key", pa.binary()), ("known_pos", pa.binary()), ("known_n", pa.binary())])
+RUNS_SQL = "seg int, gram binary, doc binary, key binary, pos binary, n binary, hash binary, known_doc binary, known_key binary, known_pos binary, known_n binary"
+SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
 def runs(*same: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,36 +46,37 @@ def runs(*same: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removed_windows(docs: DataFrame, anchors: DataFrame, size: int = SIZE, gram: int = GRAM, segments: int = rp.SEGMENTS) -> DataFrame:
-    """(doc_id, start, n): runs of windows that also start earlier."""
+    """(doc_id, key, start, n): runs of windows that also start earlier."""
 
     def ship_runs(batches):
         held, n = [], 0
 
         def ship():
-            g, h, doc, pos = (np.concatenate(x) for x in zip(*held))
+            g, h, doc, key, pos = (np.concatenate(x) for x in zip(*held))
+            doc, ids, keys = rp.numbered(doc, key)
             late = rp.later(h, g, doc, pos)
             first, length = runs(g, doc, late, step=pos)
             own, known = first[~late[first]], first[late[first]]
             own_n, known_n = length[~late[first]], length[late[first]]
             to = dict(rp.by_segment(rp.segment_of(g[own], segments), segments))
-            spread = (tb.salted(doc[known].astype(np.uint64) + pos[known].astype(np.uint64) // np.uint64(256), 3) % np.uint64(segments)).astype(np.int64)
+            spread = rp.spread_of(ids[doc[known]], keys[doc[known]], pos[known], 256, segments)
             known_by = dict(rp.by_segment(spread, segments))
             none = np.zeros(0, np.int64)
             for s in to.keys() | known_by.keys():
                 i, j = to.get(s, none), known_by.get(s, none)
                 every = np.repeat(own[i], own_n[i]) + tb.ragged(own_n[i])
-                cols = ((g[own[i]], "<u8"), (doc[own[i]], "<i8"), (pos[own[i]], "<i4"), (own_n[i], "<i4"), (h[every], "<u8"), (doc[known[j]], "<i8"), (pos[known[j]], "<i4"), (known_n[j], "<i4"))
+                cols = ((g[own[i]], "<u8"), (ids[doc[own[i]]], "<i8"), (keys[doc[own[i]]], "<i8"), (pos[own[i]], "<i4"), (own_n[i], "<i4"), (h[every], "<u8"), (ids[doc[known[j]]], "<i8"), (keys[doc[known[j]]], "<i8"), (pos[known[j]], "<i4"), (known_n[j], "<i4"))
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([rp.binary(x, t)], pa.binary()) for x, t in cols)], schema=RUNS)
 
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            lists = b.column(2)
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            lists = b.column(3)
             for a, z, raw, off in tb.slices(b, "text", SLICE):
                 values, by_row, grams, starts, at = rp.flagged_windows(raw, off, rp.list_slice(lists, a, z), rp.word_units, size, gram)
                 if not len(starts):
                     continue
                 row = np.searchsorted(by_row, starts, side="right") - 1
-                held.append((grams[at], tb.run_hash(tb.prefix(tb.salted(values, 9)), size)[starts], ids[a + row], starts - by_row[row]))
+                held.append((grams[at], tb.run_hash(tb.prefix(tb.salted(values, 9)), size)[starts], ids[a + row], keys[a + row], starts - by_row[row]))
                 n += len(starts)
                 if n >= rp.HOLD:
                     yield from ship()
@@ -84,26 +86,28 @@ def removed_windows(docs: DataFrame, anchors: DataFrame, size: int = SIZE, gram:
 
     def compare(table: pa.Table) -> pa.Table:
         n = rp.joined(table["n"], "<i4").astype(np.int64)
-        g, doc = (np.repeat(rp.joined(table[c], t), n) for c, t in (("gram", "<u8"), ("doc", "<i8")))
+        doc, ids, keys = rp.numbered(rp.joined(table["doc"], "<i8"), rp.joined(table["key"], "<i8"))
+        g, doc = np.repeat(rp.joined(table["gram"], "<u8"), n), np.repeat(doc, n)
         pos = np.repeat(rp.joined(table["pos"], "<i4").astype(np.int64), n) + tb.ragged(n)
         late = rp.later(rp.joined(table["hash"], "<u8"), g, doc, pos)
         doc, pos = doc[late], pos[late]
         first, length = runs(doc, step=pos)
         return pa.table(
             [
-                pa.array(np.concatenate([doc[first], rp.joined(table["known_doc"], "<i8")]), pa.int64()),
+                pa.array(np.concatenate([ids[doc[first]], rp.joined(table["known_doc"], "<i8")]), pa.int64()),
+                pa.array(np.concatenate([keys[doc[first]], rp.joined(table["known_key"], "<i8")]), pa.int64()),
                 pa.array(np.concatenate([pos[first], rp.joined(table["known_pos"], "<i4")]), pa.int32()),
                 pa.array(np.concatenate([length, rp.joined(table["known_n"], "<i4")]), pa.int32()),
             ],
             schema=SPANS,
         )
 
-    return docs.join(anchors, "doc_id").select("doc_id", "text", "anchors").mapInArrow(ship_runs, RUNS_SQL).groupBy("seg").applyInArrow(compare, "doc_id long, start int, n int")
+    return docs.join(anchors, ["doc_id", "key"]).select("doc_id", "key", "text", "anchors").mapInArrow(ship_runs, RUNS_SQL).groupBy("seg").applyInArrow(compare, "doc_id long, key long, start int, n int")
 
 
 def dedup_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept: remaining words joined by one space)."""
-    docs = rp.keyed(docs)
+    docs = rp.row_keyed(docs)
     anchors = rp.stored_anchors(docs, rp.word_units, size, gram, SLICE)
     flagged = anchors.agg(F.sum(F.size("anchors"))).collect()[0][0] or 0
     segments = max(rp.SEGMENTS, flagged // ANCHORS_A_SEGMENT)
