@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from msgscope.llm import bpe, bwt, langid, leaks, ledger, lines, near, quality, rans, substring, treebpe
+from msgscope.llm import bpe, bwt, langid, leaks, ledger, lines, near, quality, rans, repair, substring, treebpe
 from msgscope.sources.tables import read_table
 
 
@@ -57,12 +57,16 @@ def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.round_trip_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.summary(repair.damage(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_spread, op2_probminhash, op3_cgk_leaks, op4_rans_tokens, op5_pairwise_quality, op6_rule_ledger,
         op7_byte_cnn_language, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes,
-        op11_tree_bpe,
+        op11_tree_bpe, op12_run_length_repair,
     )
 }
 ORACLE: dict[str, str] = {
