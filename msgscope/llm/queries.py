@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from msgscope.llm import bpe, bwt, langid, leaks, ledger, lines, near, quality, rans, repair, substring, treebpe
+from msgscope.llm import bpe, bwt, langid, leaks, ledger, lines, near, quality, rans, repair, substring, treebpe, trie
 from msgscope.sources.tables import read_table
 
 
@@ -61,12 +61,16 @@ def op12_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.summary(repair.damage(read_table(spark, sf_dir, "conversations")))
 
 
+def op13_ternary_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_digest(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_spread, op2_probminhash, op3_cgk_leaks, op4_rans_tokens, op5_pairwise_quality, op6_rule_ledger,
         op7_byte_cnn_language, op8_byte_bpe, op9_substring_windows, op10_suffix_bytes,
-        op11_tree_bpe, op12_run_length_repair,
+        op11_tree_bpe, op12_run_length_repair, op13_ternary_trie,
     )
 }
 ORACLE: dict[str, str] = {
@@ -74,4 +78,5 @@ ORACLE: dict[str, str] = {
     "op6_rule_ledger": ledger.digest_sql(),
     "op9_substring_windows": substring.digest_sql(),
     "op10_suffix_bytes": bwt.digest_sql(),
+    "op13_ternary_trie": trie.digest_sql(),
 }
