@@ -5,13 +5,14 @@ its words, if fewer).  Similarity is the probability Jaccard of two documents,
 ``sum over common d of 1 / sum over d' of max(a(d')/a(d), b(d')/b(d))``; with
 equal counts it is the plain Jaccard of the shingle sets.  0.8 or more is a link.
 
-1. Equal texts fold into the least doc_id that has them (by a 128-bit hash).
+1. Equal texts fold into one node (by a 128-bit hash).  Nodes are numbered in the
+   order of (least doc_id, hash), by ranges over the cluster.
 2. Signatures: every shingle sends arrivals of a Poisson process of the rate of
    its count to random registers, and stops once an arrival comes after the
    latest register; a register keeps the shingle that came first, so two documents
    agree in a register with a probability of their similarity.
 3. Banding: ``BANDS`` hashes of ``ROWS`` registers each.  Each bucket's least
-   doc_id leads it; every other member is paired with that leader, once however
+   node leads it; every other member is paired with that leader, once however
    many buckets say so.  No other pairs are made.
 4. Verification: exact similarity to the leader, in blocks of bounded size that
    each hold the leader.  Whoever isn't linked to it (the rest of its group) is
@@ -21,12 +22,12 @@ equal counts it is the plain Jaccard of the shingle sets.  0.8 or more is a link
 5. Connected components of the links give the classes.
 
 Word: a run of characters other than space and \\t \\n \\v \\f \\r, unchanged.  A
-document without words (null, empty) is like no other text but its exact copies:
-null and empty texts are equal and empty, and each such document is a class of
-its own.  Rows that share a doc_id are one document, also if their texts differ;
-rows with a null doc_id are one document, whose class may be the null id.  An
-empty table gives an empty result.  Columns other than doc_id and text are not
-read.
+document without words (null, empty) is like no other, so it is a class of its own
+and stays.  Documents are told apart by doc_id and text: different texts of one
+doc_id, or of rows without one, are different documents, and their classes have
+the same number where their least doc_ids are equal.  A null doc_id is the least,
+and the number of its class.  An empty table gives an empty result.  Columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from msgscope.llm import textbuf as tb
 from msgscope.llm.components import components
-from msgscope.llm.repeats import keyed, real_id
+from msgscope.llm.repeats import NO_ID, keyed, real_id
 from msgscope.llm.spill import stored
 
 SHINGLE = 5
@@ -134,21 +135,23 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
 # --------------------------------------------------------------------- stages
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep: the least doc_id with the same text) of every row; a row
-    without words is its own rep."""
-    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    own = stored(docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), empty.alias("empty")), "hashes")
-    full = own.where("NOT empty")
-    # a table of its own, so that Spark can split the join's hot keys
-    least = stored(full.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "firsts")
-    folded = full.join(least, ["a", "b"]).select("doc_id", "rep")
-    return stored(folded.unionByName(own.where("empty").select("doc_id", F.col("doc_id").alias("rep"))), "copies")
+def hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text's 128-bit hash (a, b)."""
+    return docs.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
+
 
+def nodes(rows: DataFrame) -> DataFrame:
+    """(node, a, b, rep: the least doc_id with that text) of every text with words,
+    numbered in the order of (rep, a, b)."""
+    firsts = stored(rows.where("NOT empty").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "firsts")
+    order = firsts.repartitionByRange("rep", "a", "b").sortWithinPartitions("rep", "a", "b")
+    return stored(order.select(F.monotonically_increasing_id().alias("node"), "a", "b", "rep"), "nodes")
 
-def bands(docs: DataFrame) -> DataFrame:
-    """(doc_id, n: bytes of text, bands array<long>) of every row with words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+def bands(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n: bytes of text, bands array<long>) and the long columns ``more``
+    of every row with words."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", *more, "n")] + [("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for big in batches:
@@ -163,9 +166,11 @@ def bands(docs: DataFrame) -> DataFrame:
                     place[own] = np.arange(len(own))
                     keys = band_hashes(signatures(place[row], h, w, len(own)))
                     lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel().view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a).take(pa.array(own)), pa.array(np.diff(off)[own]), lists], schema=schema)
+                    told = [b.column(i).slice(a, z - a).take(pa.array(own)) for i in range(len(more) + 1)]
+                    yield pa.RecordBatch.from_arrays([*told, pa.array(np.diff(off)[own]), lists], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, bands array<bigint>")
+    sql = "".join(f"{c} long, " for c in ("doc_id", *more, "n")) + "bands array<bigint>"
+    return docs.select("doc_id", *more, "text").mapInArrow(run, sql)
 
 
 def led_pairs(keys: DataFrame) -> DataFrame:
@@ -173,7 +178,7 @@ def led_pairs(keys: DataFrame) -> DataFrame:
     each leader with itself."""
     each = keys.select("doc_id", "n", F.explode("bands").alias("k"))
     buckets = each.groupBy("k").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("k", "leader")
-    buckets = stored(buckets, "buckets")  # a table of its own: see copies
+    buckets = stored(buckets, "buckets")  # a table of its own, so that Spark can split the join's hot keys
     return each.join(buckets, "k").groupBy("doc_id", "leader").agg(F.max("n").alias("n"))
 
 
@@ -311,37 +316,49 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
     return links.unionByName(_by_group(rows, 3, run, "u long, v long"))
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id: the least doc_id of its class) of every row; both with
-    the stand-in of a null id (see ``keyed``)."""
-    same = copies(docs)
-    reps = same.where("doc_id = rep").select("doc_id").distinct()
-    keys = stored(bands(docs).join(reps, "doc_id", "left_semi"), "bands")
+def classes(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Tables of the rows of ``docs`` (see ``keyed``): (doc_id, a, b, empty), and for
+    each text with words (a, b, rep, class_id: the least doc_id of its class,
+    first: whether it is the class's least node)."""
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = stored(hashed(docs).select("doc_id", "a", "b", empty.alias("empty")), "hashes")
+    node = nodes(rows)
+    text = ["a", "b", "doc_id"]
+    numbers = node.withColumnRenamed("rep", "doc_id")
+    found = bands(hashed(docs), ("a", "b")).join(numbers, text).select(F.col("node").alias("doc_id"), "n", "bands")
+    keys = stored(found.dropDuplicates(["doc_id"]), "bands")
     pairs = stored(led_pairs(keys), "pairs")
-    # the ids grow with the corpus: the same join at every size
-    asked = pairs.select("doc_id").distinct().hint("merge")
-    texts = stored(docs.where(F.col("text").isNotNull()).join(asked, "doc_id", "left_semi"), "texts")
-    split = same.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("u", "v")
-    roots = components(verified(pairs, texts, similar).unionByName(split))
-    return same.join(roots, same["rep"] == roots["u"], "left").select("doc_id", F.coalesce("v", "rep").alias("class_id"))
+    # they grow with the corpus: the same join at every size
+    asked = numbers.join(pairs.select(F.col("doc_id").alias("node")).distinct(), "node").hint("merge")
+    own = hashed(docs.where(F.col("text").isNotNull())).join(asked, text)
+    texts = stored(own.select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
+    roots = components(verified(pairs, texts, similar))
+    least = node.select(F.col("node").alias("v"), F.col("rep").alias("class_id"))
+    other = stored(roots.join(least, "v").select(F.col("u").alias("node"), "class_id"), "others")
+    every = node.join(other, "node", "left").select("a", "b", "rep", F.coalesce("class_id", "rep").alias("class_id"), F.col("class_id").isNull().alias("first"))
+    return rows, stored(every, "classes")
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id, of every row."""
-    return classes(keyed(docs), similar).select(real_id(F.col("doc_id")).alias("doc_id"), real_id(F.col("class_id")).alias("class_id"))
+    rows, found = classes(keyed(docs), similar)
+    alone = rows.where("empty").select("doc_id", F.col("doc_id").alias("class_id"))
+    out = rows.where("NOT empty").join(found, ["a", "b"]).select("doc_id", "class_id").unionByName(alone)
+    return out.select(real_id(F.col("doc_id")).alias("doc_id"), real_id(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs``, unchanged, without all but one document of each
-    class (the one with the least doc_id) and without repeated rows of a doc_id
-    (the least row stays)."""
-    own = keyed(docs)
-    found = stored(classes(own, similar), "classes").groupBy("doc_id").agg(F.min("class_id").alias("c"), F.count("*").alias("n"))
-    gone = found.where("c <> doc_id OR n > 1").select(F.col("doc_id").alias("gone_id"))
-    again = found.where("c = doc_id AND n > 1").select(F.col("doc_id").alias("again_id"))
+    """The rows of ``docs``, unchanged, but of each class only the one that comes
+    first: of its least node the row with the least doc_id, of repeated rows the
+    least.  So no text goes unless one like it stays."""
+    rows, found = classes(keyed(docs), similar)
+    key = ["doc_id", "a", "b"]
+    told = rows.where("NOT empty").groupBy(*key).agg(F.count("*").alias("n")).join(found, ["a", "b"])
+    stays = F.col("first") & (F.col("doc_id") == F.col("rep"))
+    # they grow with the corpus: the same join at every size
+    marked = stored(told.where(~stays | (F.col("n") > 1)).select(*key, stays.alias("again")), "marked")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("key"), row)
-    gone = gone.hint("merge")  # it grows with the corpus: the same join at every size
-    single = rows.join(gone, F.col("key") == F.col("gone_id"), "left_anti").select("row")
-    least = rows.join(again, F.col("key") == F.col("again_id"), "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    every = hashed(docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), docs["text"].cast("string").alias("text"), row))
+    single = every.join(marked.hint("merge"), key, "left_anti").select("row")
+    least = every.join(marked.where("again").hint("merge"), key, "left_semi").groupBy(*key).agg(F.min("row").alias("row")).select("row")
     return single.unionByName(least).select(*[F.col("row")[c].alias(c) for c in docs.columns])

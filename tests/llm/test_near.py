@@ -27,24 +27,33 @@ def exact(a, b):
 
 
 def expect(data):
-    """Class of each doc_id by all pairs."""
-    by = {}
+    """(doc_id, text, class) of each row, by all pairs of texts."""
+    first = {}
     for d, t, *_ in data:
-        by.setdefault(d, []).append(shingles(t))
-    up = {d: d for d in by}
+        if WORD.search(t or ""):
+            first[t] = min(first.get(t, (2, 0)), (d is not None, d or 0))
+    texts = sorted(first, key=lambda t: first[t])
+    own = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    ids = sorted(by)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if root(a) != root(b) and any(x and y and exact(x, y) >= 0.8 for x in by[a] for y in by[b]):
-                x, y = sorted((root(a), root(b)))
+    for i, a in enumerate(own):
+        for j, b in enumerate(own[:i]):
+            if root(i) != root(j) and exact(a, b) >= 0.8:
+                x, y = sorted((root(i), root(j)))
                 up[y] = x
-    return {d: root(d) for d in ids}
+    at = {t: i for i, t in enumerate(texts)}
+    of = lambda t: first[texts[root(at[t])]]
+    return [(d, t, (of(t)[1] if of(t)[0] else None) if t in at else d) for d, t, *_ in data]
+
+
+def same(got, data):
+    pairs = lambda rows: sorted(((r[0], r[-1]) for r in rows), key=str)
+    return pairs(got) == pairs(expect(data))
 
 
 def family(seed, n, at, size=90):
@@ -90,42 +99,61 @@ def test_signatures_estimate_it():
 def test_classes_against_all_pairs(spark, seed):
     data = corpus.rows(seed)[:] + family(seed, 40, 1000) + family(seed + 9, 25, 2000, 14) + [(3000, "a b c", "", "", 0), (3001, "a  b c", "", "", 0), (3002, "a b", "", "", 0)]
     data = [r for r in data if not r[1] or len(r[1]) < 20_000]
-    got = near.near_classes(corpus.frame(spark, data)).collect()
-    assert len(got) == len(data)
-    assert {r["doc_id"]: r["class_id"] for r in got} == expect(data)
+    assert same(near.near_classes(corpus.frame(spark, data)).collect(), data)
 
 
 def test_a_group_dealt_in_blocks(spark, monkeypatch):
     data = family(5, 120, 0)
-    want = expect(data)
     monkeypatch.setattr(near, "BLOCK_BYTES", 9_000)
     docs = near.keyed(corpus.frame(spark, data))
     links = near.verified(near.led_pairs(near.bands(docs)), docs)
     assert links.where("u = v").count() == 0 and links.count() > 0
-    got = near.near_classes(corpus.frame(spark, data)).collect()
-    assert {r["doc_id"]: r["class_id"] for r in got} == want
+    assert same(near.near_classes(corpus.frame(spark, data)).collect(), data)
+
+
+def kept(spark, data):
+    docs = corpus.frame(spark, data).withColumn("a", F.lit(1)).withColumn("class_id", F.lit("c")).withColumn("row", F.lit(2.0)).withColumn("node", F.lit(0))
+    assert same(near.near_classes(docs).collect(), data)
+    out = near.keep_one(docs)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+
+def test_no_text_is_lost_with_its_id(spark):
+    say = lambda i: f"text number {i} has words {i * 7} of {i * 11} its {i * 13} own {i * 17}"
+    unrelated = [(None, say(i), "", "", 0) for i in range(5)] + [(7, say(8), "", "", 0), (7, say(9), "", "", 0)]
+    assert kept(spark, unrelated) == sorted(((d, t) for d, t, *_ in unrelated), key=str)
+    shared = [(700, say(1), "", "", 0), (700, say(2), "", "", 0), (701, say(2), "", "", 0)]
+    assert kept(spark, shared) == sorted([(700, say(1)), (700, say(2))])
 
 
 def test_repeated_ids_nulls_and_one_kept(spark):
     f = family(8, 6, 10)
     data = f + [f[0], f[0], (500, f[2][1], "x", "y", 1), (None, f[3][1], "", "", 0), (None, "own words here for the null row", "", "", 0)]
-    data += [(600, None, "", "", 0), (601, "", "", "", 0), (602, " \n", "", "", 0), (603, "", "", "", 0)]
-    data += [(700, "first text of this id and more words", "", "", 0), (700, "second text that is quite another one", "", "", 0), (701, "second text that is quite another one", "", "", 0)]
-    docs = corpus.frame(spark, data).withColumn("k", F.lit(1)).withColumn("class_id", F.lit("c")).withColumn("row", F.lit(2.0))
-    got = near.near_classes(docs).collect()
-    assert len(got) == len(data)
-    cls = {r["doc_id"]: r["class_id"] for r in got}
-    assert cls[600] == 600 and cls[601] == 601 and cls[603] == 603
-    assert cls[701] == cls[700] == 700
-    assert cls[None] is None and cls[500] is None
-    kept = near.keep_one(docs)
-    assert kept.schema.simpleString() == docs.schema.simpleString()
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and set(ids) == {d for d, c in cls.items() if d == c}
+    data += [(600, None, "", "", 0), (601, "", "", "", 0), (602, " \n", "", "", 0), (603, "", "", "", 0), (None, None, "", "", 0)]
+    got = kept(spark, data)
+    classes = {t: c for _, t, c in expect(data) if WORD.search(t or "")}
+    of = [classes[t] for _, t in got if t in classes]
+    # one row stays of each class, and the class has that row's id
+    assert len(got) == len(set(classes.values())) + 1 + 5 and [d for d, t in got if t in classes] == of
     none = corpus.frame(spark, [], parts=1)
     assert near.near_classes(none).count() == 0 and near.keep_one(none).count() == 0
 
 
+def test_long_texts(spark):
+    """Megabytes of text, one a near copy of the other."""
+    rng = random.Random(3)
+    w = corpus.words(rng, 250_000, 10**6)
+    near_copy = w[:]
+    for i in range(0, len(w), 400):
+        near_copy[i] = "zz"
+    other = corpus.words(rng, 250_000, 10**6)
+    data = [(5, " ".join(w), "", "", 0), (2, " ".join(near_copy), "", "", 0), (1, " ".join(other), "", "", 0), (9, "short", "", "", 0)]
+    docs = corpus.frame(spark, data)
+    assert {tuple(r) for r in near.near_classes(docs).collect()} == {(5, 2), (2, 2), (1, 1), (9, 9)}
+    assert sorted(r["doc_id"] for r in near.keep_one(docs).collect()) == [1, 2, 9]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(25)] + [(7, 7)]
