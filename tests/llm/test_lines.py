@@ -9,7 +9,7 @@ from msgscope.llm import lines
 from tests.llm import corpus
 
 
-def expect(data, min_sites, max_share=lines.MAX_SHARE):
+def expect(data, min_sites):
     sites = defaultdict(set)
     trim = lambda x: x.strip(" \t\r")
     for _, t, _, s, _ in data:
@@ -19,7 +19,7 @@ def expect(data, min_sites, max_share=lines.MAX_SHARE):
     for d, t, *_ in data:
         every = (t or "").split("\n")
         hit = [bool(trim(x)) and len(sites[trim(x)]) >= min_sites for x in every]
-        cut = sum(len(trim(x)) for x, h in zip(every, hit) if h) <= max_share * sum(len(trim(x)) for x in every)
+        cut = any(trim(x) and not h for x, h in zip(every, hit))
         kept = "\n".join(x for x, h in zip(every, hit) if not (h and cut))
         out.append((d, sum(bool(trim(x)) for x in every), sum(hit) if cut else 0, hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=str)
@@ -62,5 +62,15 @@ def test_rows_keep_their_columns(spark):
     assert [r["text"] for r in got if r["doc_id"] == 502] == ["Menu"]
 
 
+def test_long_texts(spark):
+    """A page of 1 MB and a line of 1 MB; short pages that are mostly boilerplate."""
+    rows = [(i, f"a menu of many words on every page\nown {i}", "en", f"s{i}", 1) for i in range(12)]
+    rows += [(100, "a menu of many words on every page\n" + "own line of words\n" * 60_000, "", "s1", 1), (101, "a menu of many words on every page\n" + "w " * 500_000, "", "s2", 1)]
+    rows += [(102, "a menu of many words on every page", "", "s3", 1), (103, "a menu of many words on every page\n" * 30_000, "", "s3", 1)]
+    got = sorted(map(tuple, lines.line_digest(corpus.frame(spark, rows)).collect()), key=str)
+    assert got == expect(rows, 10)
+    assert {r[0]: r[2] for r in got} == dict.fromkeys(range(12), 1) | {100: 1, 101: 1, 102: 0, 103: 0}
+
+
 def test_an_empty_table(spark):
     assert lines.line_digest(corpus.frame(spark, [], parts=1)).count() == 0
