@@ -6,8 +6,8 @@ trained in numpy on windows of labelled texts and applied to all windows of
 every text, in batches: the window log-probabilities, weighted by length, add up
 to the prediction of a document.
 
-The fit sees about ``SAMPLE_DOCS`` documents of each language (those whose hash
-falls under the language's share) and ``DOC_WINDOWS`` windows of each.  lang,
+The fit sees the ``SAMPLE_DOCS`` distinct texts of each language with the least
+hashes and ``DOC_WINDOWS`` windows of each; repeated rows count once.  lang,
 source and doc_id are never inputs of a prediction.  Rows held out (crc32 of
 doc_id mod 5 is 0) and rows with a null lang teach nothing.
 
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgscope.llm import textbuf as tb
@@ -35,6 +35,9 @@ DIM = 8
 SAMPLE_DOCS = 1_500
 DOC_WINDOWS = 3
 EPOCHS = 4
+LEAST_STEPS = 200
+#: The most frequent language has at most so many times a language's windows.
+RARE = 8
 BATCH = 64
 RATE = 0.01
 UNKNOWN = "und"
@@ -103,9 +106,11 @@ def fit(windows: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 11) ->
     first = {k: np.zeros_like(getattr(net, k)) for k in names}
     second = {k: np.zeros_like(getattr(net, k)) for k in names}
     live = net.conv != 0
-    steps = EPOCHS * -(-len(windows) // BATCH)
+    a_round = -(-len(windows) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // a_round))  # few windows are seen more often
+    steps = epochs * a_round
     t = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
             t += 1
@@ -159,17 +164,16 @@ def windows_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, row, size
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network | None:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    own = own.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (bucket(F.col("doc_id"), 5) != 0))
-    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # a row for each class of the model
-    langs = sorted(sizes)
-    if not langs:
-        return None
-    share = {lang: min(1.0, sample_docs / n) for lang, n in sizes.items()}
-    part = F.pmod(F.xxhash64(F.lit(3), "doc_id", F.xxhash64("text")), F.lit(1 << 30)) / (1 << 30)
-    bound = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
-    schema = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("bytes", pa.binary())])
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(lang, h, h2: hash of the text, bytes: a window): at most DOC_WINDOWS windows
+    of ``sample_docs`` distinct texts of each language, from rows that may teach."""
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(3), text).alias("h"), F.xxhash64(F.lit(4), text).alias("h2"), text.alias("text"), F.col("doc_id").alias("doc_id"))
+    own = own.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (bucket(F.col("doc_id").cast("long"), 5) != 0))
+    key = ["lang", "h", "h2"]
+    least = Window.partitionBy("lang").orderBy("h", "h2")
+    chosen = own.select(*key).distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample_docs).select(*key)
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("h2", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -181,14 +185,25 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network | None:
                 gap = np.maximum(1, total // DOC_WINDOWS)[row]
                 take = np.flatnonzero((nth % gap == 0) & (nth // gap < DOC_WINDOWS))
                 which = pa.array(row[take])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, z - a).take(which), b.column(1).slice(a, z - a).take(which), pa.array([win[i].tobytes() for i in take], pa.binary())], schema=schema
-                )
-
-    got = own.where(part < bound).select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id long, bytes binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["bytes"]))
-    place = {lang: i for i, lang in enumerate(langs)}
-    return fit(np.array([np.frombuffer(r["bytes"], np.uint8) for r in got]), np.array([place[r["lang"]] for r in got]), langs)
+                told = [b.column(i).slice(a, z - a).take(which) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*told, pa.array([win[i].tobytes() for i in take], pa.binary())], schema=schema)
+
+    got = own.join(chosen, key).select(*key, "text").mapInArrow(run, "lang string, h long, h2 long, bytes binary")
+    return got.distinct()  # of copies, however many, one
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network | None:
+    """The network, or None if no row may teach."""
+    got = sample(docs, sample_docs).collect()  # bounded: DOC_WINDOWS * sample_docs for each class of the model
+    if not got:
+        return None
+    got.sort(key=lambda r: (r["lang"], r["h"], r["h2"], r["bytes"]))
+    langs = sorted({r["lang"] for r in got})
+    y = np.searchsorted(np.array(langs, object), np.array([r["lang"] for r in got], object))
+    # a language of few texts shows them more often
+    size = np.bincount(y)
+    every = np.concatenate([np.resize(np.flatnonzero(y == i), max(n, size.max() // RARE)) for i, n in enumerate(size)])
+    return fit(np.array([np.frombuffer(r["bytes"], np.uint8) for r in got])[every], y[every], langs)
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:

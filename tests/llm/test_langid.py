@@ -48,6 +48,43 @@ def test_windows_cover_every_byte():
         assert got == raw[off[r] : off[r + 1]].tobytes()
 
 
+def test_a_hot_row_counts_once(spark):
+    """One row 4 000 times is one text, whatever its doc_id, and its language is learned."""
+    english = [(i * 5 + (zlib.crc32(str(i * 5).encode()) % 5 == 0), f"the cat {i} and the dog of {i} went to the house with it " * 4, "en", "s", 1) for i in range(600)]
+    teaches = [d for d in (4, 8, 9, 14) if zlib.crc32(str(d).encode()) % 5][0]
+    german = [(teaches, "der Hund und die Katze gehen in das Haus mit dem Ball und der Schnur " * 4, "de", "s", 1)] * 4000
+    docs = corpus.frame(spark, english + german)
+    got = langid.sample(docs, 200).groupBy("lang").count().collect()
+    count = {r["lang"]: r["count"] for r in got}
+    assert 0 < count["de"] <= langid.DOC_WINDOWS and 200 <= count["en"] <= 200 * langid.DOC_WINDOWS
+    assert {r["lang_pred"] for r in langid.language_digest(docs).where(F.col("doc_id") == teaches).select("lang_pred").distinct().collect()} == {"de"}
+
+
+def plain_prediction(net, text):
+    """Window by window, filter by filter."""
+    raw, total = text.encode(), np.zeros(len(net.langs))
+    for a in range(0, len(raw), langid.WINDOW):
+        part = raw[a : a + langid.WINDOW]
+        wide = [net.embed[x] for x in part + bytes(langid.WINDOW + langid.SPAN - len(part))]
+        best = []
+        for f in range(net.conv.shape[1]):
+            own = net.conv[:, f].reshape(langid.SPAN, langid.DIM)
+            best.append(max(sum(float(wide[at + k] @ own[k]) for k in range(langid.SPAN)) for at in range(langid.WINDOW)))
+        z = np.array([max(0.0, x + b) for x, b in zip(best, net.bias)]) @ net.out + net.out_bias
+        total += len(part) * (z - np.log(np.exp(z).sum()))
+    p = np.exp(total / len(raw))
+    return net.langs[int(p.argmax())], float((p / p.sum()).max())
+
+
+def test_predictions_equal_a_plain_version(spark):
+    net = langid.new_network(["a", "b", "c"], np.random.default_rng(5))
+    texts = ["é", "some words", "x" * 255, "y" * 256 + "z", "abc déf " * 120]
+    got = {r["doc_id"]: r for r in langid.predict(corpus.frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)]), net).collect()}
+    for i, t in enumerate(texts):
+        lang, score = plain_prediction(net, t)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-4
+
+
 def test_edges(spark):
     data = [(i, ("der die das und " if i % 2 else "the and of to ") * (i % 9 + 1), "de" if i % 2 else "en", "s", 1) for i in range(200)]
     # held-out rows carry a language of their own: it must not be learned
