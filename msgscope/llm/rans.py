@@ -10,9 +10,10 @@ the middle.  Files are Parquet with one row a block, written by Spark's own
 committer, in ascending doc_id order (``part``, ``seq``); the table lies beside
 them.
 
-Null text counts as empty (only the end id); repeated rows are kept, in text
-order under an equal doc_id; a null doc_id comes first; an empty table gives
-empty files.  Columns other than doc_id and text are not read.
+Null text counts as empty (only the end id); repeated rows are kept; rows of one
+doc_id follow each other in the order of a hash of their text; a null doc_id comes
+first; an empty table gives empty files.  The string of an added token in a text
+is that token, as the library has it.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -82,8 +83,10 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
-        self.tok.encode_special_tokens = True  # their strings are ordinary text
         d = json.loads(spec)
+        #: Texts with an added token's string are encoded as a whole, too: a part
+        #: might cut it.
+        self.added = [t["content"].encode() for t in d.get("added_tokens") or []]
         pre = d.get("pre_tokenizer") or {}
         self.by_part = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not d.get("normalizer")
         if self.by_part:  # a token's characters stand for bytes, one each
@@ -173,6 +176,7 @@ class PartEncoder:
         key = tb.span_hash(tb.prefix(tb.BYTE_VALUE[raw]), start, end)
         check = tb.span_hash(tb.prefix(_SECOND[raw]), start, end)
         rare = [m.start() for m in RARE_BLANK.finditer(data)] if RARE_LEAD[raw].any() else []
+        rare += [m.start() for x in self.added if x in data for m in re.finditer(re.escape(x), data)]
         whole = np.unique(np.searchsorted(off, rare, side="right") - 1)
         odd = np.zeros(len(start), dtype=bool)
         for r in whole:
@@ -332,8 +336,9 @@ def _blocks(docs: DataFrame, tokenizer_file: str, block: int) -> DataFrame:
         if keys:
             yield row()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, RAW)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    # the hash deals out rows without an id, or of one id, to several tasks
+    return own.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(run, RAW)
 
 
 def _counts(blocks: DataFrame) -> DataFrame:

@@ -16,14 +16,12 @@ FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def library():
-    t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(FILE)
 
 
 def odd_texts():
     return [
-        "a  b\t\tc \n\n d", "  lead and trail  ", " nbsp  wide　", "x\x0by\x0cz \x1c\x85", "don't we'll I'M", "<|endoftext|> inside", "é" * 300,
+        "a  b\t\tc \n\n d", "  lead and trail  ", " nbsp  wide　", "x\x0by\x0cz \x1c\x85", "don't we'll I'M", "<|endoftext|> inside", "x.<|endoftext|><|endoftext|>", "half <|endof", "text|> another", "a  <|endoftext|>  b", "é" * 300,
         "a" * 5000, " \n" * 500, "日本語 テキスト 123 456", "“quoted” — dash…", "\r\n\r\n", "1 2  3   4    5", "emoji 👩‍👩‍👧 end", "tab\tonly", "﻿bom",
     ]
 
@@ -76,6 +74,17 @@ def test_documents_in_order(spark):
     assert sum(map(len, got.values())) == len(data)
 
 
+def test_rows_without_ids_are_dealt_out(spark):
+    """Ids in order, and neither null ids nor one id's rows all in one part."""
+    data = [(None, f"text {i}", "", "", 0) for i in range(400)] + [(5, f"more {i}", "", "", 0) for i in range(400)] + [(9, "last", "", "", 0)]
+    path = rans.folder(spark, "test-parts")
+    rows = sorted(rans.token_digest(corpus.frame(spark, data), FILE, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None] * 400 + [5] * 400 + [9]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
+    parts = rans.read_tokens(spark, path).groupBy("doc_id").agg(F.countDistinct("part").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] > 1 for r in parts} == {None: True, 5: True, 9: False}
+
+
 def test_empty_and_null_ids(spark):
     assert rans.token_digest(corpus.frame(spark, [], parts=1), FILE).count() == 0
     got = rans.token_digest(corpus.frame(spark, [(4, "b", "", "", 0), (None, "a", "", "", 0)]), FILE).collect()
