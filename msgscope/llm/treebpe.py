@@ -30,9 +30,12 @@ is that token, as for the library.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -50,6 +53,14 @@ SPREAD = 1 << 16
 LOOK = 16
 #: Tokens on each side of a join in the first window.
 WINDOW = 8
+#: Words of a generation that a worker remembers, characters of such a word, and
+#: new words strung together for the library.
+KNOWN, WORD, STRUNG = 200_000, 48, 2000
+#: Marks an id that begins a pre-token.
+FIRST = np.uint32(1 << 31)
+#: Between a character other than white space and a space or line end, every match
+#: of the pattern ends, and no match looks beyond: a piece's words encode alone.
+CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])")
 #: Rows and bytes of text handed to the library at once.
 ROWS, SLICE = 256, 1 << 20
 
@@ -70,6 +81,8 @@ class TreeEncoder:
         from tokenizers import Tokenizer
 
         self.leaf, self.window = leaf, window
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -100,16 +113,51 @@ class TreeEncoder:
         mid = len(text) // 2
         return self.halves(text[:mid]) + self.halves(text[mid:])
 
-    def library(self, texts: list[str]):
-        return self.tok.encode_batch_fast(texts, add_special_tokens=False)
+    def _learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The codes of words: their ids, with ``FIRST`` where a pre-token starts.
+        Words between two cuts are strung together; sizes tell where each ends."""
+        strung = [w for w in words if w[:1] in (" ", "\n") and not w[-1].isspace()] if self.cuts else []
+        alone = list(set(words).difference(strung))
+        blocks = [strung[a : a + STRUNG] for a in range(0, len(strung), STRUNG)] + [[w] for w in alone]
+        for some, e in zip(blocks, self.tok.encode_batch(["".join(x) for x in blocks], add_special_tokens=False)):
+            code, word = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
+            ends = np.cumsum(self.size[code])
+            code[:1] |= FIRST
+            code[1:] |= np.where(word[1:] != word[:-1], FIRST, np.uint32(0))
+            if len(some) == 1:
+                yield some[0], code.tobytes()
+                continue
+            at = [0, *(np.searchsorted(ends, np.cumsum([len(w.encode()) for w in some])) + 1).tolist()]
+            data = code.tobytes()
+            yield from ((w, data[4 * i : 4 * j]) for w, i, j in zip(some, at, at[1:]))
+
+    def codes(self, texts: list[str]) -> list[np.ndarray]:
+        """The codes of each text.  The library is asked once for a word that comes
+        again; of two generations of words the older one is forgotten."""
+        words = [CUT.split(t) for t in texts] if self.cuts else [[t] for t in texts]
+        have, new = {}, []
+        for w in set(chain.from_iterable(words)):
+            x = self.young.get(w)
+            if x is None:
+                x = self.old.get(w)
+                if x is None:
+                    new.append(w)
+                    continue
+                self.young[w] = x
+            have[w] = x
+        for w, x in self._learn(new):
+            have[w] = x
+            if len(w) <= WORD:
+                self.young[w] = x
+        if len(self.young) > KNOWN:
+            self.young, self.old = {}, self.young
+        return [np.frombuffer(b"".join([have[w] for w in some]), np.uint32) for some in words]
 
     def pieces(self, texts: list[str]) -> list[Piece]:
         out = []
-        for t, e in zip(texts, self.tok.encode_batch(texts, add_special_tokens=False)):  # with pre-token numbers
-            ids, word = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-            first = np.ones(len(ids), dtype=bool)
-            first[1:] = word[1:] != word[:-1]
-            out.append(Piece(t.encode(), ids, np.cumsum(self.size[ids]), first))
+        for t, code in zip(texts, self.codes(texts)):
+            ids = code & ~FIRST
+            out.append(Piece(t.encode(), ids, np.cumsum(self.size[ids]), code >= FIRST))
         return out
 
     # ----------------------------------------------------------------- joins
@@ -199,8 +247,8 @@ class TreeEncoder:
         """The ids of each text."""
         short = [i for i, t in enumerate(texts) if len(t) <= self.leaf or not self.cuts]
         out: list = [None] * len(texts)
-        for i, e in zip(short, self.library([texts[i] for i in short])):
-            out[i] = np.array(e.ids, np.uint32)
+        for i, code in zip(short, self.codes([texts[i] for i in short])):
+            out[i] = code & ~FIRST
         for i, t in enumerate(texts):
             if out[i] is None:
                 out[i] = self.merge(self.pieces(self.halves(t))).ids
@@ -308,10 +356,10 @@ def round_trip_digest(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     decoded text."""
 
     def digest(batches):
-        import hashlib
-
+        decimal = list(map(str, range(1 << 16)))
+        name = lambda i: decimal[i] if i < 1 << 16 else str(i)
         for b in batches:
-            ids = [",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode() for x in b.column(2).to_pylist()]
+            ids = [",".join(map(name, np.frombuffer(x, "<u4").tolist())).encode() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), b.column(3)],
                 names=["doc_id", "n_tokens", "ids_sha256", "text"],
