@@ -14,19 +14,22 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml.linalg import Vectors, VectorUDT
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
 from msgscope.functions import text as T
 from msgscope.functions.features import FAMILY_B_NAMES, FAMILY_C_ORDER, family_b, family_c
+from msgscope.operators import matrix
 from msgscope.operators import vectorize as V
 from msgscope.operators.ranking import join_null_safe
-from msgscope.session import materialize
+from msgscope.session import checkpoint_dir, materialize
 
 
 def _plain(c: Column) -> Column:
@@ -97,35 +100,64 @@ class FeatureModel:
 
     def tfidf(self, df: DataFrame) -> DataFrame:
         """(msg_id, term, weight) of any rows by the fitted vocabulary."""
-        tf = V.term_frequencies(term_rows(df, self.spec), "msg_id", "counts")
-        return V.tfidf_weights(tf, self.vocab, "msg_id")
+        return V.tfidf_weights(term_rows(df, self.spec), "counts", self.vocab, "msg_id")
+
+    def sparse(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """(msg_id, keep, indices, values) of rows (msg_id, cleaned_text, source); no
+        zeros.  The vocabulary is bounded by ``max_features`` and goes to the tasks,
+        as the sources do, so that a row is worked out where it lies."""
+        spec, keep, spark = self.spec, keep or [], df.sparkSession
+        vocab = self.vocab.select("term", "idx", "idf").orderBy("idx").toArrow()
+        sources = {r["source"]: r["idx"] for r in self.sources.collect()} if spec.source_weight else {}
+        shared = spark.sparkContext.broadcast((vocab, sources))
+        numeric = dict(spec.numeric(F.col("cleaned_text"))) if spec.numeric else {}
+        x = F.array(*[numeric[n].cast("double") for n in spec.numeric_names]) if numeric else F.array().cast("array<double>")
+        own = ["msg_id", *keep]
+        toks = df.select(*own, F.col("source").alias("__source"), x.alias("__x"), spec.tokens(F.col("cleaned_text")).alias("__toks"))
+        terms = toks.select(*own, "__source", "__x", T.with_bigrams(F.col("__toks")).alias("__terms"))
+        counts = terms.select(*own, "__source", "__x", V.counted(F.col("__terms")).alias("__counts"))
+        n_names, weight = len(spec.numeric_names), float(spec.source_weight)
+
+        def run(batches):
+            vocab, sources = shared.value
+            n_terms = len(vocab)
+            for b in batches:
+                n, k = b.num_rows, len(own)
+                off, at, w = V.row_weights(b.column(k + 2), vocab)
+                rows, cols, values = [np.repeat(np.arange(n), np.diff(off))], [at], [w]
+                wide = np.nan_to_num(np.asarray(b.column(k + 1).flatten(), np.float64)).reshape(n, n_names)
+                r, c = np.nonzero(wide)
+                rows, cols, values = [*rows, r], [*cols, c + n_terms], [*values, wide[r, c]]
+                if weight:
+                    place = np.array([sources.get(s, -1) for s in b.column(k).to_pylist()], np.int64)
+                    r = np.flatnonzero(place >= 0)
+                    rows, cols, values = [*rows, r], [*cols, place[r] + n_terms + n_names], [*values, np.full(len(r), weight)]
+                row, col, value = (np.concatenate(a) for a in (rows, cols, values))
+                order = np.lexsort((col, row))
+                ends = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(a)) for a in (col[order].astype(np.int32), value[order])]
+                yield pa.RecordBatch.from_arrays([*b.columns[:k], *lists], names=[*own, "indices", "values"])
+
+        sql = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own)
+        return counts.mapInArrow(run, f"{sql}, indices array<int>, values array<double>")
 
     def transform(self, df: DataFrame) -> DataFrame:
         """(msg_id, idx, value) of rows (msg_id, cleaned_text, source); no zeros."""
-        n_terms = self.vocab.count()
-        out = self.tfidf(df).join(self.vocab.select("term", "idx"), "term").select("msg_id", "idx", F.col("weight").alias("value"))
-        names = self.spec.numeric_names
-        if names:
-            cols = dict(self.spec.numeric(F.col("cleaned_text")))
-            wide = df.select("msg_id", F.array(*[cols[n].cast("double") for n in names]).alias("x"))
-            long = wide.select("msg_id", F.posexplode("x").alias("pos", "value"))
-            out = out.unionByName(long.where("value <> 0").select("msg_id", (F.col("pos") + n_terms).alias("idx"), "value"))
-        if self.spec.source_weight:
-            known = df.select("msg_id", "source").join(self.sources, "source")
-            out = out.unionByName(known.select("msg_id", (F.col("idx") + n_terms + len(names)).alias("idx"), F.lit(float(self.spec.source_weight)).alias("value")))
-        return out.select("msg_id", F.col("idx").cast("int").alias("idx"), "value")
+        each = self.sparse(df).select("msg_id", F.explode_outer(F.arrays_zip("indices", "values")).alias("e")).where("e IS NOT NULL")
+        return each.select("msg_id", F.col("e.indices").alias("idx"), F.col("e.values").alias("value"))
 
     def size(self) -> int:
         return self.vocab.count() + len(self.spec.numeric_names) + (self.sources.count() if self.spec.source_weight else 0)
 
-    def vectors(self, df: DataFrame) -> DataFrame:
-        """(msg_id, features: sparse vector) of every row."""
-        width = self.size()
-        build = F.udf(lambda pairs: Vectors.sparse(width, [p["idx"] for p in pairs], [p["value"] for p in pairs]), VectorUDT())
-        rows = self.transform(df).groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("pairs"))
-        every = df.select("msg_id").join(rows, "msg_id", "left")
-        empty = F.array().cast("array<struct<idx:int,value:double>>")
-        return every.select("msg_id", build(F.coalesce("pairs", empty)).alias("features"))
+    def write_matrix(self, df: DataFrame, path: str, keep: list[str] | None = None) -> None:
+        """SNK-04: the matrix of every row of ``df``, with the columns ``keep``."""
+        matrix.write(self.sparse(df, keep), self.size(), self.names(), path)
+
+    def vectors(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """(msg_id, keep, features: sparse vector) of every row, stored and read back."""
+        path = os.path.join(checkpoint_dir(df.sparkSession), "matrices", uuid.uuid4().hex)
+        self.write_matrix(df, path, keep)
+        return matrix.load(df.sparkSession, path)
 
     def save(self, path: str) -> None:
         self.vocab.write.parquet(os.path.join(path, "vocab"))

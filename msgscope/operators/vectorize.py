@@ -2,19 +2,59 @@
 standard scaling and one-hot codes (VEC-*, SEQ-*, F-60..62).
 
 TF-IDF never builds a dense matrix: a document's n-grams are counted inside
-its row, its distinct terms are exploded once, document frequencies come from
-an aggregation on ``term``, and after the join with the vocabulary one exchange
-on the document id serves the norms.
+its row, and its distinct terms are exploded only for the document frequencies,
+an aggregation on ``term``.  A fitted vocabulary is small by its size parameter:
+where it has ``MOST_TERMS`` rows at most, it goes to the tasks, and ids, weights
+and norms are worked out inside each row, without an exchange of tokens or terms.
+A larger one is joined.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
 
 
+#: A vocabulary of more rows is joined instead of sent to the tasks.
+MOST_TERMS = 1 << 18
+
+
+def small(table: DataFrame, columns: list[str], most: int | None = None) -> pa.Table | None:
+    """The table itself, if it has ``most`` rows at most; no more are fetched."""
+    most = MOST_TERMS if most is None else most
+    rows = table.select(*columns).limit(most + 1).toArrow()
+    return rows if rows.num_rows <= most else None
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def _places(values: pa.Array, table: pa.Table, column: str) -> np.ndarray:
+    """The row of ``table`` that holds each value, -1 for none."""
+    return np.asarray(pc.fill_null(pc.index_in(values, value_set=table[column].combine_chunks()), -1))
+
+
+def row_weights(counts: pa.Array, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets by row, row of the vocabulary, weight) for rows of ``counted`` terms:
+    sublinear tf (1 + ln tf) x idf, L2-normalised by row, in vocabulary order."""
+    flat, off = counts.flatten(), _offsets(counts)
+    at = _places(flat.field("term"), table, "term")
+    row = np.repeat(np.arange(len(counts)), np.diff(off))
+    known = np.flatnonzero(at >= 0)
+    known = known[np.lexsort((at[known], row[known]))]
+    at, row = at[known], row[known]
+    w = (1 + np.log(np.asarray(flat.field("tf"), np.float64)[known])) * np.asarray(table["idf"], np.float64)[at]
+    norm = np.sqrt(np.bincount(row, w * w, minlength=len(counts)))
+    return np.searchsorted(row, np.arange(len(counts) + 1)).astype(np.int32), at, w / norm[row]
+
+
 def counted(terms: Column) -> Column:
     """array<struct(term, tf)> from an array of terms: run lengths of the sorted
     array.  ``terms`` is bound once, so it may be any expression."""
@@ -63,8 +103,29 @@ def fit_tfidf_vocabulary(
     return kept.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
-def tfidf_weights(tf: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
-    """Sublinear tf (1 + ln tf) x idf, L2-normalised per document."""
+def tfidf_weights(by_doc: DataFrame, counts_col: str, vocab: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, weight) of rows of ``counted`` terms: sublinear tf (1 + ln tf) x
+    idf, L2-normalised per document."""
+    table = small(vocab, ["term", "idf"])
+    if table is None:
+        return _joined_weights(term_frequencies(by_doc, id_col, counts_col), vocab, id_col)
+    shared = by_doc.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for b in batches:
+            off, at, weight = row_weights(b.column(1), shared.value)
+            term = shared.value["term"].combine_chunks().take(pa.array(at))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.ListArray.from_arrays(off, term), pa.ListArray.from_arrays(off, pa.array(weight))], names=[id_col, "terms", "weights"]
+            )
+
+    own = by_doc.select(id_col, counts_col)
+    rows = own.mapInArrow(run, f"`{id_col}` {own.schema[id_col].dataType.simpleString()}, terms array<string>, weights array<double>")
+    each = rows.select(id_col, F.explode_outer(F.arrays_zip("terms", "weights")).alias("__t")).where("__t IS NOT NULL")
+    return each.select(id_col, F.col("__t.terms").alias("term"), F.col("__t.weights").alias("weight"))
+
+
+def _joined_weights(tf: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     w = tf.join(vocab.select("term", "idf"), "term").withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))  # a document's vocabulary terms
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
@@ -90,6 +151,23 @@ def encode(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame) -> Dat
     """SEQ-02: (id, ids) with every token's id in order, unknown = 1; documents
     without tokens get an empty array.  ``df`` may be sliced before."""
     unk = dict(P.SEQ_RESERVED)["<UNK>"]
+    table = small(vocab, ["token", "idx"])
+    if table is None:
+        return _joined_ids(df, id_col, tokens_col, vocab, unk)
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        idx = np.asarray(shared.value["idx"], np.int32)
+        for b in batches:
+            at = _places(b.column(1).flatten(), shared.value, "token")
+            ids = np.where(at >= 0, idx[at], unk).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(_offsets(b.column(1)), pa.array(ids))], names=[id_col, "ids"])
+
+    own = df.select(id_col, tokens_col)
+    return own.mapInArrow(run, f"`{id_col}` {own.schema[id_col].dataType.simpleString()}, ids array<int>")
+
+
+def _joined_ids(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, unk: int) -> DataFrame:
     toks = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
     ids = toks.join(vocab.select("token", "idx"), "token", "left")
     pair = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("idx"), F.lit(unk)).alias("id")))

@@ -11,6 +11,7 @@ from msgscope.functions import patterns as P
 from msgscope.functions.features import FAMILY_B_NAMES
 from msgscope.operators import assemble as A
 from msgscope.operators import clustering as CL
+from msgscope.operators import matrix as M
 from msgscope.operators import metrics as MT
 from msgscope.operators import models as ML
 from msgscope.operators.cleaning import clean_messages
@@ -85,13 +86,19 @@ _NUMERIC = dict(SF.family_b("cleaned_text"))
 SQL_SOURCES = """,
 nt AS (SELECT count(*) AS n_terms FROM vocab),
 cats AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS idx FROM (SELECT DISTINCT source FROM rows WHERE split = 'train' AND source IS NOT NULL))"""
-SQL_ASSEMBLED = _sql_clean(_sql_heldout("trees")) + SQL_SOURCES + f""",
+SQL_TREES = _sql_clean(_sql_heldout("trees")) + SQL_SOURCES + f""",
 num AS (SELECT msg_id, [{', '.join(f'CAST({_NUMERIC[n]} AS DOUBLE)' for n in FAMILY_B_NAMES)}] AS x FROM rows WHERE split = 'test'),
-numl AS (SELECT msg_id, unnest(range(0, {len(FAMILY_B_NAMES)})) AS pos, unnest(x) AS value FROM num)
-SELECT msg_id, CAST(idx AS INTEGER) AS idx, round(weight, 6) AS value FROM tfidf
-UNION ALL SELECT msg_id, CAST(pos + n_terms AS INTEGER), round(value, 6) FROM numl, nt WHERE value <> 0
-UNION ALL SELECT r.msg_id, CAST(c.idx + n_terms + {len(FAMILY_B_NAMES)} AS INTEGER), 1.0 FROM rows r JOIN cats c ON r.source = c.source, nt WHERE r.split = 'test'
+numl AS (SELECT msg_id, unnest(range(0, {len(FAMILY_B_NAMES)})) AS pos, unnest(x) AS value FROM num),
+entries AS (
+  SELECT msg_id, CAST(idx AS INTEGER) AS idx, round(weight, 6) AS value FROM tfidf
+  UNION ALL SELECT msg_id, CAST(pos + n_terms AS INTEGER), round(value, 6) FROM numl, nt WHERE value <> 0
+  UNION ALL SELECT r.msg_id, CAST(c.idx + n_terms + {len(FAMILY_B_NAMES)} AS INTEGER), 1.0 FROM rows r JOIN cats c ON r.source = c.source, nt WHERE r.split = 'test'),
+names AS (
+  SELECT CAST(idx AS INTEGER) AS idx, 'tfidf_' || term AS feature FROM vocab
+  UNION ALL SELECT CAST(n_terms + i AS INTEGER), name FROM nt, (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(FAMILY_B_NAMES))}) v(i, name)
+  UNION ALL SELECT CAST(n_terms + {len(FAMILY_B_NAMES)} + idx AS INTEGER), 'source_' || source FROM cats, nt)
 """
+SQL_ASSEMBLED = SQL_TREES + "SELECT * FROM entries"
 
 
 @query("assembled_features", SQL_ASSEMBLED)
@@ -101,11 +108,7 @@ def assembled_features(spark, d):
     return model.transform(rows.where("split = 'test'")).select("msg_id", "idx", F.round("value", 6).alias("value"))
 
 
-SQL_NAMES = _sql_clean(_sql_heldout("trees")) + SQL_SOURCES + f"""
-SELECT CAST(idx AS INTEGER) AS idx, 'tfidf_' || term AS feature FROM vocab
-UNION ALL SELECT CAST(n_terms + i AS INTEGER), name FROM nt, (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(FAMILY_B_NAMES))}) v(i, name)
-UNION ALL SELECT CAST(n_terms + {len(FAMILY_B_NAMES)} + idx AS INTEGER), 'source_' || source FROM cats, nt
-"""
+SQL_NAMES = SQL_TREES + "SELECT * FROM names"
 
 
 @query("assembled_names", SQL_NAMES)
@@ -115,6 +118,21 @@ def assembled_names(spark, d):
     return model.names()
 
 
+SAMPLED_COLUMNS = 5000
+SQL_MATRIX = SQL_TREES + f"""SELECT e.msg_id, d.feature, e.value FROM entries e
+JOIN (SELECT * FROM names ORDER BY md5('42:' || feature), feature LIMIT {SAMPLED_COLUMNS}) d ON e.idx = d.idx"""
+
+
+@query("stored_matrix", SQL_MATRIX)
+def stored_matrix(spark, d):
+    """SNK-04, SRC-10: the held-out rows' matrix, written and read back in the
+    columns drawn by seed."""
+    rows, model = _fitted(spark, d, "trees")
+    path = ML.model_path(spark, "matrix")
+    model.write_matrix(rows.where("split = 'test'"), path)
+    return M.sampled(spark, path, SAMPLED_COLUMNS, P.DEFAULT_SEED, ["msg_id"]).select("msg_id", "feature", F.round("value", 6).alias("value"))
+
+
 # ------------------------------------------------------------------ models on them
 def _metrics(spark, scored):
     d1 = MT.distinct_scores(scored)
@@ -129,7 +147,7 @@ def _trees(spark, d):
     from pyspark.ml.classification import GBTClassifier
 
     rows, features = _fitted(spark, d, "trees")
-    x = materialize(rows.select("msg_id", "label", "split").join(features.vectors(rows), "msg_id"))
+    x = features.vectors(rows, ["label", "split"])
     fitted = Pipeline(stages=[GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, seed=42)]).fit(x.where("split = 'train'"))
     return x, features, ML.save_and_reload(fitted, ML.model_path(spark, "gbt-assembled"))
 
@@ -208,7 +226,7 @@ def _cluster_vectors(spark, d):
     from pyspark.ml.feature import StandardScaler, VectorSlicer
 
     rows, features = _fitted(spark, d, "clusters")
-    x = materialize(rows.select("msg_id", "label", "source", "split").join(features.vectors(rows), "msg_id"))
+    x = features.vectors(rows, ["label", "source", "split"])
     n_terms, n_num = features.vocab.count(), len(features.spec.numeric_names)
     scaler = StandardScaler(inputCol="features", outputCol="all", withMean=True, withStd=True)
     stages = [scaler]

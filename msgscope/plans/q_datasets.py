@@ -13,6 +13,7 @@ from msgscope.operators import datasets as D
 from msgscope.operators import history as H
 from msgscope.operators import sampling as SM
 from msgscope.operators import vectorize as V
+from msgscope.operators.ranking import exact_quantiles
 from msgscope.plans import sqlparts as S
 from msgscope.plans.frames import SQL_CLEANED, SQL_MESSAGES, cleaned, with_ctes
 from msgscope.plans.q_assembled import SQL_NAMES, split_rows
@@ -86,7 +87,7 @@ def base_pipeline(spark, d):
 
 
 # --------------------------------------------------------------------------- SEQ-06..08
-MODEL_LEN = 64
+MOST_LEN = 128  # fixed value
 SQL_SEQ_TRAIN = BASE + f""",
 sq AS (SELECT c.msg_id, c.label, s.split, {S.tokens(S.clean_for_sequence('c.cleaned_text'), P.SEQ_TOKEN)} AS toks FROM cleaned c JOIN split s ON c.msg_id = s.msg_id),
 cnt AS (SELECT token, count(*) AS count FROM (SELECT unnest(toks) AS token FROM sq WHERE split = 'train') GROUP BY token),
@@ -94,10 +95,11 @@ top AS (SELECT token, count FROM cnt ORDER BY count DESC, token ASC LIMIT {VOCAB
 vocab AS (SELECT token, row_number() OVER (ORDER BY count DESC, token ASC) - 1 + {len(P.SEQ_RESERVED)} AS idx FROM top WHERE count >= {MIN_FREQ}
           UNION ALL SELECT * FROM (VALUES {', '.join(f"('{t}', {i})" for t, i in P.SEQ_RESERVED)}) r(token, idx))"""
 SQL_SEQ_ARRAYS = SQL_SEQ_TRAIN + f""",
-pos AS (SELECT msg_id, unnest(toks[1:{MODEL_LEN}]) AS token, unnest(range(1, len(toks[1:{MODEL_LEN}]) + 1)) AS p FROM sq WHERE split = 'test'),
+cut AS (SELECT CAST(least(floor(quantile_cont(len(toks), 0.95)), {MOST_LEN}) AS INTEGER) AS n FROM sq),
+pos AS (SELECT msg_id, unnest(toks[1:n]) AS token, unnest(range(1, len(toks[1:n]) + 1)) AS p FROM sq, cut WHERE split = 'test'),
 ids AS (SELECT s.msg_id, list(coalesce(v.idx, 1) ORDER BY s.p) AS ids FROM pos s LEFT JOIN vocab v ON s.token = v.token GROUP BY s.msg_id)
-SELECT q.msg_id, array_to_string(list_resize(coalesce(i.ids, []), {MODEL_LEN}, 0), ' ') AS ids, CAST(q.label AS DOUBLE) AS label
-FROM sq q LEFT JOIN ids i ON q.msg_id = i.msg_id WHERE q.split = 'test'"""
+SELECT q.msg_id, array_to_string(list_resize(coalesce(i.ids, []), n, 0), ' ') AS ids, CAST(q.label AS DOUBLE) AS label
+FROM cut, sq q LEFT JOIN ids i ON q.msg_id = i.msg_id WHERE q.split = 'test'"""
 
 
 def _sequences(spark, d):
@@ -114,10 +116,12 @@ def _saved_vocabulary(spark, toks):
 @query("sequence_arrays", SQL_SEQ_ARRAYS)
 def sequence_arrays(spark, d):
     """SEQ-06/08: held-out rows as padded id arrays by the saved vocabulary of the
-    training rows, with the label as a number."""
+    training rows, cut at their suggested length, with the label as a number."""
     toks = _sequences(spark, d)
     test = toks.where("split = 'test'")
-    ids = V.encode_and_pad(test, "msg_id", "toks", _saved_vocabulary(spark, toks), MODEL_LEN)
+    lengths = exact_quantiles(toks.select(F.size("toks").alias("n")), "n", [0.95])
+    cut = lengths.select(F.least(F.floor("q_0"), F.lit(MOST_LEN)).cast("int")).first()  # SEQ-05: a parameter of the model
+    ids = V.encode_and_pad(test, "msg_id", "toks", _saved_vocabulary(spark, toks), cut[0] if cut and cut[0] is not None else MOST_LEN)
     return test.select("msg_id", F.col("label").cast("double").alias("label")).join(ids, "msg_id").select("msg_id", F.array_join("ids", " ").alias("ids"), "label")
 
 

@@ -45,15 +45,14 @@ def _tfidf_inputs(spark, d):
     toks = clean_messages(documents(spark, d)).select("msg_id", T.tfidf_tokens(F.col("cleaned_text"), True).alias("toks"))
     terms = toks.select("msg_id", T.with_bigrams(F.col("toks")).alias("terms"))
     by_doc = materialize(terms.select("msg_id", V.counted(F.col("terms")).alias("counts")))
-    tf = V.term_frequencies(by_doc, "msg_id", "counts")
     n_docs = by_doc.count()
-    vocab = V.fit_tfidf_vocabulary(tf, n_docs, MAX_FEATURES, MIN_DF, MAX_DF)
-    return tf, materialize(vocab), n_docs
+    vocab = V.fit_tfidf_vocabulary(V.term_frequencies(by_doc, "msg_id", "counts"), n_docs, MAX_FEATURES, MIN_DF, MAX_DF)
+    return by_doc, materialize(vocab), n_docs
 
 
 @query("tfidf_vocab", "WITH " + SQL_DOC_TERMS + "\nSELECT term, CAST(df AS BIGINT) AS df, CAST(cf AS BIGINT) AS cf, round(idf, 6) AS idf FROM vocab")
 def tfidf_vocab(spark, d):
-    _tf, vocab, _n = _tfidf_inputs(spark, d)
+    _rows, vocab, _n = _tfidf_inputs(spark, d)
     return vocab.select("term", "df", "cf", _r6(F.col("idf")).alias("idf"))
 
 
@@ -65,8 +64,8 @@ SELECT msg_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY msg_id)), 6) A
 
 @query("tfidf_weights", SQL_TFIDF_WEIGHTS)
 def tfidf_weights(spark, d):
-    tf, vocab, _n = _tfidf_inputs(spark, d)
-    return V.tfidf_weights(tf, vocab, "msg_id").select("msg_id", "term", _r6(F.col("weight")).alias("weight"))
+    by_doc, vocab, _n = _tfidf_inputs(spark, d)
+    return V.tfidf_weights(by_doc, "counts", vocab, "msg_id").select("msg_id", "term", _r6(F.col("weight")).alias("weight"))
 
 
 SQL_TFIDF_SPARSITY = "WITH " + SQL_DOC_TERMS + """,
@@ -79,8 +78,8 @@ SELECT CAST(n AS BIGINT) AS n_docs, CAST(n_terms AS BIGINT) AS n_terms, CAST(nnz
 
 @query("tfidf_sparsity", SQL_TFIDF_SPARSITY)
 def tfidf_sparsity(spark, d):
-    tf, vocab, n_docs = _tfidf_inputs(spark, d)
-    nnz = tf.join(vocab.select("term"), "term").agg(F.count(F.lit(1)).alias("nnz"))
+    by_doc, vocab, n_docs = _tfidf_inputs(spark, d)
+    nnz = V.term_frequencies(by_doc, "msg_id", "counts").join(vocab.select("term"), "term").agg(F.count(F.lit(1)).alias("nnz"))
     nt = vocab.agg(F.count(F.lit(1)).alias("n_terms"))
     from msgscope.operators.clustering import attach_one_row
 
@@ -99,7 +98,7 @@ SELECT term FROM vocab WHERE list_contains([{', '.join(S.lit(a) for a in P.SOURC
 
 @query("vocab_artifact_leak", SQL_VOCAB_LEAK)
 def vocab_artifact_leak(spark, d):
-    _tf, vocab, _n = _tfidf_inputs(spark, d)
+    _rows, vocab, _n = _tfidf_inputs(spark, d)
     arts = spark.createDataFrame([(a,) for a in P.SOURCE_ARTIFACTS], "term string")
     return vocab.join(F.broadcast(arts), "term", "left_semi").select("term")
 
