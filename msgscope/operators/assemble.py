@@ -16,7 +16,7 @@ import json
 import os
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -77,12 +77,20 @@ def term_rows(df: DataFrame, spec: Spec, id_col: str = "msg_id", text_col: str =
 @dataclass
 class FeatureModel:
     kind: str
-    vocab: DataFrame  # term, idf, idx (by term)
+    vocab: DataFrame  # term, df, cf, idf, idx (by term)
     sources: DataFrame  # source, idx (by source; no nulls)
+    source_weight: float | None = None  # the kind's own, if None
 
     @property
     def spec(self) -> Spec:
-        return SPECS[self.kind]
+        spec = SPECS[self.kind]
+        return spec if self.source_weight is None else replace(spec, source_weight=self.source_weight)
+
+    def narrowed(self, max_features: int, source_weight: float) -> FeatureModel:
+        """The model of fewer terms (the most frequent, as ``fit`` picks them) and
+        another weight of the sources."""
+        top = self.vocab.orderBy(F.col("cf").desc(), "term").limit(max_features).drop("idx")
+        return FeatureModel(self.kind, materialize(_numbered(top, "term")), self.sources, source_weight)
 
     def names(self) -> DataFrame:
         """(idx, feature): TF-IDF terms, numeric columns, sources, in this order."""
@@ -163,12 +171,50 @@ class FeatureModel:
         self.vocab.write.parquet(os.path.join(path, "vocab"))
         self.sources.write.parquet(os.path.join(path, "sources"))
         spark = self.vocab.sparkSession
-        spark.createDataFrame([(json.dumps({"kind": self.kind, "size": self.size()}),)], "value string").coalesce(1).write.text(os.path.join(path, "metadata"))
+        spark.createDataFrame([(json.dumps({"kind": self.kind, "size": self.size(), "source_weight": self.source_weight}),)], "value string").coalesce(1).write.text(os.path.join(path, "metadata"))
+
+
+def narrowed_rows(rows: DataFrame, widest: FeatureModel, models: dict[str, FeatureModel]) -> DataFrame:
+    """(config, the columns of ``rows``) with the indices and values that each of the
+    ``narrowed`` models gives, from those of ``widest`` (with its sources' weight):
+    a term's weight before the norm is the same, so the texts aren't read again."""
+    width, n_terms = widest.size(), widest.vocab.count()
+    at = {r["term"]: r["idx"] for r in widest.vocab.select("term", "idx").collect()}  # bounded by max_features
+    plans = {}
+    for name, model in models.items():
+        place, times = np.full(width, -1), np.ones(width)
+        own = model.vocab.select("term", "idx").collect()
+        for r in own:
+            place[at[r["term"]]] = r["idx"]
+        end = n_terms + len(widest.spec.numeric_names) if not model.spec.source_weight else width
+        place[n_terms:end] = np.arange(end - n_terms) + len(own)
+        times[n_terms + len(widest.spec.numeric_names) :] = model.spec.source_weight / (widest.spec.source_weight or 1.0)
+        plans[name] = (place, times)
+    keep = [c for c in rows.columns if c not in ("indices", "values")]
+    shared = rows.sparkSession.sparkContext.broadcast(plans)
+
+    def run(batches):
+        for b in batches:
+            k, n = len(keep), b.num_rows
+            row = np.repeat(np.arange(n), np.asarray(V.pc.list_value_length(b.column(k))))
+            old, value = np.asarray(b.column(k).flatten()), np.asarray(b.column(k + 1).flatten())
+            for name, (place, times) in shared.value.items():
+                own = np.flatnonzero(place[old] >= 0)
+                r, w = row[own], value[own] * times[old[own]]
+                term = old[own] < n_terms
+                norm = np.sqrt(np.bincount(r[term], w[term] ** 2, minlength=n))
+                w[term] /= norm[r[term]]
+                ends = np.searchsorted(r, np.arange(n + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place[old[own]].astype(np.int32), w)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), *b.columns[:k], *lists], names=["config", *keep, "indices", "values"])
+
+    sql = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(*keep, "indices", "values").mapInArrow(run, f"config string, {sql}, indices array<int>, values array<double>")
 
 
 def load(spark: SparkSession, path: str) -> FeatureModel:
     meta = json.loads(spark.read.text(os.path.join(path, "metadata")).collect()[0][0])
-    return FeatureModel(meta["kind"], spark.read.parquet(os.path.join(path, "vocab")), spark.read.parquet(os.path.join(path, "sources")))
+    return FeatureModel(meta["kind"], spark.read.parquet(os.path.join(path, "vocab")), spark.read.parquet(os.path.join(path, "sources")), meta.get("source_weight"))
 
 
 def _numbered(df: DataFrame, col: str) -> DataFrame:
@@ -176,12 +222,12 @@ def _numbered(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("idx", (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
 
 
-def fit(train: DataFrame, kind: str) -> FeatureModel:
+def fit(train: DataFrame, kind: str, max_features: int | None = None) -> FeatureModel:
     """Fit on rows (msg_id, cleaned_text, source)."""
     spec = SPECS[kind]
     by_doc = materialize(term_rows(train, spec))
     tf = V.term_frequencies(by_doc, "msg_id", "counts")
-    vocab = V.fit_tfidf_vocabulary(tf, by_doc.count(), spec.max_features, spec.min_df, spec.max_df)
+    vocab = V.fit_tfidf_vocabulary(tf, by_doc.count(), max_features or spec.max_features, spec.min_df, spec.max_df)
     sources = train.select("source").where("source IS NOT NULL").distinct()
     return FeatureModel(kind, materialize(_numbered(vocab.select("term", "df", "cf", "idf"), "term")), materialize(_numbered(sources, "source")))
 

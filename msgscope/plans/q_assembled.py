@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from msgscope.functions import patterns as P
@@ -14,6 +15,7 @@ from msgscope.operators import clustering as CL
 from msgscope.operators import matrix as M
 from msgscope.operators import metrics as MT
 from msgscope.operators import models as ML
+from msgscope.operators import sweep as SW
 from msgscope.operators.cleaning import clean_messages
 from msgscope.operators.sampling import stratified_split
 from msgscope.plans import sqlfeatures as SF
@@ -215,26 +217,27 @@ def stream_fitted(spark, d):
 
 
 FILES_A_BATCH = 32
-SWEEP = {"numeric": "numeric columns only", "tfidf": "terms only", "all": "terms, numeric columns and sources"}
+#: Configurations of the sweep (fixed values): most terms, weight of the sources.
+SWEEP = {
+    "current": (500, 0.0),
+    "tfidf_50": (50, 0.0),
+    "tfidf_100": (100, 0.0),
+    "tfidf_1000": (1000, 0.0),
+    "source_0.1": (500, 0.1),
+    "source_0.3": (500, 0.3),
+    "source_0.5": (500, 0.5),
+}
 SWEEP_K = range(2, 9)
 
 
 def _cluster_vectors(spark, d):
-    """(msg_id, label, split, numeric, tfidf, all: scaled vectors), scaled once by
-    the training rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorSlicer
+    """(msg_id, label, split, all: scaled vectors), scaled once by the training rows."""
+    from pyspark.ml.feature import StandardScaler
 
     rows, features = _fitted(spark, d, "clusters")
     x = features.vectors(rows, ["label", "source", "split"])
-    n_terms, n_num = features.vocab.count(), len(features.spec.numeric_names)
     scaler = StandardScaler(inputCol="features", outputCol="all", withMean=True, withStd=True)
-    stages = [scaler]
-    if n_terms:
-        stages.append(VectorSlicer(inputCol="all", outputCol="tfidf", indices=list(range(n_terms))))
-    stages.append(VectorSlicer(inputCol="all", outputCol="numeric", indices=list(range(n_terms, n_terms + n_num))))
-    fitted = Pipeline(stages=stages).fit(x.where("split = 'train'"))
-    return materialize(fitted.transform(x).drop("features"))
+    return materialize(scaler.fit(x.where("split = 'train'")).transform(x).drop("features"))
 
 
 def _k_means(train, column: str, k: int, seeds: int):
@@ -242,7 +245,7 @@ def _k_means(train, column: str, k: int, seeds: int):
 
     best = None
     for seed in range(42, 42 + seeds):
-        m = KMeans(k=k, seed=seed, maxIter=100, featuresCol=column, predictionCol="cluster_id").fit(train)
+        m = KMeans(k=k, seed=seed, maxIter=SW.ROUNDS, featuresCol=column, predictionCol="cluster_id").fit(train)
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
     return best
@@ -272,21 +275,64 @@ def kmeans_assembled(spark, d):
     return spark.createDataFrame([(k, float(v) if v is not None else None) for k, v in rows], "metric string, value double")
 
 
+def _sweep_rows(spark, d):
+    """(config, msg_id, indices, values, split, label) of every configuration, and
+    their widths.  The widest model is fitted and its matrix written once; the
+    others' rows follow from it."""
+    rows = split_rows(spark, d)
+    widest = A.fit(rows.where("split = 'train'"), "clusters", max(n for n, _ in SWEEP.values()))
+    path = ML.model_path(spark, "sweep")
+    widest.write_matrix(rows, os.path.join(path, "widest"), ["label", "split"])
+    whole = spark.read.parquet(os.path.join(path, "widest", "rows")).select("msg_id", "split", F.col("label").cast("int").alias("label"), "features.indices", "features.values")
+    models = {name: widest.narrowed(n, weight) for name, (n, weight) in SWEEP.items()}
+    A.narrowed_rows(whole, widest, models).write.parquet(os.path.join(path, "rows"))
+    return spark.read.parquet(os.path.join(path, "rows")), {name: m.size() for name, m in models.items()}
+
+
+def _agreement(counts):
+    """(config, k, split, metric, value) from the contingency tables: ARI, NMI, and
+    on the test part the figures of the classifier that calls a cluster spam if
+    more than half of its training rows are."""
+    by = ["config", "k", "split"]
+    pair = lambda x: x * (x - 1) / 2.0
+    n, a, b = (F.sum("n").over(Window.partitionBy(*by, *more)).cast("double") for more in ([], ["label"], ["cluster"]))
+    t = counts.withColumns({"all": n, "a": a, "b": b})
+    p = F.col("n") / F.col("all")
+    sums = t.groupBy(*by).agg(
+        F.first("all").alias("n"), F.sum(pair(F.col("n"))).alias("both"),
+        F.sum(pair(F.col("a")) * F.col("n") / F.col("a")).alias("one"), F.sum(pair(F.col("b")) * F.col("n") / F.col("b")).alias("two"),
+        F.sum(p * F.log(F.col("n") * F.col("all") / (F.col("a") * F.col("b")))).alias("mi"),
+        (-F.sum(p * F.log(F.col("a") / F.col("all")))).alias("hu"), (-F.sum(p * F.log(F.col("b") / F.col("all")))).alias("hv"),
+    )
+    chance = F.col("one") * F.col("two") / pair(F.col("n"))
+    room, half = (F.col("one") + F.col("two")) / 2 - chance, (F.col("hu") + F.col("hv")) / 2
+    ari = F.when(F.coalesce(room, F.lit(0.0)) == 0, 1.0).otherwise((F.col("both") - chance) / room)
+    nmi = F.when(half == 0, 1.0).otherwise(F.col("mi") / half)
+    agree = sums.select(*by, F.explode(F.create_map(F.lit("ari"), ari, F.lit("nmi"), nmi)).alias("metric", "value"))
+    spam = counts.where("split = 'train'").groupBy("config", "k", "cluster").agg((F.sum(F.col("n") * F.col("label")) / F.sum("n") > 0.5).cast("int").alias("guess"))
+    told = counts.where("split = 'test'").join(spam, ["config", "k", "cluster"], "left").withColumn("guess", F.coalesce("guess", F.lit(0)))
+    cell = lambda label, guess: F.sum(F.when((F.col("label") == label) & (F.col("guess") == guess), F.col("n")).otherwise(0))
+    hits = told.groupBy(*by).agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"))
+    share = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    figures = {"accuracy": share(tp + tn, tp + fp + fn + tn), "precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)}
+    told = hits.select(*by, F.explode(F.create_map(*[x for k, v in figures.items() for x in (F.lit(k), v)])).alias("metric", "value"))
+    return agree.unionByName(told)
+
+
 @query("k_sweep")  # fits: rows only
 def k_sweep(spark, d):
-    """ML-07, AGG-38, JN-08: k = 2..8 by feature set; the table of results has a
-    row for every pair asked for, null where a fit gave none."""
-    x = _cluster_vectors(spark, d)
-    found = []
-    for name in SWEEP:
-        if name not in x.columns:
-            continue
-        train = materialize(x.where("split = 'train'").select("label", name))
-        for k in SWEEP_K:
-            model = _k_means(train, name, k, 1)
-            seen = model.transform(train)
-            agree = CL.ari_nmi(seen, "label", "cluster_id").first()
-            found.append((name, k, float(model.summary.trainingCost), _silhouette(seen, name), float(agree["ari"]), float(agree["nmi"])))
-    results = spark.createDataFrame(found, "config string, k int, training_cost double, silhouette double, ari double, nmi double")
-    asked = spark.createDataFrame([(n, k) for n in SWEEP for k in SWEEP_K], "config string, k int")
-    return asked.join(results, ["config", "k"], "left")
+    """ML-07, AGG-38, JN-08: k = 2..8 with ten seeds on all seven configurations, in
+    shared passes; (config, k, split, metric, value) for every fit asked for, null
+    where there is none."""
+    rows, widths = _sweep_rows(spark, d)
+    train = rows.where("split = 'train'")
+    scale = SW.scales(train, widths)
+    chosen = SW.best(SW.fit_all(train, scale, SW.starts(train, scale, SWEEP_K)))
+    found = [(name, k, "train", "training_cost", f.cost) for name, fits in chosen.items() for k, f in fits.items()]
+    found += [(name, k, split, "silhouette", v) for (name, k, split), v in SW.silhouettes(rows, scale, chosen).items()]
+    schema = "config string, k int, split string, metric string, value double"
+    results = spark.createDataFrame(found, schema).unionByName(_agreement(materialize(SW.assigned(rows, scale, chosen))))
+    kinds = [("train", m) for m in ("training_cost", "silhouette", "ari", "nmi")] + [("test", m) for m in ("silhouette", "ari", "nmi", "accuracy", "precision", "recall", "f1")]
+    asked = spark.createDataFrame([(n, k, *kind) for n in SWEEP for k in SWEEP_K for kind in kinds], "config string, k int, split string, metric string")
+    return asked.join(results, ["config", "k", "split", "metric"], "left")

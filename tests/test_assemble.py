@@ -34,6 +34,52 @@ def test_fit_save_reload_transform(spark, tmp_path):
     assert vectors[10][0] == got[10]["tfidf_free"]
 
 
+def test_narrowed_rows_equal_a_narrow_model(spark, monkeypatch):
+    """Fewer terms and another weight of the sources, from the widest model's rows;
+    and the stored matrix, whole and by columns."""
+    import random
+
+    from msgscope.operators import matrix as M
+    from msgscope.operators import vectorize as V
+    from msgscope.session import checkpoint_dir
+
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(30)]
+    df = frame(spark, [(i, " ".join(rng.choices(words, weights=range(1, 31), k=rng.randrange(0, 25))) + "!", rng.choice(["a", "b", None])) for i in range(60)])
+    widest = A.fit(df, "clusters", 12)
+    path = f"{checkpoint_dir(spark)}/matrix-test"
+    widest.write_matrix(df, path, ["source"])
+    whole = spark.read.parquet(f"{path}/rows").select("msg_id", "source", "features.indices", "features.values")
+    models = {"few": widest.narrowed(4, 0.0), "weighted": widest.narrowed(7, 0.5)}
+    entry = lambda r: {(i, round(v, 9)) for i, v in zip(r["indices"], r["values"])}
+    got = {(r["config"], r["msg_id"]): entry(r) for r in A.narrowed_rows(whole, widest, models).collect()}
+    for name, model in models.items():
+        assert model.vocab.count() == (4 if name == "few" else 7)
+        assert {r["msg_id"]: entry(r) for r in model.sparse(df).collect()} == {m: e for (c, m), e in got.items() if c == name}
+    # the matrix: vectors to train on, a column read alone, and only the columns asked for in the plan
+    vectors = {r["msg_id"]: r["features"] for r in M.load(spark, path).collect()}
+    some = M.load_names(spark, path).where("feature LIKE 'source%'")
+    idx = {r["feature"]: r["idx"] for r in some.collect()}
+    cells = M.entries(spark, path, some, ["msg_id"]).collect()
+    assert len(cells) == df.where("source IS NOT NULL").count() and all(vectors[c["msg_id"]][idx[c["feature"]]] == c["value"] == 1.0 for c in cells)
+    assert M.sampled(spark, path, 2, 42, ["msg_id"]).select("feature").distinct().count() <= 2
+    plan = M.load(spark, path).select("msg_id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<msg_id:bigint>" in plan
+    # weights and ids by a vocabulary too large to send equal those worked out in the row, which exchanges nothing
+    key = lambda rows: sorted((r[0], r[1], round(r[2], 9)) for r in rows)
+    by_doc = A.term_rows(df, widest.spec)
+    sent = V.tfidf_weights(by_doc, "counts", widest.vocab, "msg_id")
+    toks = df.select("msg_id", F.split("cleaned_text", " ").alias("t"))
+    vocab = V.build_token_vocabulary(toks, "t", 20, 2)
+    ids = V.encode_and_pad(toks, "msg_id", "t", vocab, 9)
+    for frame_ in (sent, ids):
+        assert "Exchange" not in frame_._jdf.queryExecution().executedPlan().toString()
+    a, b = key(sent.collect()), sorted(map(str, ids.collect()))
+    monkeypatch.setattr(V, "MOST_TERMS", 3)
+    joined = V.tfidf_weights(by_doc, "counts", widest.vocab, "msg_id")
+    assert key(joined.collect()) == a and sorted(map(str, V.encode_and_pad(toks, "msg_id", "t", vocab, 9).collect())) == b
+
+
 def test_default_tokens_and_one_hot(spark):
     df = spark.createDataFrame([("a bc x1 é déjà_vu",)], "t string")
     assert df.select(A._default(F.col("t"))).collect()[0][0] == ["bc", "x1", "déjà_vu"]
