@@ -34,6 +34,7 @@ def load_all() -> None:
         q_sampling,
         q_service,
         q_stats,
+        q_store,
         q_stream,
         q_text,
         q_vectors,

@@ -10,8 +10,9 @@ One pure transition function drives both forms:
 
 * ``lockout_stream`` - Structured Streaming, ``applyInPandasWithState``
   keyed by identifier; state is two numbers per key, kept in the
-  checkpointed state store, and each call only sees the key's rows of one
-  micro-batch (bounded by the source's per-trigger limit).
+  checkpointed state store while there are open failures or a lock, and each
+  call only sees the key's rows of one micro-batch (bounded by the source's
+  per-trigger limit).  A success and the end of a lock remove it.
 * ``lockout_batch`` - the same function over a table, cut into chunks of an
   identifier and a time span, so that no identifier lies in one task.  A chunk
   is first summed up as a function: the state it ends in for each state it may
@@ -191,23 +192,36 @@ def lockout_batch(events: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
 
 
 def _stream_fn(key, pdfs: Iterator[pd.DataFrame], state):
-    if state.exists:
-        attempts, lock_us = state.get
-        lock_us = None if lock_us is None or pd.isna(lock_us) else int(lock_us)
-    else:
-        attempts, lock_us = 0, None
+    """A key's rows of one micro-batch, or the end of its lock.  A key without
+    failures has no state; one that is locked loses it when the watermark has
+    passed the lock's end, since every later event would begin anew."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    attempts, lock_us = state.get if state.exists else (0, None)
+    lock_us = None if lock_us is None or pd.isna(lock_us) else int(lock_us)
     frames = [p for p in pdfs]
     if not frames:
         return
     out, attempts, lock_us = fold(pd.concat(frames, ignore_index=True), int(attempts), lock_us)
-    state.update((int(attempts), lock_us))
+    ends_ms = None if lock_us is None else lock_us // 1000 + 1
+    if attempts == 0 or (ends_ms is not None and ends_ms <= state.getCurrentWatermarkMs()):
+        if state.exists:
+            state.remove()
+    else:
+        state.update((int(attempts), lock_us))
+        if ends_ms is not None:
+            state.setTimeoutTimestamp(ends_ms)
     yield out
 
 
-def lockout_stream(events_stream: DataFrame) -> DataFrame:
-    """Streaming form: output mode append, one output row per input event."""
-    return (
-        _prepare(events_stream)
-        .groupBy("identifier")
-        .applyInPandasWithState(_stream_fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    )
+#: Events that come so much later than the latest one are dropped, as after any
+#: watermark.
+LATE = "7 days"
+
+
+def lockout_stream(events_stream: DataFrame, late: str = LATE) -> DataFrame:
+    """Streaming form: output mode append, one output row per input event.  State is
+    kept for identifiers with open failures or a lock that hasn't ended only."""
+    timed = _prepare(events_stream).withColumn("at", F.timestamp_micros("ts_us")).withWatermark("at", late)
+    return timed.groupBy("identifier").applyInPandasWithState(_stream_fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
