@@ -75,6 +75,14 @@ class Piece(NamedTuple):
     first: np.ndarray
 
 
+def byte_of_character() -> dict[str, int]:
+    """What byte a token's character stands for: visible characters of Latin-1 for
+    themselves, the other bytes in order for those from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class TreeEncoder:
     def __init__(self, spec: str, leaf: int = LEAF, window: int = WINDOW):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,6 +111,13 @@ class TreeEncoder:
             self.size[i] = len(token)
         for t in added:
             self.size[t["id"]] = len(t["content"].encode())
+        self.bytes: list[bytes] | None = None
+        if (d.get("decoder") or {}).get("type") == "ByteLevel":
+            of = byte_of_character()
+            known = lambda t: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode()
+            self.bytes = [b""] * len(self.size)
+            for token, i in vocab.items():
+                self.bytes[i] = known(token)
 
     # ---------------------------------------------------------------- pieces
 
@@ -255,7 +270,11 @@ class TreeEncoder:
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        """The texts of the ids, special tokens too: for a byte-level decoder the
+        tokens' bytes strung together, as the library does."""
+        if self.bytes is None:
+            return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        return [b"".join(map(self.bytes.__getitem__, x.tolist())).decode("utf-8", "replace") for x in ids]
 
 
 _encoders: dict = {}
@@ -356,10 +375,12 @@ def round_trip_digest(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     decoded text."""
 
     def digest(batches):
-        decimal = list(map(str, range(1 << 16)))
-        name = lambda i: decimal[i] if i < 1 << 16 else str(i)
+        decimal: list[str] = []
         for b in batches:
-            ids = [",".join(map(name, np.frombuffer(x, "<u4").tolist())).encode() for x in b.column(2).to_pylist()]
+            tokens = [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
+            most = max((int(x.max()) + 1 for x in tokens if len(x)), default=0)
+            decimal += map(str, range(len(decimal), most))
+            ids = [",".join(map(decimal.__getitem__, x.tolist())).encode() for x in tokens]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), b.column(3)],
                 names=["doc_id", "n_tokens", "ids_sha256", "text"],

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,14 @@ def test_long_runs_need_small_windows(spec, monkeypatch):
     assert len(parts) > 16 and len(seen) >= len(parts) - 1 and sum(seen) < len(text) // 10
 
 
+def test_any_ids_decode_as_the_library_does(spec):
+    """Ids whose bytes are no valid text, too."""
+    rng, fresh = random.Random(8), Tokenizer.from_file(FILE)
+    enc = treebpe.TreeEncoder(spec)
+    lists = [[rng.choice([rng.randrange(256), rng.randrange(50_257), 50_256]) for _ in range(rng.randrange(40))] for _ in range(500)]
+    assert enc.decode([np.array(x, np.uint32) for x in lists]) == [fresh.decode(x, skip_special_tokens=False) for x in lists]
+
+
 def test_digest(spark):
     fresh = Tokenizer.from_file(FILE)
     data = corpus.rows(2) + [(2000 + i, t, "", "", 0) for i, t in enumerate(odd_texts())]
