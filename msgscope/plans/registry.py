@@ -29,6 +29,7 @@ def load_all() -> None:
     from msgscope.plans import (  # noqa: F401
         q_assembled,
         q_datasets,
+        q_documents,
         q_eval,
         q_ml,
         q_sampling,
