@@ -34,6 +34,7 @@ def load_all() -> None:
         q_ml,
         q_sampling,
         q_service,
+        q_silhouette,
         q_stats,
         q_store,
         q_stream,
