@@ -144,11 +144,8 @@ def tfidf_cluster_vocab(spark, d):
     c = clean_messages(documents(spark, d)).select("msg_id", "cleaned_text")
     f = c.select("msg_id", T.filter_source_artifacts(clean_email_artifacts(F.col("cleaned_text"))).alias("f"))
     toks = f.select("msg_id", T.tfidf_tokens(F.col("f")).alias("toks"))
-    stop = F.array(*[F.lit(w) for w in P.ENGLISH_STOP_WORDS])
-    kept = toks.select("msg_id", F.filter("toks", lambda w: ~F.array_contains(stop, w)).alias("kept"))
-    terms = kept.select("msg_id", T.with_bigrams(F.col("kept")).alias("terms"))
-    by_doc = materialize(terms.select("msg_id", V.counted(F.col("terms")).alias("counts")))
-    vocab = V.fit_tfidf_vocabulary(V.term_frequencies(by_doc, "msg_id", "counts"), by_doc.count(), 500, 5, 0.6)
+    by_doc = materialize(toks.select("msg_id", F.filter("toks", lambda w: ~w.isin(P.ENGLISH_STOP_WORDS)).alias("kept")))
+    vocab = V.fit_tfidf_vocabulary(V.term_totals(by_doc, "kept"), by_doc.count(), 500, 5, 0.6)
     arts = F.array(*[F.lit(a) for a in P.SOURCE_ARTIFACTS])
     return vocab.select(
         "term", "df", "cf", F.round("idf", 6).alias("idf"), F.array_contains(arts, F.col("term")).alias("artifact_leak")

@@ -42,11 +42,9 @@ vocab AS (SELECT term, df, cf, ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)
 
 
 def _tfidf_inputs(spark, d):
-    toks = clean_messages(documents(spark, d)).select("msg_id", T.tfidf_tokens(F.col("cleaned_text"), True).alias("toks"))
-    terms = toks.select("msg_id", T.with_bigrams(F.col("toks")).alias("terms"))
-    by_doc = materialize(terms.select("msg_id", V.counted(F.col("terms")).alias("counts")))
+    by_doc = materialize(clean_messages(documents(spark, d)).select("msg_id", T.tfidf_tokens(F.col("cleaned_text"), True).alias("toks")))
     n_docs = by_doc.count()
-    vocab = V.fit_tfidf_vocabulary(V.term_frequencies(by_doc, "msg_id", "counts"), n_docs, MAX_FEATURES, MIN_DF, MAX_DF)
+    vocab = V.fit_tfidf_vocabulary(V.term_totals(by_doc, "toks"), n_docs, MAX_FEATURES, MIN_DF, MAX_DF)
     return by_doc, materialize(vocab), n_docs
 
 
@@ -65,7 +63,7 @@ SELECT msg_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY msg_id)), 6) A
 @query("tfidf_weights", SQL_TFIDF_WEIGHTS)
 def tfidf_weights(spark, d):
     by_doc, vocab, _n = _tfidf_inputs(spark, d)
-    return V.tfidf_weights(by_doc, "counts", vocab, "msg_id").select("msg_id", "term", _r6(F.col("weight")).alias("weight"))
+    return V.tfidf_weights(by_doc, "toks", vocab, "msg_id").select("msg_id", "term", _r6(F.col("weight")).alias("weight"))
 
 
 SQL_TFIDF_SPARSITY = "WITH " + SQL_DOC_TERMS + """,
@@ -78,12 +76,9 @@ SELECT CAST(n AS BIGINT) AS n_docs, CAST(n_terms AS BIGINT) AS n_terms, CAST(nnz
 
 @query("tfidf_sparsity", SQL_TFIDF_SPARSITY)
 def tfidf_sparsity(spark, d):
-    by_doc, vocab, n_docs = _tfidf_inputs(spark, d)
-    nnz = V.term_frequencies(by_doc, "msg_id", "counts").join(vocab.select("term"), "term").agg(F.count(F.lit(1)).alias("nnz"))
-    nt = vocab.agg(F.count(F.lit(1)).alias("n_terms"))
-    from msgscope.operators.clustering import attach_one_row
-
-    r = attach_one_row(nnz, nt)
+    _rows, vocab, n_docs = _tfidf_inputs(spark, d)
+    # a term has an entry in each of its ``df`` documents
+    r = vocab.agg(F.count(F.lit(1)).alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("nnz"))
     return r.select(
         F.lit(n_docs).cast("long").alias("n_docs"), F.col("n_terms").cast("long"), F.col("nnz").cast("long"),
         _r6(F.col("nnz") / (F.lit(n_docs) * F.col("n_terms"))).alias("density"),
