@@ -8,8 +8,8 @@ Partial sums are added by (configuration, set) on the cluster; what reaches the
 driver is one row a set, whatever the number of rows.
 
 Columns are scaled by mean and standard deviation of the training rows (a column
-without variance is 0).  Sets begin with k-means++ on the ``SAMPLE`` training rows
-of least hash; every pass is over all rows.  A set rests once its centroids move
+without variance is 0).  Sets begin with k-means++ and Lloyd's steps on the ``SAMPLE``
+training rows of least hash; every pass is over all rows.  A set rests once its centroids move
 by ``TOL`` at most (sum of squares), or after ``ROUNDS`` passes; a centroid without
 rows stays where it is.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS, TOL, SEEDS, SAMPLE = 300, 1e-4, 10, 2_000
-#: Rows of a dense block.
-BLOCK = 512
+#: Rows of a dense block, and tasks a core of a pass over all rows.
+BLOCK, TASKS = 1024, 3
 
 
 @dataclass
@@ -94,12 +94,14 @@ def _added(rows: DataFrame, run) -> dict[tuple[str, int], np.ndarray]:
                 totals[config, place] = totals[config, place] + own if (config, place) in totals else own
         yield from _rows(totals)
 
-    summed = rows.mapInArrow(partial, SUMS_SQL).repartition("config", "place").mapInArrow(whole, SUMS_SQL)
+    tasks = rows.sparkSession.sparkContext.defaultParallelism * TASKS  # each sends a total a key, whatever its rows
+    summed = rows.coalesce(tasks).mapInArrow(partial, SUMS_SQL).repartition("config", "place").mapInArrow(whole, SUMS_SQL)
     return {(r["config"], r["place"]): np.frombuffer(r["sums"], "<f8") for r in summed.collect()}
 
 
-def scales(rows: DataFrame, widths: dict[str, int]) -> dict[str, Scale]:
-    """Means and deviations of every column of (config, indices, values)."""
+def scales(rows: DataFrame, widths: dict[str, int], unbiased: bool = False) -> dict[str, Scale]:
+    """Means and deviations of every column of (config, indices, values); variances
+    by n, or by n - 1 if ``unbiased``."""
 
     def run(batches):
         totals: dict = {}
@@ -112,7 +114,7 @@ def scales(rows: DataFrame, widths: dict[str, int]) -> dict[str, Scale]:
     for (name, _), t in _added(rows.select("config", "indices", "values"), run).items():
         n, w = t[0], widths[name]
         mean = t[1 : w + 1] / n
-        var = np.maximum(t[w + 1 :] / n - mean**2, 0)
+        var = np.maximum(t[w + 1 :] / n - mean**2, 0) * (n / max(n - 1, 1) if unbiased else 1)
         out[name] = Scale(mean, np.where(var > 1e-12, 1 / np.sqrt(np.maximum(var, 1e-12)), 0.0))
     return out
 
@@ -134,6 +136,19 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None], 0)
 
 
+def moments(z: np.ndarray, centroids: np.ndarray, ks: list[int]) -> list[np.ndarray]:
+    """Cost by set, and number and sum of rows by centroid, of sets of ``ks`` centroids
+    each, one after another: two matrix products for all of them."""
+    d, row, at = squared(z, centroids), np.arange(len(z)), 0
+    hit, cost = np.zeros((len(centroids), len(z))), np.zeros(len(ks))
+    for i, k in enumerate(ks):
+        near = d[:, at : at + k].argmin(axis=1) + at
+        hit[near, row] = 1
+        cost[i] = d[row, near].sum()
+        at += k
+    return [cost, hit.sum(axis=1), hit @ z]
+
+
 def one_pass(rows: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fit]]) -> dict[tuple[str, int], np.ndarray]:
     """For each set that does not rest: its cost, then for each centroid the number
     and sum of its rows; one flat array by (configuration, place in ``sets``)."""
@@ -144,21 +159,15 @@ def one_pass(rows: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fit]
 
     def run(batches):
         scale, live, every = shared.value
-        totals: dict = {}
+        sums: dict = {}
         for name, x, _ in _blocks(batches, {n: len(s.mean) for n, s in scale.items()}):
-            if name not in live:
-                continue
-            z = scale[name](x)
-            d = squared(z, every[name])
-            at = 0
-            for place, k in live[name]:
-                own = d[:, at : at + k]
-                at += k
-                near = own.argmin(axis=1)
-                hit = np.zeros((k, len(z)))
-                hit[near, np.arange(len(z))] = 1
-                t = np.concatenate([[own[np.arange(len(z)), near].sum()], hit.sum(axis=1), (hit @ z).ravel()])
-                totals[name, place] = totals.get((name, place), 0) + t
+            if name in live:
+                own = moments(scale[name](x), every[name], [k for _, k in live[name]])
+                sums[name] = [a + b for a, b in zip(sums[name], own)] if name in sums else own
+        totals, ks = {}, {name: [k for _, k in places] for name, places in live.items()}
+        for name, (cost, n, s) in sums.items():
+            for (place, k), c, to in zip(live[name], cost, np.cumsum(ks[name])):
+                totals[name, place] = np.concatenate([[c], n[to - k : to], s[to - k : to].ravel()])
         return totals
 
     return _added(rows.where(F.col("config").isin(list(live))).select("config", "indices", "values"), run)
@@ -179,15 +188,39 @@ def fit_all(rows: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fit]]
     return sets
 
 
+def settled(x: np.ndarray, centroids: np.ndarray, rounds: int = ROUNDS, tol: float = TOL) -> np.ndarray:
+    """The centroids after Lloyd's steps over the rows ``x``."""
+    for _ in range(rounds):
+        _, n, s = moments(x, centroids, [len(centroids)])
+        moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centroids)
+        shift, centroids = ((moved - centroids) ** 2).sum(), moved
+        if shift <= tol:
+            break
+    return centroids
+
+
 def starts(rows: DataFrame, scale: dict[str, Scale], ks: range, seeds: int = SEEDS, sample: int = SAMPLE) -> dict[str, list[Fit]]:
-    """k-means++ sets for every k and seed, from the ``sample`` rows of least hash
-    of (config, msg_id, indices, values) in each configuration."""
-    out = {}
+    """Sets for every k and seed: k-means++ on the ``sample`` rows of least hash of
+    (config, msg_id, indices, values) in each configuration, moved over that sample
+    until they rest, each in a task, so that fewer passes over all rows remain."""
+    spark, out = rows.sparkSession, {}
+    tasks = spark.createDataFrame([(k, seed) for k in ks for seed in range(seeds)], "k int, seed int")
+    tasks = tasks.repartition(max(1, min(tasks.count(), spark.sparkContext.defaultParallelism * 2)))
     for name, own in scale.items():
         some = rows.where(F.col("config") == name).orderBy(F.md5(F.col("msg_id").cast("string")), "msg_id").limit(sample)
         table = some.select("indices", "values").toArrow().combine_chunks()
-        x = own(dense(table["indices"].combine_chunks(), table["values"].combine_chunks(), len(own.mean)))
-        out[name] = [Fit(k, seed, plus_plus(x, k, 42 + seed)) for k in ks for seed in range(seeds)]
+        shared = spark.sparkContext.broadcast((own, table["indices"].combine_chunks(), table["values"].combine_chunks()))
+
+        def run(batches, shared=shared):
+            own, indices, values = shared.value
+            x = own(dense(indices, values, len(own.mean)))
+            for b in batches:
+                for k, seed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    c = settled(x, plus_plus(x, k, 42 + seed))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seed], pa.int32()), pa.array([c.tobytes()])], names=["k", "seed", "c"])
+
+        found = {(r["k"], r["seed"]): np.frombuffer(r["c"]).reshape(r["k"], -1) for r in tasks.mapInArrow(run, "k int, seed int, c binary").collect()}
+        out[name] = [Fit(k, seed, found[k, seed]) for k in ks for seed in range(seeds)]
     return out
 
 
