@@ -34,7 +34,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -320,10 +320,16 @@ def _results(enc: TreeEncoder, ids: list, tokens: list[np.ndarray]) -> pa.Record
     )
 
 
-def round_trip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
+def round_trip(
+    docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD,
+    then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, then_sql: str = OUT_SQL,
+) -> DataFrame:
     """(id, n_tokens, ids binary: little-endian unsigned 32-bit, text decoded
-    from them) for each row of ``docs``."""
+    from them) for each row of ``docs``.  ``then`` takes these rows on in the task that
+    made them, to the columns ``then_sql``: ids and texts don't pass through a second
+    worker process beside the one that holds the vocabulary."""
     spark = docs.sparkSession
+    then = then or (lambda out: out)
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary, whatever the corpus
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -332,7 +338,7 @@ def round_trip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
         enc = encoder(spec.value)
         for b in batches:
             for s in _slices(b, 1):
-                yield _results(enc, s.column(0).to_pylist(), enc.encode(s.column(1).to_pylist()))
+                yield then(_results(enc, s.column(0).to_pylist(), enc.encode(s.column(1).to_pylist())))
 
     def cut(batches):
         enc = encoder(spec.value)
@@ -360,31 +366,29 @@ def round_trip(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
         for text, ids, first in zip(t["text"].to_pylist(), t["ids"].to_pylist(), t["first"].to_pylist()):
             tokens = np.frombuffer(ids, "<u4")
             parts.append(Piece(text.encode(), tokens, np.cumsum(enc.size[tokens]), np.frombuffer(first, bool).copy()))
-        return pa.Table.from_batches([_results(enc, t["id"].to_pylist()[:1], [enc.merge(parts).ids])])
+        return pa.Table.from_batches([then(_results(enc, t["id"].to_pylist()[:1], [enc.merge(parts).ids]))])
 
     size = F.length("text")
     # the row number tells repeated rows apart; written, so that it holds if a task runs again
     long = stored(rows.where(size > spread).select(F.monotonically_increasing_id().alias("row"), "id", "text"), "long-texts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = long.mapInArrow(cut, LEAVES).repartition(n, "row", "leaf").mapInArrow(encode, LEAVES + ", ids binary, first binary")
-    return rows.where(size <= spread).mapInArrow(whole, OUT_SQL).unionByName(dealt.groupBy("row").applyInArrow(join, OUT_SQL))
+    return rows.where(size <= spread).mapInArrow(whole, then_sql).unionByName(dealt.groupBy("row").applyInArrow(join, then_sql))
 
 
 def round_trip_digest(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the decimal ids joined by commas, and of the
     decoded text."""
 
-    def digest(batches):
-        decimal: list[str] = []
-        for b in batches:
-            tokens = [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
-            most = max((int(x.max()) + 1 for x in tokens if len(x)), default=0)
-            decimal += map(str, range(len(decimal), most))
-            ids = [",".join(map(decimal.__getitem__, x.tolist())).encode() for x in tokens]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), b.column(3)],
-                names=["doc_id", "n_tokens", "ids_sha256", "text"],
-            )
-
-    out = round_trip(docs, tokenizer_file).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, text string")
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    decimal: list[str] = []  # of a task
+
+    def digest(out: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = [np.frombuffer(x, "<u4") for x in out.column(2).to_pylist()]
+        most = max((int(x.max()) + 1 for x in tokens if len(x)), default=0)
+        decimal.extend(map(str, range(len(decimal), most)))
+        ids = (",".join(map(decimal.__getitem__, x.tolist())).encode() for x in tokens)
+        texts = (x.encode() for x in out.column(3).to_pylist())
+        sha = [pa.array([hashlib.sha256(x).hexdigest() for x in some], pa.string()) for some in (ids, texts)]
+        return pa.RecordBatch.from_arrays([out.column(0), out.column(1), *sha], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return round_trip(docs, tokenizer_file, then=digest, then_sql="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -75,3 +75,16 @@ def test_other_tokenizers_are_not_cut():
         enc = treebpe.TreeEncoder(f.read(), leaf=8)
     text = "Some Words, and more of them " * 20
     assert not enc.cuts and enc.encode([text])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_and_texts_pass_through_one_worker(spark):
+    """The digest is taken where the row is made, and the operator's own rows hold."""
+    fresh = Tokenizer.from_file(FILE)
+    data = [(1, "ab, cd!", "", "", 0), (2, "q r " * 20_000, "", "", 0), (None, None, "", "", 0)]
+    docs = corpus.frame(spark, data, parts=1)
+    plan = treebpe.round_trip_digest(docs, FILE)._jdf.queryExecution().optimizedPlan().toString().strip()
+    assert plan.startswith("Union") and plan.count("MapInArrow") == 3  # whole texts; pieces cut, and encoded
+    got = {r["id"]: (r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist(), r["text"]) for r in treebpe.round_trip(docs, FILE).collect()}
+    for d, t, *_ in data:
+        ids = fresh.encode(t or "", add_special_tokens=False).ids
+        assert got[d] == (len(ids), ids, t or "")
