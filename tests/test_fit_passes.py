@@ -47,7 +47,8 @@ def test_rows_of_a_tree_fit_are_dealt_out_whatever_their_files(spark):
     n = 64 * 12**2
     sizes = ML.for_trees(spark.range(n).coalesce(1)).rdd.glom().map(len).collect()
     assert len(sizes) == ML.tree_tasks(n) == 12 and sum(sizes) == n and max(sizes) <= 2 * n / 12
-    rows = spark.createDataFrame([(float(i % 2), Vectors.sparse(3, [0, 2], [i % 2 + 0.5, i % 7 + 0.0])) for i in range(60)] * 2, ["label", "features"]).coalesce(1)
+    assert ML.for_trees(spark.range(0, 4000, 1, 1)).rdd.getNumPartitions() == 1
+    rows = spark.createDataFrame([(float(i % 2), Vectors.sparse(3, [0, 2], [i % 2 + 0.5, i % 7 + 0.0])) for i in range(60)] * 70, ["label", "features"]).coalesce(1)
     fit = GBTClassifier(maxIter=2, maxDepth=2, seed=42).fit
     chance = lambda m: [r[0][1] for r in m.transform(rows).select("probability").collect()]
     assert np.allclose(chance(fit(ML.for_trees(rows))), chance(fit(rows)))
