@@ -10,6 +10,7 @@ from msgscope.functions import features as FE
 from msgscope.functions import patterns as P
 from msgscope.functions import text as T
 from msgscope.operators import vectorize as V
+from msgscope.operators.cleaning import with_clean_text
 
 DOCS = [["a", "b", "a", "b"], [], None, ["b"], ["a", "b", "c d".split()[0]], ["a"] * 7]
 
@@ -62,3 +63,21 @@ def test_text_steps_equal_their_plain_forms(spark):
     rows = df.select("t", *[F.to_json(F.struct(a.alias("x"))).alias(f"a{i}") for i, (a, _) in enumerate(pairs)], *[F.to_json(F.struct(b.alias("x"))).alias(f"b{i}") for i, (_, b) in enumerate(pairs)]).collect()
     for r in rows:
         assert [r[f"a{i}"] for i in range(len(pairs))] == [r[f"b{i}"] for i in range(len(pairs))], r["t"]
+
+
+def test_one_space_and_the_cleaned_tail_equal_the_plain_steps(spark):
+    """Spaces by a split at a literal, other characters and white space by one class."""
+    odd = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0    　"
+    texts = [None, "", " ", odd, f"{odd}a{odd}b ", "a  b", " é–ñ {x}  <URL>;;y\t\tz_ ", "$5 £ 7 a € 9,5 ₹1.2.3 5$", "x퟿\U0001f600y", "A, b! -c <Dots>?"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "msg_id long, t string")
+    rc = F.regexp_replace
+    c = F.coalesce("t", F.lit(""))
+    old_sequence = F.btrim(rc(rc(rc(F.lower(c), P.SPACES_J, " "), P.SEQ_KEEP, " "), "  +", " "))
+    pairs = [(T.one_space("t"), F.btrim(rc("t", P.SPACES_J, " "))), (T.clean_for_sequence(F.col("t")), old_sequence)]
+    rows = df.select("msg_id", *[a.alias(f"a{i}") for i, (a, _) in enumerate(pairs)], *[b.alias(f"b{i}") for i, (_, b) in enumerate(pairs)]).collect()
+    for r in rows:
+        assert [r[f"a{i}"] for i in range(len(pairs))] == [r[f"b{i}"] for i in range(len(pairs))], texts[r["msg_id"]]
+    staged = with_clean_text(df, "t", "c").select("c", T.clean_text(F.col("t")).alias("plain"))
+    assert all(r["c"] == r["plain"] for r in staged.collect())
+    plan = staged.select("c")._jdf.queryExecution().optimizedPlan().toString()
+    assert P.CLEAN_STEPS[-1][1] not in plan and P.CLEAN_STEPS[-2][1] not in plan  # the two slow patterns
