@@ -145,7 +145,8 @@ def tfidf_cluster_vocab(spark, d):
     f = c.select("msg_id", T.filter_source_artifacts(clean_email_artifacts(F.col("cleaned_text"))).alias("f"))
     toks = f.select("msg_id", T.tfidf_tokens(F.col("f")).alias("toks"))
     by_doc = materialize(toks.select("msg_id", F.filter("toks", lambda w: ~w.isin(P.ENGLISH_STOP_WORDS)).alias("kept")))
-    vocab = V.fit_tfidf_vocabulary(V.term_totals(by_doc, "kept"), by_doc.count(), 500, 5, 0.6)
+    limits = (by_doc.count(), 500, 5, 0.6)
+    vocab = V.fit_tfidf_vocabulary(V.likely_totals(by_doc, "kept", *limits), *limits)
     arts = F.array(*[F.lit(a) for a in P.SOURCE_ARTIFACTS])
     return vocab.select(
         "term", "df", "cf", F.round("idf", 6).alias("idf"), F.array_contains(arts, F.col("term")).alias("artifact_leak")

@@ -44,7 +44,8 @@ vocab AS (SELECT term, df, cf, ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)
 def _tfidf_inputs(spark, d):
     by_doc = materialize(clean_messages(documents(spark, d)).select("msg_id", T.tfidf_tokens(F.col("cleaned_text"), True).alias("toks")))
     n_docs = by_doc.count()
-    vocab = V.fit_tfidf_vocabulary(V.term_totals(by_doc, "toks"), n_docs, MAX_FEATURES, MIN_DF, MAX_DF)
+    limits = (n_docs, MAX_FEATURES, MIN_DF, MAX_DF)
+    vocab = V.fit_tfidf_vocabulary(V.likely_totals(by_doc, "toks", *limits), *limits)
     return by_doc, materialize(vocab), n_docs
 
 

@@ -81,3 +81,19 @@ def test_one_space_and_the_cleaned_tail_equal_the_plain_steps(spark):
     assert all(r["c"] == r["plain"] for r in staged.collect())
     plan = staged.select("c")._jdf.queryExecution().optimizedPlan().toString()
     assert P.CLEAN_STEPS[-1][1] not in plan and P.CLEAN_STEPS[-2][1] not in plan  # the two slow patterns
+
+
+def test_likely_totals_leave_out_no_term_of_the_vocabulary(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(300)])
+    docs = [(i, words[np.minimum(rng.zipf(1.3, rng.integers(0, 60)) - 1, 299)].tolist() if i % 17 else None) for i in range(400)]
+    df = spark.createDataFrame(docs, "id long, toks array<string>").repartition(5)
+    cf = Counter(t for _, d in docs for t in grams(d))
+    for bits in (4, 12):
+        monkeypatch.setattr(V, "BUCKET_BITS", bits)
+        for limits in ((400, 40, 2, 0.95), (400, 40, 2, 0.2), (400, 5000, 1, 1.0), (400, None, 3, 0.9), (400, 3, 399, 1.0)):
+            likely = V.likely_totals(df, "toks", *limits)
+            key = lambda t: sorted(map(tuple, V.fit_tfidf_vocabulary(t, *limits).collect()))
+            assert key(likely) == key(V.term_totals(df, "toks")), (bits, limits)
+    few = {r["term"] for r in V.likely_totals(df, "toks", 400, 40, 2, 0.95).collect()}
+    assert len(few) < len(cf) / 4 and {t for t, _ in cf.most_common(20)} <= few
