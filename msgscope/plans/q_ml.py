@@ -258,7 +258,7 @@ def sequence_classifier(spark, d):
     c = cleaned(spark, d).select(
         "msg_id", "label", "source", T.sequence_tokens(T.clean_for_sequence(F.col("cleaned_text"))).alias("words")
     )
-    c = stratified_split(c)
+    c = materialize(stratified_split(c))  # read by the vocabulary, the ids and their join
     vocab = materialize(V.build_token_vocabulary(c.where("split = 'train'"), "words", 10000, 2))
     ids = V.encode(c, "msg_id", "words", vocab)
     toks = materialize(

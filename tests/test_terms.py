@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from msgscope.functions import features as FE
@@ -97,3 +98,24 @@ def test_likely_totals_leave_out_no_term_of_the_vocabulary(spark, monkeypatch):
             assert key(likely) == key(V.term_totals(df, "toks")), (bits, limits)
     few = {r["term"] for r in V.likely_totals(df, "toks", 400, 40, 2, 0.95).collect()}
     assert len(few) < len(cf) / 4 and {t for t, _ in cf.most_common(20)} <= few
+
+
+def test_sequence_classifier_evaluates_its_rows_once(spark, tmp_path, monkeypatch):
+    """The ids are taken from stored rows, not from another run of the cleaning chain."""
+    from msgscope.plans import q_ml
+
+    rows = [(i, f"some words of text number {i % 7} here", "en", f"s{i % 3}", i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, toxic int")
+    docs.drop("toxic").write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+
+    class Seen(Exception):
+        pass
+
+    def encode(df, *_):
+        raise Seen(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(V, "encode", encode)
+    with pytest.raises(Seen) as e:
+        q_ml.sequence_classifier(spark, str(tmp_path))
+    assert "FileScan" not in str(e.value) and "regexp" not in str(e.value)
