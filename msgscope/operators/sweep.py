@@ -1,9 +1,9 @@
 """k-means for many numbers of clusters, seeds and feature sets at once (ML-07).
 
-One pass over the stored matrices of all configurations moves every set of
-centroids that has not come to rest: a task turns blocks of sparse rows into
-scaled dense ones, takes one matrix product with all centroids of the row's
-configuration, and adds up, for each set, its rows' sums by nearest centroid.
+The rows are scaled and packed into blocks once, by configuration.  A pass over the
+blocks of all configurations moves every set of centroids that has not come to
+rest: a task makes a block dense, takes one matrix product with all centroids of
+its configuration, and adds up, for each set, its rows' sums by nearest centroid.
 Partial sums are added by (configuration, set) on the cluster; what reaches the
 driver is one row a set, whatever the number of rows.
 
@@ -16,14 +16,19 @@ rows stays where it is.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from msgscope.session import checkpoint_dir
+
 ROUNDS, TOL, SEEDS, SAMPLE = 300, 1e-4, 10, 2_000
 #: Rows of a dense block, and tasks a core of a pass over all rows.
 BLOCK, TASKS = 1024, 3
@@ -58,16 +63,21 @@ def dense(indices: pa.Array, values: pa.Array, width: int) -> np.ndarray:
     return x
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], widths: dict[str, int]) -> Iterator[tuple[str, np.ndarray, pa.RecordBatch]]:
-    """(configuration, dense rows, their batch)."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """(configuration, rows of it), at most ``BLOCK``."""
     for big in batches:
         configs = np.asarray(big.column(0).to_pylist(), object)
         for name in dict.fromkeys(configs.tolist()):
             own = big.take(pa.array(np.flatnonzero(configs == name)))
             for a in range(0, own.num_rows, BLOCK):
                 b = own.slice(a, BLOCK)
-                b = b.take(pa.array(np.arange(b.num_rows)))  # lists with offsets of their own
-                yield name, dense(b.column(1), b.column(2), widths[name]), b
+                yield name, b.take(pa.array(np.arange(b.num_rows)))  # lists with offsets of their own
+
+
+def _dense_blocks(batches: Iterator[pa.RecordBatch], widths: dict[str, int]) -> Iterator[tuple[str, np.ndarray, pa.RecordBatch]]:
+    """(configuration, dense rows, their batch)."""
+    for name, b in _blocks(batches):
+        yield name, dense(b.column(1), b.column(2), widths[name]), b
 
 
 SUMS = pa.schema([("config", pa.string()), ("place", pa.int32()), ("sums", pa.binary())])
@@ -79,6 +89,11 @@ def _rows(totals: dict[tuple[str, int], np.ndarray]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([config]), pa.array([place], pa.int32()), pa.array([x.astype("<f8").tobytes()])], schema=SUMS)
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Tasks of a pass: each sends a total a key, or writes a file a configuration, whatever its rows."""
+    return rows.sparkSession.sparkContext.defaultParallelism * TASKS
+
+
 def _added(rows: DataFrame, run) -> dict[tuple[str, int], np.ndarray]:
     """The totals that ``run`` (batches -> dictionary) makes of all rows, by key:
     a partial total a task, added by key on the cluster, then one row a key."""
@@ -94,8 +109,7 @@ def _added(rows: DataFrame, run) -> dict[tuple[str, int], np.ndarray]:
                 totals[config, place] = totals[config, place] + own if (config, place) in totals else own
         yield from _rows(totals)
 
-    tasks = rows.sparkSession.sparkContext.defaultParallelism * TASKS  # each sends a total a key, whatever its rows
-    summed = rows.coalesce(tasks).mapInArrow(partial, SUMS_SQL).repartition("config", "place").mapInArrow(whole, SUMS_SQL)
+    summed = rows.coalesce(_tasks(rows)).mapInArrow(partial, SUMS_SQL).repartition("config", "place").mapInArrow(whole, SUMS_SQL)
     return {(r["config"], r["place"]): np.frombuffer(r["sums"], "<f8") for r in summed.collect()}
 
 
@@ -105,7 +119,7 @@ def scales(rows: DataFrame, widths: dict[str, int], unbiased: bool = False) -> d
 
     def run(batches):
         totals: dict = {}
-        for name, x, _ in _blocks(batches, widths):
+        for name, x, _ in _dense_blocks(batches, widths):
             own = np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
             totals[name, 0] = totals.get((name, 0), 0) + own
         return totals
@@ -136,47 +150,100 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None], 0)
 
 
-def moments(z: np.ndarray, centroids: np.ndarray, ks: list[int]) -> list[np.ndarray]:
+def nearest(z: np.ndarray, centroids: np.ndarray, ks: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of sets of one k: (place of their first centroid, k, and by set and row
+    the nearest centroid and the squared distance to it without the row's own square)."""
+    d, at = (-2 * centroids) @ z.T, 0
+    d += (centroids * centroids).sum(axis=1)[:, None]
+    for k, run in groupby(ks):
+        own = d[at : at + k * len(list(run))].reshape(-1, k, len(z))
+        least, near = own[:, 0].copy(), np.zeros((len(own), len(z)), np.int32)
+        for j in range(1, k):
+            near[own[:, j] < least] = j
+            np.minimum(least, own[:, j], out=least)
+        yield at, k, near, least
+        at += len(own) * k
+
+
+def moments(z: np.ndarray, centroids: np.ndarray, ks: list[int], squares: np.ndarray | None = None) -> list[np.ndarray]:
     """Cost by set, and number and sum of rows by centroid, of sets of ``ks`` centroids
     each, one after another: two matrix products for all of them."""
-    d, row, at = squared(z, centroids), np.arange(len(z)), 0
-    hit, cost = np.zeros((len(centroids), len(z))), np.zeros(len(ks))
-    for i, k in enumerate(ks):
-        near = d[:, at : at + k].argmin(axis=1) + at
-        hit[near, row] = 1
-        cost[i] = d[row, near].sum()
-        at += k
-    return [cost, hit.sum(axis=1), hit @ z]
+    squares = (z * z).sum(axis=1) if squares is None else squares
+    hit, cost = np.empty((len(centroids), len(z))), []
+    for at, k, near, least in nearest(z, centroids, ks):
+        for j in range(k):
+            hit[at + j : at + k * len(near) : k] = near == j
+        cost.append(np.maximum(least + squares, 0).sum(axis=1))
+    return [np.concatenate(cost), hit.sum(axis=1), hit @ z]
+
 
+PACKED = "n int, at binary, x binary, squares binary"
 
-def one_pass(rows: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fit]]) -> dict[tuple[str, int], np.ndarray]:
+
+def packed(rows: DataFrame, scale: dict[str, Scale]) -> str:
+    """Path of the blocks of ``rows`` (config, indices, values), scaled: a Parquet row a
+    block, a folder a configuration, so that a pass neither decodes nor scales the
+    entries of a row again, and doesn't read configurations that rest.  Entries that
+    are stored are given by their place in the dense block, others are the scaled zero."""
+    shared = rows.sparkSession.sparkContext.broadcast(scale)
+    names = ["config", "n", "at", "x", "squares"]
+
+    def run(batches):
+        for name, b in _blocks(batches):
+            own, col = shared.value[name], np.asarray(b.column(1).flatten())
+            x = (np.asarray(b.column(2).flatten()) - own.mean[col]) * own.inverse[col]
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(b.column(1).offsets)))
+            at = (row * len(own.mean) + col).astype(np.int32)
+            z = _unpacked(b.num_rows, at, x, own)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b.num_rows], pa.int32()), *(pa.array([a.tobytes()]) for a in (at, x, (z * z).sum(axis=1)))], names=names)
+
+    path = os.path.join(checkpoint_dir(rows.sparkSession), "blocks", uuid.uuid4().hex)
+    rows.coalesce(_tasks(rows)).select("config", "indices", "values").mapInArrow(run, f"config string, {PACKED}").write.partitionBy("config").parquet(path)
+    return path
+
+
+def _unpacked(n: int, at: np.ndarray, x: np.ndarray, scale: Scale) -> np.ndarray:
+    z = np.empty((n, len(scale.mean)))
+    z[:] = -scale.mean * scale.inverse
+    z.reshape(-1)[at] = x
+    return z
+
+
+def one_pass(blocks: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fit]]) -> dict[tuple[str, int], np.ndarray]:
     """For each set that does not rest: its cost, then for each centroid the number
-    and sum of its rows; one flat array by (configuration, place in ``sets``)."""
+    and sum of its rows; one flat array by (configuration, place in ``sets``).  The
+    rows are those of ``packed``."""
     live = {name: [(i, f.k) for i, f in enumerate(fits) if not f.rests] for name, fits in sets.items()}
     live = {name: places for name, places in live.items() if places}
     every = {name: np.concatenate([sets[name][i].centroids for i, _ in places]) for name, places in live.items()}
-    shared = rows.sparkSession.sparkContext.broadcast((scale, live, every))  # bounded by k, seeds and width
+    shared = blocks.sparkSession.sparkContext.broadcast((scale, live, every))  # bounded by k, seeds and width
 
     def run(batches):
         scale, live, every = shared.value
         sums: dict = {}
-        for name, x, _ in _blocks(batches, {n: len(s.mean) for n, s in scale.items()}):
-            if name in live:
-                own = moments(scale[name](x), every[name], [k for _, k in live[name]])
-                sums[name] = [a + b for a, b in zip(sums[name], own)] if name in sums else own
+        for b in batches:
+            for name, n, *packs in zip(*(c.to_pylist() for c in b.columns)):
+                at, x, squares = (np.frombuffer(p, t) for p, t in zip(packs, ("<i4", "<f8", "<f8")))
+                own = moments(_unpacked(n, at, x, scale[name]), every[name], [k for _, k in live[name]], squares)
+                if name not in sums:
+                    sums[name] = own
+                    continue
+                for total, more in zip(sums[name], own):
+                    total += more  # in place: as large as all centroids
         totals, ks = {}, {name: [k for _, k in places] for name, places in live.items()}
         for name, (cost, n, s) in sums.items():
             for (place, k), c, to in zip(live[name], cost, np.cumsum(ks[name])):
                 totals[name, place] = np.concatenate([[c], n[to - k : to], s[to - k : to].ravel()])
         return totals
 
-    return _added(rows.where(F.col("config").isin(list(live))).select("config", "indices", "values"), run)
+    return _added(blocks.where(F.col("config").isin(list(live))).select("config", "n", "at", "x", "squares"), run)
 
 
 def fit_all(rows: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fit]], rounds: int = ROUNDS, tol: float = TOL) -> dict[str, list[Fit]]:
     """Move all sets over ``rows`` (config, indices, values) until they rest."""
+    blocks = rows.sparkSession.read.schema(f"{PACKED}, config string").parquet(packed(rows, scale))
     while any(not f.rests for fits in sets.values() for f in fits):
-        for (name, place), t in one_pass(rows, scale, sets).items():
+        for (name, place), t in one_pass(blocks, scale, sets).items():
             f = sets[name][place]
             n, s = t[1 : f.k + 1], t[f.k + 1 :].reshape(f.k, -1)
             moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], f.centroids)
@@ -244,7 +311,7 @@ def assigned(rows: DataFrame, scale: dict[str, Scale], chosen: dict[str, dict[in
     def run(batches):
         scale, chosen = shared.value
         counts: dict = {}
-        for name, x, b in _blocks(batches, {n: len(s.mean) for n, s in scale.items()}):
+        for name, x, b in _dense_blocks(batches, {n: len(s.mean) for n, s in scale.items()}):
             z, split, label = scale[name](x), b.column(3).to_pylist(), b.column(4).to_pylist()
             for k, f in chosen[name].items():
                 for key in zip(split, label, squared(z, f.centroids).argmin(axis=1).tolist()):
@@ -265,7 +332,7 @@ def silhouettes(rows: DataFrame, scale: dict[str, Scale], chosen: dict[str, dict
     flat = {name: list(fits.values()) for name, fits in chosen.items()}
 
     def of(batches, scale, flat):
-        for name, x, b in _blocks(batches, {n: len(s.mean) for n, s in scale.items()}):
+        for name, x, b in _dense_blocks(batches, {n: len(s.mean) for n, s in scale.items()}):
             z, split = scale[name](x), np.asarray(b.column(3).to_pylist(), object)
             for i, f in enumerate(flat[name]):
                 near = squared(z, f.centroids).argmin(axis=1)

@@ -65,3 +65,25 @@ def test_shared_passes_equal_single_fits(spark):
             z = scale[name](raw[name][~kept])
             near = SW.squared(z, f.centroids).argmin(axis=1)
             assert abs(sil[name, k, "test"] - slow_silhouette(z, near)) < 1e-8
+
+
+def test_passes_read_packed_blocks_of_configurations_that_move(spark):
+    rng = np.random.default_rng(9)
+    x = {name: np.where(rng.random((2500, w)) < 0.3, rng.normal(0, 1, (2500, w)), 0.0) for name, w in {"p": 5, "q": 9}.items()}
+    data = [(name, np.flatnonzero(r).tolist(), r[r != 0].tolist()) for name, rows in x.items() for r in rows]
+    rows = spark.createDataFrame(data, "config string, indices array<int>, values array<double>").coalesce(1)
+    scale = SW.scales(rows, {"p": 5, "q": 9})
+    blocks = spark.read.schema(f"{SW.PACKED}, config string").parquet(SW.packed(rows, scale))
+    found = blocks.collect()
+    assert len(found) < 20 and sum(r["n"] for r in found) == 5000  # not a row a document
+    for name in x:
+        z = np.concatenate([SW._unpacked(r["n"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"]), scale[name]) for r in found if r["config"] == name])
+        assert np.allclose(z[np.lexsort(z.T)], (w := scale[name](x[name]))[np.lexsort(w.T)])
+        assert np.allclose(np.sort(np.concatenate([np.frombuffer(r["squares"]) for r in found if r["config"] == name])), np.sort((w * w).sum(axis=1)))
+    files = blocks.where(F.col("config").isin("p")).select(F.input_file_name()).distinct().collect()
+    assert all("config=p" in r[0] for r in files)
+    sets = {n: [SW.Fit(2, 0, scale[n](x[n][:2])), SW.Fit(3, 0, scale[n](x[n][:3]), rests=n == "q")] for n in x}
+    got = SW.one_pass(blocks, scale, sets)
+    assert set(got) == {("p", 0), ("p", 1), ("q", 0)}
+    cost, n, s = SW.moments(scale["q"](x["q"]), sets["q"][0].centroids, [2])
+    assert np.allclose(got["q", 0], np.concatenate([cost, n, s.ravel()]))
