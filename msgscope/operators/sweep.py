@@ -11,7 +11,8 @@ Columns are scaled by mean and standard deviation of the training rows (a column
 without variance is 0).  Sets begin with k-means++ and Lloyd's steps on the ``SAMPLE``
 training rows of least hash; every pass is over all rows.  A set rests once its centroids move
 by ``TOL`` at most (sum of squares), or after ``ROUNDS`` passes; a centroid without
-rows stays where it is.
+rows stays where it is.  Sets move in single precision until they would rest; from
+there they move on, are found to rest, and get their cost, in double precision.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ class Fit:
     cost: float = np.inf
     rounds: int = 0
     rests: bool = False
+    waits: bool = False  # for passes in double precision
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
@@ -169,7 +171,7 @@ def moments(z: np.ndarray, centroids: np.ndarray, ks: list[int], squares: np.nda
     """Cost by set, and number and sum of rows by centroid, of sets of ``ks`` centroids
     each, one after another: two matrix products for all of them."""
     squares = (z * z).sum(axis=1) if squares is None else squares
-    hit, cost = np.empty((len(centroids), len(z))), []
+    hit, cost = np.empty((len(centroids), len(z)), z.dtype), []
     for at, k, near, least in nearest(z, centroids, ks):
         for j in range(k):
             hit[at + j : at + k * len(near) : k] = near == j
@@ -177,58 +179,68 @@ def moments(z: np.ndarray, centroids: np.ndarray, ks: list[int], squares: np.nda
     return [np.concatenate(cost), hit.sum(axis=1), hit @ z]
 
 
-PACKED = "n int, at binary, x binary, squares binary"
+PACKED = "n int, sizes binary, cols binary, x binary, short binary, squares binary"
 
 
 def packed(rows: DataFrame, scale: dict[str, Scale]) -> str:
     """Path of the blocks of ``rows`` (config, indices, values), scaled: a Parquet row a
     block, a folder a configuration, so that a pass neither decodes nor scales the
-    entries of a row again, and doesn't read configurations that rest.  Entries that
-    are stored are given by their place in the dense block, others are the scaled zero."""
+    entries of a row again, and doesn't read configurations that rest.  Of each block
+    the rows' numbers of stored entries (others are the scaled zero), their columns and
+    values in double and single precision, and the rows' squares."""
     shared = rows.sparkSession.sparkContext.broadcast(scale)
-    names = ["config", "n", "at", "x", "squares"]
+    names = ["config", "n", "sizes", "cols", "x", "short", "squares"]
 
     def run(batches):
         for name, b in _blocks(batches):
             own, col = shared.value[name], np.asarray(b.column(1).flatten())
             x = (np.asarray(b.column(2).flatten()) - own.mean[col]) * own.inverse[col]
-            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(b.column(1).offsets)))
-            at = (row * len(own.mean) + col).astype(np.int32)
-            z = _unpacked(b.num_rows, at, x, own)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b.num_rows], pa.int32()), *(pa.array([a.tobytes()]) for a in (at, x, (z * z).sum(axis=1)))], names=names)
+            sizes, cols = np.diff(np.asarray(b.column(1).offsets)).astype("<i4"), col.astype(_column_kind(own))
+            z = _unpacked(sizes, cols, x, own)
+            packs = (sizes, cols, x, x.astype("<f4"), (z * z).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b.num_rows], pa.int32()), *(pa.array([a.tobytes()]) for a in packs)], names=names)
 
     path = os.path.join(checkpoint_dir(rows.sparkSession), "blocks", uuid.uuid4().hex)
     rows.coalesce(_tasks(rows)).select("config", "indices", "values").mapInArrow(run, f"config string, {PACKED}").write.partitionBy("config").parquet(path)
     return path
 
 
-def _unpacked(n: int, at: np.ndarray, x: np.ndarray, scale: Scale) -> np.ndarray:
-    z = np.empty((n, len(scale.mean)))
+def _column_kind(scale: Scale) -> str:
+    return "<u2" if len(scale.mean) <= 1 << 16 else "<i4"
+
+
+def _unpacked(sizes: np.ndarray, cols: np.ndarray, x: np.ndarray, scale: Scale) -> np.ndarray:
+    """The dense rows, in the precision of ``x``."""
+    n, width = len(sizes), len(scale.mean)
+    z = np.empty((n, width), x.dtype)
     z[:] = -scale.mean * scale.inverse
-    z.reshape(-1)[at] = x
+    z.reshape(-1)[np.repeat(np.arange(n) * width, sizes) + cols] = x
     return z
 
 
-def one_pass(blocks: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fit]]) -> dict[tuple[str, int], np.ndarray]:
-    """For each set that does not rest: its cost, then for each centroid the number
-    and sum of its rows; one flat array by (configuration, place in ``sets``).  The
-    rows are those of ``packed``."""
-    live = {name: [(i, f.k) for i, f in enumerate(fits) if not f.rests] for name, fits in sets.items()}
+def one_pass(blocks: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fit]], short: bool = False) -> dict[tuple[str, int], np.ndarray]:
+    """For each set that neither rests nor waits: its cost (not if ``short``: in single
+    precision), then for each centroid the number and sum of its rows; one flat array
+    by (configuration, place in ``sets``).  The rows are those of ``packed``."""
+    live = {name: [(i, f.k) for i, f in enumerate(fits) if not (f.rests or f.waits)] for name, fits in sets.items()}
     live = {name: places for name, places in live.items() if places}
-    every = {name: np.concatenate([sets[name][i].centroids for i, _ in places]) for name, places in live.items()}
+    kind = "<f4" if short else "<f8"
+    every = {name: np.concatenate([sets[name][i].centroids for i, _ in places]).astype(kind) for name, places in live.items()}
     shared = blocks.sparkSession.sparkContext.broadcast((scale, live, every))  # bounded by k, seeds and width
+    values = ["short"] if short else ["x", "squares"]
 
     def run(batches):
         scale, live, every = shared.value
         sums: dict = {}
         for b in batches:
-            for name, n, *packs in zip(*(c.to_pylist() for c in b.columns)):
-                at, x, squares = (np.frombuffer(p, t) for p, t in zip(packs, ("<i4", "<f8", "<f8")))
-                own = moments(_unpacked(n, at, x, scale[name]), every[name], [k for _, k in live[name]], squares)
+            for name, sizes, cols, x, *squares in zip(*(c.to_pylist() for c in b.columns)):
+                own = scale[name]
+                z = _unpacked(np.frombuffer(sizes, "<i4"), np.frombuffer(cols, _column_kind(own)), np.frombuffer(x, kind), own)
+                found = moments(z, every[name], [k for _, k in live[name]], np.frombuffer(squares[0]) if squares else np.zeros(1))
                 if name not in sums:
-                    sums[name] = own
+                    sums[name] = [a.astype("<f8") for a in found]
                     continue
-                for total, more in zip(sums[name], own):
+                for total, more in zip(sums[name], found):
                     total += more  # in place: as large as all centroids
         totals, ks = {}, {name: [k for _, k in places] for name, places in live.items()}
         for name, (cost, n, s) in sums.items():
@@ -236,22 +248,27 @@ def one_pass(blocks: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fi
                 totals[name, place] = np.concatenate([[c], n[to - k : to], s[to - k : to].ravel()])
         return totals
 
-    return _added(blocks.where(F.col("config").isin(list(live))).select("config", "n", "at", "x", "squares"), run)
+    return _added(blocks.where(F.col("config").isin(list(live))).select("config", "sizes", "cols", *values), run)
 
 
 def fit_all(rows: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fit]], rounds: int = ROUNDS, tol: float = TOL) -> dict[str, list[Fit]]:
     """Move all sets over ``rows`` (config, indices, values) until they rest."""
-    blocks = rows.sparkSession.read.schema(f"{PACKED}, config string").parquet(packed(rows, scale))
-    while any(not f.rests for fits in sets.values() for f in fits):
-        for (name, place), t in one_pass(blocks, scale, sets).items():
-            f = sets[name][place]
-            n, s = t[1 : f.k + 1], t[f.k + 1 :].reshape(f.k, -1)
-            moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], f.centroids)
-            shift = ((moved - f.centroids) ** 2).sum()
-            f.cost, f.counts, f.rounds = float(t[0]), n, f.rounds + 1
-            f.rests = bool(shift <= tol) or f.rounds >= rounds
-            if not f.rests:  # else cost and counts are those of the centroids kept
-                f.centroids = moved
+    blocks, every = rows.sparkSession.read.schema(f"{PACKED}, config string").parquet(packed(rows, scale)), [f for fits in sets.values() for f in fits]
+    for short in (True, False):
+        while any(not (f.rests or f.waits) for f in every):
+            for (name, place), t in one_pass(blocks, scale, sets, short).items():
+                f = sets[name][place]
+                n, s = t[1 : f.k + 1], t[f.k + 1 :].reshape(f.k, -1)
+                moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], f.centroids)
+                last = bool(((moved - f.centroids) ** 2).sum() <= tol) or f.rounds + 1 >= rounds
+                if last and short:
+                    f.waits = True
+                    continue
+                f.cost, f.counts, f.rounds, f.rests = float(t[0]), n, f.rounds + 1, last
+                if not f.rests:  # else cost and counts are those of the centroids kept
+                    f.centroids = moved
+        for f in every:
+            f.waits = False
     return sets
 
 
@@ -312,10 +329,16 @@ def assigned(rows: DataFrame, scale: dict[str, Scale], chosen: dict[str, dict[in
         scale, chosen = shared.value
         counts: dict = {}
         for name, x, b in _dense_blocks(batches, {n: len(s.mean) for n, s in scale.items()}):
-            z, split, label = scale[name](x), b.column(3).to_pylist(), b.column(4).to_pylist()
-            for k, f in chosen[name].items():
-                for key in zip(split, label, squared(z, f.centroids).argmin(axis=1).tolist()):
-                    counts[name, k, *key] = counts.get((name, k, *key), 0) + 1
+            coded = [b.column(i).dictionary_encode(null_encoding="encode") for i in (3, 4)]
+            splits, labels = (c.dictionary.to_pylist() for c in coded)
+            pair = np.asarray(coded[0].indices, np.int64) * len(labels) + np.asarray(coded[1].indices, np.int64)
+            fits = list(chosen[name].values())
+            for _, k, near, _ in nearest(scale[name](x), np.concatenate([f.centroids for f in fits]), [f.k for f in fits]):
+                for clusters in near:
+                    found = np.bincount(pair * k + clusters)
+                    for i in np.flatnonzero(found).tolist():
+                        key = (name, k, splits[i // k // len(labels)], labels[i // k % len(labels)], i % k)
+                        counts[key] = counts.get(key, 0) + int(found[i])
         rows = [(*key, n) for key, n in counts.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -332,22 +355,30 @@ def silhouettes(rows: DataFrame, scale: dict[str, Scale], chosen: dict[str, dict
     flat = {name: list(fits.values()) for name, fits in chosen.items()}
 
     def of(batches, scale, flat):
+        """(configuration, rows, their squares, and by fit and part: place, k, places of
+        its clusters among those of all fits and parts, its rows and their clusters)."""
         for name, x, b in _dense_blocks(batches, {n: len(s.mean) for n, s in scale.items()}):
-            z, split = scale[name](x), np.asarray(b.column(3).to_pylist(), object)
-            for i, f in enumerate(flat[name]):
-                near = squared(z, f.centroids).argmin(axis=1)
-                for p, part in enumerate(parts):
-                    yield name, i * 2 + p, f.k, z[split == part], near[split == part]
+            z, split, own, at = scale[name](x), np.asarray(b.column(3).to_pylist(), object), [], 0
+            row = [np.flatnonzero(split == part) for part in parts]
+            ks = [f.k for f in flat[name]]
+            near = [c for *_, c, _ in nearest(z, np.concatenate([f.centroids for f in flat[name]]), ks) for c in c]
+            for i, k in enumerate(ks):
+                for p, r in enumerate(row):
+                    own.append((i * 2 + p, k, slice(at, at + k), r, near[i][r]))
+                    at += k
+            yield name, z, (z * z).sum(axis=1), own
 
     shared = rows.sparkSession.sparkContext.broadcast((scale, flat))
 
     def stats(batches):
         totals: dict = {}
-        for name, place, k, z, near in of(batches, *shared.value):
-            hit = np.zeros((k, len(z)))
-            hit[near, np.arange(len(z))] = 1
-            t = np.concatenate([hit.sum(axis=1), hit @ (z * z).sum(axis=1), (hit @ z).ravel()])
-            totals[name, place] = totals.get((name, place), 0) + t
+        for name, z, squares, own in of(batches, *shared.value):
+            hit = np.zeros((own[-1][2].stop, len(z)))
+            for _, _, at, r, near in own:
+                hit[at.start + near, r] = 1
+            n, q, s = hit.sum(axis=1), hit @ squares, hit @ z
+            for place, _, at, _, _ in own:
+                totals[name, place] = totals.get((name, place), 0) + np.concatenate([n[at], q[at], s[at].ravel()])
         return totals
 
     own = rows.select("config", "indices", "values", "split")
@@ -355,18 +386,20 @@ def silhouettes(rows: DataFrame, scale: dict[str, Scale], chosen: dict[str, dict
 
     def sums(batches):
         totals: dict = {}
-        for name, place, k, z, near in of(batches, *shared.value):
-            t = known.value[name, place]
-            n, q, s = t[:k], t[k : 2 * k], t[2 * k :].reshape(k, -1)
-            far = np.maximum(n * (z * z).sum(axis=1)[:, None] - 2 * z @ s.T + q, 0)  # summed squared distances
-            row = np.arange(len(z))
-            a = far[row, near] / np.maximum(n[near] - 1, 1)
-            other = np.where(n > 0, far / np.maximum(n, 1), np.inf)
-            other[row, near] = np.inf
-            b = other.min(axis=1, initial=np.inf)
-            top = np.maximum(a, b)
-            value = np.where((n[near] > 1) & np.isfinite(b) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
-            totals[name, place] = totals.get((name, place), 0) + np.array([value.sum(), len(z)])
+        for name, z, squares, own in of(batches, *shared.value):
+            t = [known.value[name, place] for place, *_ in own]
+            cross = np.concatenate([x[2 * k :].reshape(k, -1) for x, (_, k, *_) in zip(t, own)]) @ z.T
+            for x, (place, k, at, r, near) in zip(t, own):
+                n, q = x[:k, None], x[k : 2 * k, None]
+                far = np.maximum(n * squares[r] - 2 * cross[at][:, r] + q, 0)  # summed squared distances
+                row, size = np.arange(len(r)), n[near, 0]
+                a = far[near, row] / np.maximum(size - 1, 1)
+                other = np.where(n > 0, far / np.maximum(n, 1), np.inf)
+                other[near, row] = np.inf
+                b = other.min(axis=0, initial=np.inf)
+                top = np.maximum(a, b)
+                value = np.where((size > 1) & np.isfinite(b) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+                totals[name, place] = totals.get((name, place), 0) + np.array([value.sum(), len(r)])
         return totals
 
     out = {}

@@ -77,7 +77,7 @@ def test_passes_read_packed_blocks_of_configurations_that_move(spark):
     found = blocks.collect()
     assert len(found) < 20 and sum(r["n"] for r in found) == 5000  # not a row a document
     for name in x:
-        z = np.concatenate([SW._unpacked(r["n"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"]), scale[name]) for r in found if r["config"] == name])
+        z = np.concatenate([SW._unpacked(np.frombuffer(r["sizes"], "<i4"), np.frombuffer(r["cols"], "<u2"), np.frombuffer(r["x"]), scale[name]) for r in found if r["config"] == name])
         assert np.allclose(z[np.lexsort(z.T)], (w := scale[name](x[name]))[np.lexsort(w.T)])
         assert np.allclose(np.sort(np.concatenate([np.frombuffer(r["squares"]) for r in found if r["config"] == name])), np.sort((w * w).sum(axis=1)))
     files = blocks.where(F.col("config").isin("p")).select(F.input_file_name()).distinct().collect()
@@ -87,3 +87,22 @@ def test_passes_read_packed_blocks_of_configurations_that_move(spark):
     assert set(got) == {("p", 0), ("p", 1), ("q", 0)}
     cost, n, s = SW.moments(scale["q"](x["q"]), sets["q"][0].centroids, [2])
     assert np.allclose(got["q", 0], np.concatenate([cost, n, s.ravel()]))
+    short = SW.one_pass(blocks, scale, sets, short=True)
+    assert all(np.allclose(short[key][1:], got[key][1:], rtol=1e-4, atol=1e-3) for key in got)
+
+
+def test_sets_rest_by_passes_in_double_precision(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 6)) + rng.integers(0, 4, (400, 1)) * 2
+    rows = spark.createDataFrame([("p", list(range(6)), r.tolist()) for r in x], "config string, indices array<int>, values array<double>").repartition(3)
+    scale, seen, one = SW.scales(rows, {"p": 6}), [], SW.one_pass
+    z = scale["p"](x)
+    monkeypatch.setattr(SW, "one_pass", lambda *a: (seen.append(a[3]), one(*a))[1])
+    fits = [SW.Fit(k, seed, SW.plus_plus(z, k, seed)) for k in (2, 4) for seed in range(3)]
+    want = [plain(z, f) for f in fits]
+    SW.fit_all(rows, scale, {"p": fits})
+    assert seen == sorted(seen, reverse=True) and 1 <= seen.count(False) < seen.count(True)
+    for f, (c, cost, counts) in zip(fits, want):
+        assert f.rests and np.allclose(f.centroids, c, atol=1e-8) and abs(f.cost - cost) < 1e-6 and f.counts.tolist() == counts.tolist()
+    capped = SW.fit_all(rows, scale, {"p": [SW.Fit(4, 0, SW.plus_plus(z, 4, 0))]}, rounds=2)["p"][0]
+    assert capped.rests and capped.rounds == 2 and capped.counts.sum() == 400
