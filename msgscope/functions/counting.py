@@ -4,13 +4,14 @@
 columns: a pattern a feature, each over the whole text.  Here the texts of an
 Arrow batch are one array of code points, classified once; words, sentences and
 runs are its maximal runs, and the word lists are looked up once a word.  Slices
-of ``SLICE`` code points bound the arrays.
+of ``SLICE`` code points, and of ``BATCH`` for tokens and output, bound the arrays.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ from msgscope.functions import patterns as P
 from msgscope.functions.features import FAMILY_C_ORDER
 
 #: Code points that are looked at together; a longer text is looked at alone.
-SLICE = 1 << 19
+SLICE, BATCH = 1 << 18, 1 << 22
 #: What stands before and after each text: no code point.
 EDGE = 0x110000
 INK, LETTER, DECIMAL, MARK, UPPER, LOWER, DIGIT, SPECIAL, VOWEL, STOP, WORD, BREAK = (1 << i for i in range(12))
@@ -211,15 +212,19 @@ def _counts(texts: pa.Array, lower: pa.Array) -> np.ndarray:
     return np.stack([np.asarray(cols[n], np.float64) for n in FAMILY_C_ORDER], axis=1)
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts of ``most`` code points together, or one text."""
+    ends, a = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(texts), 0), np.int64)), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b - a
+        a = b
+
+
 def family_c_rows(texts: pa.Array, lower: pa.Array) -> np.ndarray:
     """A row a text, in ``FAMILY_C_ORDER``, of texts and the same in lower case."""
     texts, lower = (pc.fill_null(a, "") for a in (texts, lower))
-    ends, out, a = np.cumsum(np.asarray(pc.utf8_length(texts), np.int64)), [np.zeros((0, len(FAMILY_C_ORDER)))], 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, side="right")))
-        out.append(_counts(texts.slice(a, b - a), lower.slice(a, b - a)))
-        a = b
-    return np.concatenate(out)
+    return np.concatenate([np.zeros((0, len(FAMILY_C_ORDER))), *(_counts(texts.slice(*s), lower.slice(*s)) for s in slices(texts, SLICE))])
 
 
 class Tokens:

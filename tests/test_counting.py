@@ -42,6 +42,12 @@ def test_no_texts():
     assert C.family_c_rows(pa.array([None], pa.string()), pa.array([None], pa.string())).tolist() == C.family_c_rows(pa.array([""]), pa.array([""])).tolist()
 
 
+def test_slices_hold_every_text_once():
+    found = list(C.slices(pa.array(["aaa", "", None, "é" * 9, "bb", "c"]), 4))
+    assert found == [(0, 3), (3, 1), (4, 2)]
+    assert list(C.slices(pa.array([], pa.string()), 4)) == []
+
+
 def test_prepared_rows_are_cleaned_once_and_give_the_same_matrix(spark):
     rows = [(i, t, "train" if i % 3 else "test", ["a", "b", None][i % 3]) for i, t in enumerate(texts())]
     df = spark.createDataFrame(rows, "msg_id long, cleaned_text string, split string, source string")
