@@ -86,9 +86,9 @@ SUMS = pa.schema([("config", pa.string()), ("place", pa.int32()), ("sums", pa.bi
 SUMS_SQL = "config string, place int, sums binary"
 
 
-def _rows(totals: dict[tuple[str, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _rows(totals: dict[tuple[str, int], np.ndarray], kind: str = "<f8") -> Iterator[pa.RecordBatch]:
     for (config, place), x in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([config]), pa.array([place], pa.int32()), pa.array([x.astype("<f8").tobytes()])], schema=SUMS)
+        yield pa.RecordBatch.from_arrays([pa.array([config]), pa.array([place], pa.int32()), pa.array([x.astype(kind).tobytes()])], schema=SUMS)
 
 
 def _tasks(rows: DataFrame) -> int:
@@ -96,18 +96,18 @@ def _tasks(rows: DataFrame) -> int:
     return rows.sparkSession.sparkContext.defaultParallelism * TASKS
 
 
-def _added(rows: DataFrame, run) -> dict[tuple[str, int], np.ndarray]:
+def _added(rows: DataFrame, run, kind: str = "<f8") -> dict[tuple[str, int], np.ndarray]:
     """The totals that ``run`` (batches -> dictionary) makes of all rows, by key:
-    a partial total a task, added by key on the cluster, then one row a key."""
+    a partial total a task, sent as ``kind``, added by key on the cluster, then one row a key."""
 
     def partial(batches):
-        yield from _rows(run(batches))
+        yield from _rows(run(batches), kind)
 
     def whole(batches):
         totals: dict[tuple[str, int], np.ndarray] = {}
         for b in batches:
             for config, place, x in zip(*(c.to_pylist() for c in b.columns)):
-                own = np.frombuffer(x, "<f8")
+                own = np.frombuffer(x, kind).astype("<f8")
                 totals[config, place] = totals[config, place] + own if (config, place) in totals else own
         yield from _rows(totals)
 
@@ -248,7 +248,7 @@ def one_pass(blocks: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fi
                 totals[name, place] = np.concatenate([[c], n[to - k : to], s[to - k : to].ravel()])
         return totals
 
-    return _added(blocks.where(F.col("config").isin(list(live))).select("config", "sizes", "cols", *values), run)
+    return _added(blocks.where(F.col("config").isin(list(live))).select("config", "sizes", "cols", *values), run, kind)
 
 
 def fit_all(rows: DataFrame, scale: dict[str, Scale], sets: dict[str, list[Fit]], rounds: int = ROUNDS, tol: float = TOL) -> dict[str, list[Fit]]:
